@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lattica.llm import common, packing, tokens, warc
+from lattica.llm import common, fingerprint, html_text, langid, packing, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -12,6 +13,26 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _fold(n: int):
+    """The remainder of the CRC-32 of doc_id as text."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(_read(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.fit(*langid.sample(docs.filter(_fold(5) != 0)))
+    found = langid.detect(docs, model, with_spans=False)
+    return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokens.public_path())
 
@@ -27,7 +48,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.attribute_tokens(_read(spark, sf_dir, "documents"), tokens.public_path())
 
 
-QUERIES = {f.__name__: f for f in (op8_packing, op9_warc, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op3_fingerprints, op6_language_id, op8_packing, op9_warc, op10_token_counts)}
 
 SQL = {
     "op9_warc": """
