@@ -78,8 +78,8 @@ def scripts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return np.maximum.reduceat(np.append(kind, np.uint8(0)), spans)[::2]
 
 
-def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of the padded words, and the words' offsets into them (word by word)."""
+def byte_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of the padded words, and the word of each."""
     size = ends - starts + 2
     stop = np.cumsum(size)
     base = stop - size
@@ -91,11 +91,13 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     out, word = [], []
     code = np.zeros(len(padded), np.uint64)
     owner = np.repeat(np.arange(len(starts)), size)
-    for n in ORDERS:
+    for n in range(1, max(orders) + 1):
         code = code * np.uint64(257)
         code[: len(code) - n + 1] += padded[n - 1 :]
+        if n not in orders:
+            continue
         ok = left >= n
-        out.append(((code[ok] * np.uint64(2 * n + 1) + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS))
+        out.append(((code[ok] * np.uint64(2 * n + 1) + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits))
         word.append(owner[ok])
     return np.concatenate(out).astype(np.int64), np.concatenate(word)
 
@@ -111,7 +113,7 @@ def fit(texts: list[str], langs: list[str], least_script: float = 0.02, damping:
             part = lowered(data[off[i] : off[j]])
             starts, ends, _ = letter_runs(part, off[i : j + 1] - off[i])
             if len(starts):
-                buckets, _ = _grams(part, starts, ends)
+                buckets, _ = byte_grams(part, starts, ends)
                 counts[:, k] += np.bincount(buckets, minlength=1 << BITS)
                 script_words[:, k] += np.bincount(scripts(part, starts, ends), minlength=len(SCRIPTS))
     share = script_words / np.maximum(1, script_words.sum(0))
@@ -125,7 +127,7 @@ def word_scores(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.nda
     """Log posterior (words by languages) of each word of a lowered buffer."""
     _, one, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
     first, last = starts[one], ends[one]
-    buckets, word = _grams(data, first, last)
+    buckets, word = byte_grams(data, first, last)
     total = np.stack([np.bincount(word, model.table[buckets, k], len(one)) for k in range(len(model.langs))], 1)
     total = np.where(model.allowed[scripts(data, first, last)], total, total.max(1, keepdims=True) + RULED_OUT)
     total -= total.max(1, keepdims=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import common, fingerprint, html_text, langid, packing, tokens, warc
+from lattica.llm import common, fingerprint, html_text, langid, packing, tokens, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,11 +26,23 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Trained on a bounded sample of the labelled rows whose fold is not held out."""
+    labels = _read(spark, sf_dir, "labels").filter(_fold(3) != 1)
+    return toxicity.fit(*toxicity.sample(docs.filter(_fold(3) != 1), labels))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_windows")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.fit(*langid.sample(docs.filter(_fold(5) != 0)))
     found = langid.detect(docs, model, with_spans=False)
-    return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.attribute_tokens(_read(spark, sf_dir, "documents"), tokens.public_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op3_fingerprints, op6_language_id, op8_packing, op9_warc, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op3_fingerprints, op4_toxicity, op6_language_id, op8_packing, op9_warc, op10_token_counts)}
 
 SQL = {
     "op9_warc": """
