@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import common, fingerprint, html_text, langid, packing, tokens, toxicity, warc
+from lattica.llm import common, decontaminate, fingerprint, html_text, langid, packing, tokens, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_windows")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.fit(*langid.sample(docs.filter(_fold(5) != 0)))
@@ -60,7 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.attribute_tokens(_read(spark, sf_dir, "documents"), tokens.public_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op3_fingerprints, op4_toxicity, op6_language_id, op8_packing, op9_warc, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op3_fingerprints, op4_toxicity, op5_decontamination, op6_language_id, op8_packing, op9_warc, op10_token_counts)}
 
 SQL = {
     "op9_warc": """
