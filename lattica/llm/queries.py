@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import common, decontaminate, fingerprint, html_text, langid, packing, tokens, toxicity, warc
+from lattica.llm import common, decontaminate, fingerprint, html_text, langid, packing, setjoin, tokens, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join(_read(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.attribute_tokens(_read(spark, sf_dir, "documents"), tokens.public_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op3_fingerprints, op4_toxicity, op5_decontamination, op6_language_id, op8_packing, op9_warc, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_ngram_join, op3_fingerprints, op4_toxicity, op5_decontamination, op6_language_id, op8_packing, op9_warc, op10_token_counts)}
 
 SQL = {
     "op9_warc": """
