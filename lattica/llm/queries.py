@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import common, decontaminate, fingerprint, html_text, langid, packing, setjoin, tokens, toxicity, warc
+from lattica.llm import common, decontaminate, fingerprint, html_text, langid, linededup, packing, setjoin, tokens, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokens.public_path())
 
@@ -68,7 +72,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.attribute_tokens(_read(spark, sf_dir, "documents"), tokens.public_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_ngram_join, op3_fingerprints, op4_toxicity, op5_decontamination, op6_language_id, op8_packing, op9_warc, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_ngram_join, op3_fingerprints, op4_toxicity, op5_decontamination, op6_language_id, op7_line_dedup, op8_packing, op9_warc, op10_token_counts)}
 
 SQL = {
     "op9_warc": """

@@ -99,10 +99,11 @@ def _gru(w: Weights, side: str, x: np.ndarray, index: np.ndarray, mask: np.ndarr
     return out
 
 
-def logits(w: Weights, words: Words, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """One logit for each window."""
+def logits(w: Weights, words: Words, first: np.ndarray, size: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """One logit for each window, so many windows at a time."""
     x, _ = _inputs(w, words)
-    return _score(w, x, *_layout(words, first, size))[0]
+    out = [_score(w, x, *_layout(words, first[k : k + block], size[k : k + block]))[0] for k in range(0, len(first), block)]
+    return np.concatenate(out) if out else np.zeros(0, np.float32)
 
 
 def _layout(words: Words, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,6 +215,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 5, per_epoch: int = 8
     np.maximum.at(best, words.owner, gram_odds[words.grams])
     evidence = np.maximum(word_odds[words.bucket], best)
     index, mask = _layout(words, first, size)
+    index, mask = index.astype(np.int32), mask.astype(np.int8)
     top = np.where(mask > 0, evidence[index], -9).max(0)
     doc_top = np.full(len(y), -9.0)
     np.maximum.at(doc_top, row, top)
@@ -225,8 +227,10 @@ def fit(texts: list[str], labels: list[int], epochs: int = 5, per_epoch: int = 8
     w["gram"][:, 0] = np.clip(gram_odds, -3, 6) / 3
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
     order = np.argsort(words.owner, kind="stable")
-    by_word, sorted_owner = words.grams[order], words.owner[order]
-    starts, stops = (np.searchsorted(sorted_owner, np.arange(n_words), side) for side in ("left", "right"))
+    by_word = words.grams[order].astype(np.int32)
+    stops = np.cumsum(np.bincount(words.owner, minlength=n_words))
+    starts = stops - np.bincount(words.owner, minlength=n_words)
+    del order, best, held
     step = 0
     for epoch in range(epochs):
         if epoch == epochs - 2 and epoch:  # the clean windows that the network itself takes for toxic
@@ -242,7 +246,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 5, per_epoch: int = 8
             local = np.repeat(np.arange(len(used)), n_grams)
             pick = np.repeat(starts[used] - (np.cumsum(n_grams) - n_grams), n_grams) + np.arange(n_grams.sum())
             own = Words(words.which, words.bucket[used], by_word[pick], local, words.off)
-            _, g = _gradients(w, own, at.reshape(WINDOW, -1), mask[:, part], (y[row[part]] > 0).astype(np.float32), np.ones(len(part), np.float32))
+            _, g = _gradients(w, own, at.reshape(WINDOW, -1), mask[:, part].astype(np.float32), (y[row[part]] > 0).astype(np.float32), np.ones(len(part), np.float32))
             step += 1
             for name, grad in g.items():
                 m, v = state[name]
@@ -269,6 +273,20 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return slope, float(np.log(0.7 / 0.3)) - slope * cut
 
 
+def scores(column: pa.Array, model: Model) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row ranges of a text column, the texts' scores and their numbers of windows."""
+    data, off = utf8(column)
+    for i, j in chunks(off, 1 << 19):
+        words = words_of(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        first, size, row = windows(words.off)
+        best = np.full(j - i, -np.inf)
+        if len(first):
+            np.maximum.at(best, row, logits(model.weights, words, first, size))
+        none = np.isneginf(best)
+        x = np.clip(model.slope * np.where(none, 0, best) + model.shift, -30, 30)
+        yield i, j, np.where(none, model.empty, 1 / (1 + np.exp(-x))), np.bincount(row, minlength=j - i)
+
+
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("n_windows", T.LongType())])
 
 
@@ -282,23 +300,29 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
         for batch in batches:
-            data, off = utf8(batch.column(1))
-            for i, j in chunks(off, 1 << 19):
-                n = j - i
-                words = words_of(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                first, size, row = windows(words.off)
-                best = np.full(n, -np.inf)
-                if len(first):
-                    np.maximum.at(best, row, logits(model.weights, words, first, size))
-                out = np.where(np.isneginf(best), model.empty, 1 / (1 + np.exp(-np.clip(model.slope * np.where(np.isneginf(best), 0, best) + model.shift, -30, 30))))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(out), pa.array(np.bincount(row, minlength=n))], names=SCHEMA.names)
+            for i, j, found, n_windows in scores(batch.column(1), sent.value):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(found), pa.array(n_windows)], names=SCHEMA.names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows_each: int = 1200, others: int = 3) -> tuple[list[str], list[int]]:
+def keep(docs: DataFrame, model: Model, below: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose score is less than ``below``, with all their columns (see :func:`score`)."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s for _, _, s, _ in scores(batch.column(place), sent.value)]
+            kept = np.concatenate(found) < below if found else np.ones(batch.num_rows, bool)
+            if kept.any():
+                yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def sample(docs: DataFrame, labels: DataFrame, rows_each: int = 1000, others: int = 3) -> tuple[list[str], list[int]]:
     """A bounded sample of labelled texts: about ``rows_each`` toxic ones and ``others`` times as many others, by a hash of doc_id.
 
     ``labels`` holds (doc_id, toxic); rows with a null in either are left out,
