@@ -232,6 +232,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 5, per_epoch: int = 8
     starts = stops - np.bincount(words.owner, minlength=n_words)
     del order, best, held
     step = 0
+    epochs = max(epochs, min(80, 30_000 // (2 * max(1, min(per_epoch, len(positive))))))  # few windows are shown more often
     for epoch in range(epochs):
         if epoch == epochs - 2 and epoch:  # the clean windows that the network itself takes for toxic
             hard = negative[np.argsort(-logits(w, words, first[negative], size[negative]))[:1000]]
