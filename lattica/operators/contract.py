@@ -26,6 +26,11 @@ def is_relative_path(c: str) -> Column:
     return ~F.contains(F.col(c), F.lit("\\")) & ~F.exists(F.split(c, "/"), lambda s: s.isin("", ".", ".."))
 
 
+def _outside(low: int, high: int):
+    """Whether a text's length lies outside these bounds, as a lambda over array items."""
+    return lambda s: ~F.length(s).between(low, high)
+
+
 def node_rules() -> dict[str, Column]:
     concept = F.col("kind") == "Concept"
     rules = {
@@ -45,7 +50,7 @@ def node_rules() -> dict[str, Column]:
     for name, (low, high) in LENGTHS.items():
         rules[f"length_{name}"] = F.col(name).isNotNull() & ~utf16_length(name).between(low, high)
     for name, (items, length) in LIST_LIMITS.items():
-        rules[f"list_{name}"] = (F.size(name) > items) | F.exists(name, lambda s, most=length: (F.length(s) < 1) | (F.length(s) > most))
+        rules[f"list_{name}"] = (F.size(name) > items) | F.exists(name, _outside(1, length))
     return rules
 
 

@@ -40,7 +40,8 @@ def requested_types(query: str, terms: list[str], rules=TYPE_RULES) -> list[str]
 
 def requested_types_column(terms: Column, rules=TYPE_RULES) -> Column:
     """The same rules over an array column of normalised terms."""
-    hits = [F.when(F.exists(terms, lambda t, ps=patterns: F.rlike(t, F.lit("|".join(f"(?:{p})" for p in ps)))), F.lit(name)) for name, patterns in rules]
+    matches = lambda pattern: lambda t: F.rlike(t, F.lit(pattern))
+    hits = [F.when(F.exists(terms, matches("|".join(f"(?:{p})" for p in patterns))), F.lit(name)) for name, patterns in rules]
     return F.array_compact(F.array(*hits))
 
 
