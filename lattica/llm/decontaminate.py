@@ -192,7 +192,7 @@ def _index(block: DataFrame, threshold: float, radius: int) -> Items:
     return Items([r["item_id"] for r in rows], [r["text"] for r in rows], threshold, radius)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 20, block_bytes: int = 16 << 20) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 20, block_bytes: int = 2 << 20) -> DataFrame:
     """Benchmark items found in each whole text: (doc_id, item_id, similarity, start_word, n_words).
 
     One row per text and item whose best window reaches ``threshold``; of
@@ -227,7 +227,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radiu
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 20, block_bytes: int = 16 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 20, block_bytes: int = 2 << 20) -> DataFrame:
     """The rows of ``docs`` that match no benchmark item (see :func:`matches`), with all their columns."""
     place = docs.columns.index("text")
     for block in item_blocks(benchmark, block_bytes):

@@ -49,7 +49,9 @@ class Words(NamedTuple):
 def words_of(data: np.ndarray, off: np.ndarray) -> Words:
     part = lowered(data)
     starts, ends, word_off = letter_runs(part, off)
-    hashes, one, which = np.unique(span_hashes(part, starts, ends), return_index=True, return_inverse=True)
+    parts = [(off[i], off[j], *np.searchsorted(starts, (off[i], off[j]))) for i, j in chunks(off)]
+    hashes = [span_hashes(part[a:b], starts[x:y] - a, ends[x:y] - a) for a, b, x, y in parts]
+    hashes, one, which = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_index=True, return_inverse=True)
     grams, owner = byte_grams(part, starts[one], ends[one], ORDERS, GRAM_BITS) if len(one) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     return Words(which, (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64), grams, owner, word_off)
 
@@ -323,7 +325,7 @@ def keep(docs: DataFrame, model: Model, below: float = 0.7) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows_each: int = 1000, others: int = 3) -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, rows_each: int = 800, others: int = 3) -> tuple[list[str], list[int]]:
     """A bounded sample of labelled texts: about ``rows_each`` toxic ones and ``others`` times as many others, by a hash of doc_id.
 
     ``labels`` holds (doc_id, toxic); rows with a null in either are left out,
