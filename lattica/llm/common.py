@@ -9,6 +9,7 @@ a handful of numpy passes and no per-word Python.
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch; texts of 100 kB then stay below some 25 MB a batch.
 BATCH_ROWS = 256
 #: Bytes of text that one numpy pass works on.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def tune(spark: SparkSession) -> None:
@@ -61,8 +62,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let go of finished shuffles: Spark deletes their files once the driver has collected its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # once to find them, once for what only they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def removed(spark: SparkSession, df: DataFrame) -> None:
@@ -251,3 +254,14 @@ def components(edges: DataFrame, salts: int = 8, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return labels.withColumnRenamed("label", "component")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, component) after further links (a, b), by the components of the components."""
+    of = lambda end: labels.select(F.col("node").alias(f"{end}_node"), F.col("component").alias(f"{end}_label"))
+    known = links.join(of("a"), F.col("a") == F.col("a_node"), "left").join(of("b"), F.col("b") == F.col("b_node"), "left")
+    ends = written(known.select("a", "b", F.coalesce("a_label", "a").alias("x"), F.coalesce("b_label", "b").alias("y")), "links")
+    over = components(ends.filter("x <> y").select("x", "y").distinct()).select(F.col("node").alias("was"), F.col("component").alias("now"))
+    new = ends.select(F.col("a").alias("node"), F.col("x").alias("component")).unionByName(ends.select(F.col("b").alias("node"), F.col("y").alias("component")))
+    every = labels.select("node", "component").unionByName(new).distinct()
+    return written(every.join(over, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component")), "labels")

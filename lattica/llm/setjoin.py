@@ -10,9 +10,10 @@ Two relations between sets save work. *Index level*: within a list, blocks of
 entries too small, or too far on in their prefixes, to reach the threshold are
 passed over. *Answer level*: in a first round every set is checked against the
 one earlier set it shares most lists with; where that holds, the two share one
-answer, their component, and in the second round each list yields only pairs
-whose sets have different answers so far. Thousands of near copies thus cost
-one check each, and every link between different components is still tried.
+answer, their component. In a second round each set meets a bounded choice of
+its lists' sets with other answers, and in the last one all that have another
+answer still. Thousands of near copies thus cost a few checks each, and every
+link between different components is still tried.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import BYTE_VALUES_LOWER, chunks, components, distinct, mix, row_ids, shingles, signed, span_hashes, utf8, word_spans, written
+from lattica.llm.common import BYTE_VALUES_LOWER, chunks, components, distinct, merged, mix, shingles, signed, span_hashes, utf8, word_spans, written
 
 SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("sid", T.LongType())])
 COUNTS = T.StructType([T.StructField("shingle", T.LongType()), T.StructField("n", T.LongType())])
@@ -36,6 +37,12 @@ MEMBERS = T.StructType([T.StructField("sid", T.LongType()), T.StructField("membe
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("common", T.LongType())])
 
 
+#: Partners in a list that a set meets in the second round.
+HUBS = 64
+#: Rows up to which a side is sent to all executors.
+SMALL = 100_000
+
+
 def document_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Row ranges, their distinct shingle hashes with row offsets, and the set's own hash (0 if empty)."""
     data, off = utf8(column)
@@ -78,7 +85,7 @@ class Order:
         return out
 
 
-def frequent_shingles(docs: DataFrame, k: int, most: int, least: int = 8, hold: int = 1 << 21) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, k: int, most: int, least: int = 8, hold: int = 1 << 20) -> np.ndarray:
     """The ``most`` shingles with the largest counts, ascending by count.
 
     Counts cover all documents: each task counts what it reads, in runs of about
@@ -103,7 +110,7 @@ def frequent_shingles(docs: DataFrame, k: int, most: int, least: int = 8, hold:
                 seen.update(sid.tolist())
                 parts.append(hashes[np.repeat(new & fresh, np.diff(off))])
                 size += len(parts[-1])
-                if len(seen) > 1 << 18:
+                if len(seen) > 1 << 16:
                     seen.clear()
                 if size > hold:
                     yield counted()
@@ -129,7 +136,7 @@ def prefix_entries(docs: DataFrame, k: int, percent: int, order: Order) -> DataF
                     if s and s not in seen:
                         seen.add(s)
                         new[r] = True
-                if len(seen) > 1 << 18:
+                if len(seen) > 1 << 16:
                     seen.clear()
                 if not new.any():
                     continue
@@ -200,8 +207,13 @@ def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return fair.groupBy("sid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")).select(F.col("sid").alias("a"), F.col("hub").alias("b"))
 
 
-def cross_pairs(lists: DataFrame, labels: DataFrame, percent: int, block: int = 1024) -> DataFrame:
-    """Candidate pairs (a, b) of sets that share a list, may reach the threshold, and have no common answer yet."""
+def cross_pairs(lists: DataFrame, labels: DataFrame, percent: int, hubs: int = 0, seed: int = 0, block: int = 1024) -> DataFrame:
+    """Candidate pairs (a, b) of sets that share a list, may reach the threshold, and have no common answer yet.
+
+    With ``hubs`` only lists of more sets than that count, and of them only
+    pairs with so many of the list's sets, by a hash with ``seed``: a random
+    choice, and the same one in all lists of a group.
+    """
     label = F.coalesce("component", "sid").alias("label")
     known = lists.select("token", "sid", "n", "pos").join(labels.withColumnRenamed("node", "own"), F.col("sid") == F.col("own"), "left").select("token", "sid", "n", "pos", label)
 
@@ -210,7 +222,7 @@ def cross_pairs(lists: DataFrame, labels: DataFrame, percent: int, block: int =
 
         def pairs(x: tuple, y: tuple, same: bool) -> pa.RecordBatch | None:
             """x: later entries, y: earlier or the same ones (sid, n, pos, label)."""
-            if 100 * int(y[1].max()) < percent * int(x[1].min()):
+            if not hubs and 100 * int(y[1].max()) < percent * int(x[1].min()):
                 return None
             need = required(x[1][:, None], y[1][None], percent)
             room = np.minimum((x[1] - x[2])[:, None], (y[1] - y[2])[None])
@@ -240,6 +252,15 @@ def cross_pairs(lists: DataFrame, labels: DataFrame, percent: int, block: int =
                     open_token, open_rows = token[lo], []
                 for a in range(lo, hi, block):
                     x = tuple(c[a : min(hi, a + block)] for c in (sid, n, pos, label))
+                    if hubs:
+                        # the list's first sets stay open, all others meet them only
+                        room = hubs - sum(len(y[0]) for y in open_rows)
+                        if room > 0:
+                            open_rows.append(tuple(c[:room] for c in x))
+                        for y in open_rows:
+                            if (out := pairs(x, y, False)) is not None:
+                                yield out
+                        continue
                     if (out := pairs(x, x, True)) is not None:
                         yield out
                     open_rows = [y for y in open_rows if 100 * int(y[1].max()) >= percent * int(x[1].min())]
@@ -249,8 +270,9 @@ def cross_pairs(lists: DataFrame, labels: DataFrame, percent: int, block: int =
                     open_rows.append(x)
 
     # lists whose sets all have one answer end here
-    several = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    left = known.join(several, "token", "left_semi").repartition("token").sortWithinPartitions("token", "n", "sid")
+    several = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("sets")).filter((F.col("lo") != F.col("hi")) & (F.col("sets") > hubs)).select("token")
+    order = [F.xxhash64("sid", F.lit(seed))] if hubs else ["n", "sid"]
+    left = known.join(several, "token", "left_semi").repartition("token").sortWithinPartitions("token", *order)
     found = left.mapInArrow(run, PAIRS).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("ok").alias("ok"), F.count(F.lit(1)).alias("c"))
     # shared prefix shingles and all others of the larger rest bound the intersection
     rest = F.greatest(F.ceil(F.col("na") * (percent / 100)), F.ceil(F.col("nb") * (percent / 100))) - 1
@@ -261,7 +283,10 @@ def cross_pairs(lists: DataFrame, labels: DataFrame, percent: int, block: int =
 def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets reach the threshold, by their exact intersection."""
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    spot = sets.groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("at")).join(wanted, "sid", "left_semi").select("sid", F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash"))
+    spot = sets.groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("at")).join(wanted, "sid", "left_semi").select(F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash"))
+    spot = written(spot, "spots")
+    if spot.limit(SMALL + 1).count() <= SMALL:
+        spot = F.broadcast(spot)  # at most SMALL rows of 16 bytes; beyond that the texts are shuffled to them
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     texts = source.join(spot, (F.col("text_hash") == F.col("at_hash")) & F.col("doc_id").eqNullSafe(F.col("at_id"))).select("text")
@@ -318,8 +343,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = 1 << 18
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(off)), pa.array(signed(sid))], names=SETS.names)
 
     sets = written(docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text.alias("text")).mapInArrow(run, SETS), "sets")
-    links = linked(docs, sets.filter("n_shingles > 0"), k, percent, frequent)
-    labels = components(links.select("a", "b"))
+    labels = answers(docs, sets.filter("n_shingles > 0"), k, percent, frequent)
     least = sets.filter("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = least.join(labels, least.sid == labels.node, "left").select("sid", "least", F.coalesce("component", "sid").alias("label"))
     over = named.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -331,10 +355,13 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = 1 << 18
     return some.select(*RESULT).unionByName(none.select(*RESULT))
 
 
-def linked(docs: DataFrame, sets: DataFrame, k: int, percent: int, frequent: int) -> DataFrame:
-    """Links (a, b) of set ids that span every component (not all pairs within one)."""
+def answers(docs: DataFrame, sets: DataFrame, k: int, percent: int, frequent: int) -> DataFrame:
+    """(node, component) of all linked sets, by set id."""
     order = Order(frequent_shingles(docs, k, frequent))
     lists = written(shared_lists(prefix_entries(docs, k, percent, order)), "lists")
-    first = written(verify(hub_pairs(lists, percent), docs, sets, k, percent), "links")
-    rest = written(cross_pairs(lists, components(first.select("a", "b")), percent), "candidates")
-    return first.unionByName(written(verify(rest, docs, sets, k, percent), "links"))
+    check = lambda pairs: written(verify(pairs, docs, sets, k, percent), "links").select("a", "b")
+    labels = components(check(written(hub_pairs(lists, percent), "candidates")))
+    partners = written(cross_pairs(lists, labels, percent, HUBS), "candidates")
+    if partners.limit(1).count():
+        labels = merged(labels, check(partners))
+    return merged(labels, check(written(cross_pairs(lists, labels, percent), "candidates")))
