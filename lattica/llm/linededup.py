@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from lattica.llm.common import written
 
 BUCKET_BITS = 14
+#: Rows up to which a side is sent to all executors.
+SMALL = 100_000
 #: Order key of a null doc_id: after all others.
 LAST = 2**63 - 1
 
@@ -28,12 +30,30 @@ def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line_no, words) of every line."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return rows.select("doc_id", "text_hash", "line_no", F.filter(F.split(F.lower("line"), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"))
+    return rows.select("doc_id", "text_hash", "line_no", F.array_remove(F.split(F.lower("line"), r"[\x20\x09-\x0D]+"), "").alias("words"))
 
 
-def _hashes(words: Column, k: int) -> Column:
-    """Hashes of the k-word shingles of at least k words."""
-    return F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))
+def _hashed(lines: DataFrame, k: int) -> DataFrame:
+    """Lines of at least k words, with ``hashes`` of their k-word shingles in place of ``words``.
+
+    Words are hashed once and then joined pairwise, runs of twice the length by
+    halves; each step is a column of its own, so that it is computed once.
+    """
+    rows = lines.filter(F.size("words") >= k).withColumn("h1", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
+    n = F.size("h1")
+    have = [1]
+
+    def build(rows: DataFrame, size: int) -> DataFrame:
+        if size in have:
+            return rows
+        left = 1 << (size - 1).bit_length() - 1
+        rows = build(build(rows, left), size - left)
+        have.append(size)
+        rest = F.slice(f"h{size - left}", F.lit(left + 1), F.greatest(F.lit(0), n - left))
+        return rows.withColumn(f"h{size}", F.zip_with(f"h{left}", rest, lambda x, y: F.xxhash64(x, y)))
+
+    rows = build(rows, k)
+    return rows.withColumn("hashes", F.slice(f"h{k}", F.lit(1), n - (k - 1))).drop(*[f"h{s}" for s in have])
 
 
 def _bucket(h: Column) -> Column:
@@ -42,7 +62,8 @@ def _bucket(h: Column) -> Column:
 
 def rarity(docs: DataFrame, k: int) -> Column:
     """Ranks of the hash buckets by the tokens they hold over all lines, rarest first, as one constant array."""
-    tokens = _lines(docs).filter(F.size("words") >= k).select(F.explode(_hashes(F.col("words"), k)).alias("h"))
+    # explode() would add a filter on the array, and with it a second evaluation of it
+    tokens = _hashed(_lines(docs), k).select(F.explode_outer("hashes").alias("h"))
     counts = {r["b"]: r["n"] for r in tokens.groupBy(_bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # of at most 2**14 buckets
     order = sorted(range(1 << BUCKET_BITS), key=lambda b: (counts.get(b, 0), b))
     ranks = [0] * len(order)
@@ -51,13 +72,13 @@ def rarity(docs: DataFrame, k: int) -> Column:
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
-def _keys(words: Column, ranks: Column, k: int) -> Column:
+def _keys(ranks: Column) -> Column:
     """The line's distinct tokens in rarity order: bucket rank above 49 bits of hash."""
     rest = (1 << 49) - 1
     return F.sort_array(
         F.array_distinct(
             F.transform(
-                _hashes(words, k),
+                "hashes",
                 lambda h: F.shiftleft(F.element_at(ranks, (_bucket(h) + 1).cast("int")), 49).bitwiseOR(F.shiftrightunsigned(h, BUCKET_BITS).bitwiseAND(F.lit(rest))),
             )
         )
@@ -71,27 +92,36 @@ def _least(n: Column, percent: int) -> Column:
 def duplicate_lines(docs: DataFrame, percent: int = 80, k: int = 5, salts: int = 8) -> DataFrame:
     """(doc_id, text_hash, line_no) of each line to remove (see :func:`dedup` for the rule)."""
     ranks = rarity(docs, k)
-    keyed = _lines(docs).filter(F.size("words") >= k).select("doc_id", "text_hash", "line_no", _keys(F.col("words"), ranks, k).alias("keys"))
+    keyed = _hashed(_lines(docs), k).select("doc_id", "text_hash", "line_no", _keys(ranks).alias("keys"))
     n = F.size("keys")
     marks = written(
         keyed.select("doc_id", "text_hash", "line_no", n.alias("n"), F.xxhash64("keys").alias("sid"), F.slice("keys", 1, (n - _least(n, percent) + 1).cast("int")).alias("prefix")),
         "line-marks",
     )
     firsts = marks.groupBy("sid").agg(F.min(F.struct("doc_id", "line_no", "text_hash", "n", "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
-    entries = firsts.select("sid", "f.doc_id", "f.line_no", "f.text_hash", "f.n", F.posexplode("f.prefix").alias("pos", "key"))
+    entries = firsts.select("sid", "f.doc_id", "f.line_no", F.posexplode("f.prefix").alias("pos", "key"))
     in_list = Window.partitionBy("key").orderBy("doc_id", "line_no", "sid")
     me = F.struct("doc_id", "line_no", "sid")
-    listed = entries.select("key", "sid", "doc_id", "line_no", "text_hash", "n", "pos", F.lag("sid").over(in_list).alias("before"), F.lead("sid").over(in_list).alias("after"), F.first(F.struct("sid", "n")).over(in_list).alias("lead"))
-    live = written(listed.filter("before is not null or after is not null").drop("before", "after"), "line-lists")
+    listed = entries.select("key", "sid", "doc_id", "line_no", "pos", F.lag("sid").over(in_list).alias("before"), F.lead("sid").over(in_list).alias("after"), F.first("sid").over(in_list).alias("lead_sid"))
+    shared = written(listed.filter("before is not null or after is not null").drop("before", "after"), "line-lists")
+    # sizes and texts of the listed sets; the index itself is kept narrow
+    named = shared.select("sid").distinct()
+    about = written(firsts.select("sid", "f.text_hash", "f.n").join(named, "sid", "left_semi"), "line-about")
+    lead = about.select(F.col("sid").alias("lead_sid"), F.col("n").alias("lead_n"))
+    live = written(shared.join(about, "sid").join(lead, "lead_sid").withColumn("lead", F.struct(F.col("lead_sid").alias("sid"), F.col("lead_n").alias("n"))).drop("lead_sid", "lead_n"), "line-lists")
 
     # the token sets of the listed lines, made again from the texts that hold them
     wanted = live.select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), F.col("line_no").alias("w_line")).distinct()
-    holders = wanted.select("w_id", "w_hash").distinct()
+    holders = written(wanted.select("w_id", "w_hash").distinct(), "line-holders")
+    if holders.limit(SMALL + 1).count() <= SMALL:
+        holders = F.broadcast(holders)  # at most SMALL rows of 16 bytes; beyond that the texts are shuffled to them
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     source = docs.select("doc_id", "text").join(holders, (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("w_id")) & (text_hash == F.col("w_hash")), "left_semi")
-    lines = _lines(source).filter(F.size("words") >= k)
+    lines = _lines(source)
+    if wanted.limit(SMALL + 1).count() <= SMALL:
+        wanted = F.broadcast(wanted)
     lines = lines.join(wanted, (lines.doc_id == wanted.w_id) & (lines.text_hash == wanted.w_hash) & (lines.line_no == wanted.w_line), "left_semi")
-    members = written(lines.select(_keys(F.col("words"), ranks, k).alias("keys")).select(F.xxhash64("keys").alias("sid"), "keys").dropDuplicates(["sid"]), "line-sets")
+    members = written(_hashed(lines, k).select(_keys(ranks).alias("keys")).select(F.xxhash64("keys").alias("sid"), "keys").dropDuplicates(["sid"]), "line-sets")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Of the pairs (early, late) of set ids those that reach the threshold."""
