@@ -270,8 +270,11 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     pos, neg = np.sort(x[y > 0]), np.sort(x[y == 0])
     wrong = np.searchsorted(pos, middle) / len(pos) + (len(neg) - np.searchsorted(neg, middle)) / len(neg)
     least = np.flatnonzero(wrong <= wrong.min() + 1e-9)
-    # of equally good cuts the middle of the run
-    cut = float((middle[least[0]] + middle[least[-1]]) / 2)
+    # of equally good cuts the middle of the gap
+    below, above = cuts[cuts < middle[least[0]]], cuts[cuts > middle[least[-1]]]
+    low = below[-1] if len(below) else middle[least[0]]
+    high = above[0] if len(above) else middle[least[-1]]
+    cut = float((low + high) / 2)
     slope = 1.0
     return slope, float(np.log(0.7 / 0.3)) - slope * cut
 
