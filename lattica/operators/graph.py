@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.text import normalize_query, query_text
+from lattica.sources.shared import materialized
 
 BOUNDS = {"limit": (1, 100), "offset": (0, 1_000_000), "terms": (1, 20), "term_length": (2, 200), "neighbor_hops": (1, 2), "path_hops": (1, 6), "reads": (1, 10), "read_chars": (1_000, 50_000)}
 READ_BUDGET = 100_000
@@ -183,6 +184,8 @@ def walk(roots: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int, di
     from), and the first one left out stays as a row with ``kept`` false.
     """
     moves = steps(edges, nodes, direction, edge_types)
+    if max_hops > 1:
+        moves = materialized(moves)  # every level reads them
     start = roots.select("root").distinct()
     seen = start.select("root", F.col("root").alias("id"), F.lit(0).alias("distance"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("prev"), F.lit(None).cast("string").alias("via"), F.lit(True).alias("kept"))
     frontier = seen
@@ -197,7 +200,8 @@ def walk(roots: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int, di
         if limit is not None:
             ranked = ranked.filter((F.col("rank") <= limit + 1) & ~F.col("full"))
         new = ranked.select("root", "id", "distance", "rank", "prev", "via", (F.col("rank") <= limit if limit is not None else F.lit(True)).alias("kept"))
-        new = new.persist()  # read by the next level three times
+        if level < max_hops or level > 1:
+            new = materialized(new)  # each level is read three times by the next; plans would grow with every one
         seen = seen.unionByName(new)
         frontier = new.filter("kept")
     return seen
@@ -314,7 +318,9 @@ def expand_typed(focus: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops:
         met = frontier.select("root", F.col("id").alias("at")).join(moves, "at").groupBy("root", "at", "next").agg(F.min(F.struct("dir", "edge_pos")).alias("o"))
         met = met.select("root", "at", "next", "o.dir", "o.edge_pos").withColumn("nth", nth).filter(F.col("nth") <= cap)
         new = met.select("root", F.col("next").alias("id")).distinct().join(seen.select("root", "id"), ["root", "id"], "left_anti").join(info, "id")
-        new = new.select("root", "id", F.lit(level).alias("distance"), (F.col("allowed") & F.col("typed")).alias("candidate"), "allowed").persist()
+        new = new.select("root", "id", F.lit(level).alias("distance"), (F.col("allowed") & F.col("typed")).alias("candidate"), "allowed")
+        if level < max_hops:
+            new = materialized(new)
         seen = seen.unionByName(new.drop("allowed"))
         frontier = new.filter("allowed")
     return seen
