@@ -1,6 +1,7 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame operations only.
 
-A line's tokens are its distinct five-word shingles, ordered by rarity (counts
+A line's tokens are its distinct five-word shingles (a shorter line's is its
+whole word sequence, where that is asked for), ordered by rarity (counts
 over all lines, by hash bucket; the order only has to be the same for all).
 Lines with equal sets collapse to the first of them. A prefix of each set is
 indexed: two sets that reach the threshold share a prefix token. Candidates
@@ -33,13 +34,14 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_hash", "line_no", F.array_remove(F.split(F.lower("line"), r"[\x20\x09-\x0D]+"), "").alias("words"))
 
 
-def _hashed(lines: DataFrame, k: int) -> DataFrame:
+def _hashed(lines: DataFrame, k: int, short: bool) -> DataFrame:
     """Lines of at least k words, with ``hashes`` of their k-word shingles in place of ``words``.
 
+    With ``short``, lines of 1 to k-1 words too: their whole sequence is their one token.
     Words are hashed once and then joined pairwise, runs of twice the length by
     halves; each step is a column of its own, so that it is computed once.
     """
-    rows = lines.filter(F.size("words") >= k).withColumn("h1", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
+    rows = lines.filter(F.size("words") >= (1 if short else k)).withColumn("h1", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
     n = F.size("h1")
     have = [1]
 
@@ -53,17 +55,20 @@ def _hashed(lines: DataFrame, k: int) -> DataFrame:
         return rows.withColumn(f"h{size}", F.zip_with(f"h{left}", rest, lambda x, y: F.xxhash64(x, y)))
 
     rows = build(rows, k)
-    return rows.withColumn("hashes", F.slice(f"h{k}", F.lit(1), n - (k - 1))).drop(*[f"h{s}" for s in have])
+    hashes = F.slice(f"h{k}", F.lit(1), F.greatest(F.lit(0), n - (k - 1)))
+    if short:
+        hashes = F.when(n < k, F.array(F.xxhash64("h1"))).otherwise(hashes)
+    return rows.withColumn("hashes", hashes).drop(*[f"h{s}" for s in have])
 
 
 def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))
 
 
-def rarity(docs: DataFrame, k: int) -> Column:
+def rarity(docs: DataFrame, k: int, short: bool = False) -> Column:
     """Ranks of the hash buckets by the tokens they hold over all lines, rarest first, as one constant array."""
     # explode() would add a filter on the array, and with it a second evaluation of it
-    tokens = _hashed(_lines(docs), k).select(F.explode_outer("hashes").alias("h"))
+    tokens = _hashed(_lines(docs), k, short).select(F.explode_outer("hashes").alias("h"))
     counts = {r["b"]: r["n"] for r in tokens.groupBy(_bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # of at most 2**14 buckets
     order = sorted(range(1 << BUCKET_BITS), key=lambda b: (counts.get(b, 0), b))
     ranks = [0] * len(order)
@@ -89,10 +94,10 @@ def _least(n: Column, percent: int) -> Column:
     return F.ceil(n * (percent / 100) - 1e-6)
 
 
-def duplicate_lines(docs: DataFrame, percent: int = 80, k: int = 5, salts: int = 8) -> DataFrame:
+def duplicate_lines(docs: DataFrame, percent: int = 80, k: int = 5, salts: int = 8, short: bool = False) -> DataFrame:
     """(doc_id, text_hash, line_no) of each line to remove (see :func:`dedup` for the rule)."""
-    ranks = rarity(docs, k)
-    keyed = _hashed(_lines(docs), k).select("doc_id", "text_hash", "line_no", _keys(ranks).alias("keys"))
+    ranks = rarity(docs, k, short)
+    keyed = _hashed(_lines(docs), k, short).select("doc_id", "text_hash", "line_no", _keys(ranks).alias("keys"))
     n = F.size("keys")
     marks = written(
         keyed.select("doc_id", "text_hash", "line_no", n.alias("n"), F.xxhash64("keys").alias("sid"), F.slice("keys", 1, (n - _least(n, percent) + 1).cast("int")).alias("prefix")),
@@ -121,7 +126,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, k: int = 5, salts: int =
     if wanted.limit(SMALL + 1).count() <= SMALL:
         wanted = F.broadcast(wanted)
     lines = lines.join(wanted, (lines.doc_id == wanted.w_id) & (lines.text_hash == wanted.w_hash) & (lines.line_no == wanted.w_line), "left_semi")
-    members = written(_hashed(lines, k).select(_keys(ranks).alias("keys")).select(F.xxhash64("keys").alias("sid"), "keys").dropDuplicates(["sid"]), "line-sets")
+    members = written(_hashed(lines, k, short).select(_keys(ranks).alias("keys")).select(F.xxhash64("keys").alias("sid"), "keys").dropDuplicates(["sid"]), "line-sets")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Of the pairs (early, late) of set ids those that reach the threshold."""
@@ -153,12 +158,14 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, k: int = 5, salts: int =
     return some.join(spread, ["sid", "salt"]).filter(F.coalesce("out", F.lit(False)) | ~first).select("doc_id", "text_hash", "line_no")
 
 
-def dedup(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
+def dedup(docs: DataFrame, percent: int = 80, k: int = 5, short: bool = False) -> DataFrame:
     """``docs`` with later similar lines taken out of ``text``; adds n_lines and n_removed.
 
     Lines are parted by line feeds. Words are runs of characters other than
     0x20 and 0x09-0x0D, in lower case; a line's set holds its distinct
-    ``k``-word shingles; a line of fewer words is never removed. A line is
+    ``k``-word shingles. With ``short`` (as op7 and the pipeline call it) a line
+    of 1 to k-1 words has its whole sequence as its one shingle and only a line
+    without words always stays; without it, no line of fewer than k words is removed. A line is
     removed if an earlier line, by (doc_id, line number) over the whole table,
     has a Jaccard of at least ``percent`` hundredths; the earlier line counts
     whether or not it is removed itself. The lines left are joined by line
@@ -170,7 +177,7 @@ def dedup(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     loses. All other columns are kept as they are; columns named n_lines and
     n_removed are replaced.
     """
-    out = duplicate_lines(docs, percent, k).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("_removed"))
+    out = duplicate_lines(docs, percent, k, short=short).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("_removed"))
     out = out.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_removed")
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
