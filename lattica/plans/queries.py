@@ -349,13 +349,22 @@ def iso_timestamp_check(spark, d):
 
 @query("WITH l AS (SELECT user_id, event_id, CAST(ts AS DATE) AS day, lag(CAST(ts AS DATE)) OVER (PARTITION BY user_id ORDER BY event_id DESC) AS before FROM events WHERE user_id < 50) SELECT user_id, count(*) FILTER (before < day) AS out_of_order FROM l GROUP BY user_id")
 def log_order_check(spark, d):
+    return _log_order(G.table(spark, d, "events").filter("user_id < 50"))
+
+
+def _log_order(events: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    rows = G.table(spark, d, "events").filter("user_id < 50").select("user_id", "event_id", F.to_date("ts").alias("day"))
+    rows = events.select("user_id", "event_id", F.to_date("ts").alias("day"))
     before = F.lag("day").over(Window.partitionBy("user_id").orderBy(F.col("event_id").desc()))
     return rows.withColumn("before", before).groupBy("user_id").agg(F.count_if(F.col("before") < F.col("day")).alias("out_of_order"))
 
 
+@query("WITH l AS (SELECT user_id, event_id, CAST(ts AS DATE) AS day, lag(CAST(ts AS DATE)) OVER (PARTITION BY user_id ORDER BY event_id DESC) AS before FROM events) SELECT user_id, count(*) FILTER (before < day) AS out_of_order FROM l GROUP BY user_id")
+def log_order_check_all(spark, d):
+    return _log_order(G.table(spark, d, "events"))
+
+
 @query(r"WITH a AS (SELECT unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS target FROM pages UNION ALL SELECT url FROM pages UNION ALL SELECT '#' || page_id FROM pages) SELECT CASE WHEN starts_with(target, '#') THEN 'fragment' WHEN regexp_matches(target, '^([a-zA-Z][a-zA-Z0-9+.-]*:|//)') THEN 'external' ELSE 'local' END AS kind, count(*) AS n, count(DISTINCT regexp_extract(target, '^[^?#]*')) AS n_plain FROM a GROUP BY kind")
 def link_classify(spark, d):
     pages = G.table(spark, d, "pages")
