@@ -189,6 +189,20 @@ def typed_expansion(spark, d):
     return found.filter("distance > 0").filter("distance = 1 or not startswith(id, 'orders:')").select("id", "distance", "candidate")
 
 
+EXPANSION = """
+, step AS (SELECT src AS a, dst AS b, 0 AS dir, eid FROM link UNION ALL SELECT dst, src, 1, eid FROM link),
+nth AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY dir, eid) AS n FROM step),
+one AS (SELECT c.id, c.status = 'stable' AS allowed, c.type FROM nth JOIN concept c ON c.id = nth.b WHERE nth.a = 'customer:11' AND n <= 100),
+two AS (SELECT DISTINCT c.id, c.status = 'stable' AS allowed, c.type FROM one JOIN nth ON nth.a = one.id AND n <= 100 JOIN concept c ON c.id = nth.b WHERE one.allowed AND c.id <> 'customer:11' AND c.id NOT IN (SELECT id FROM one))
+"""
+
+
+@query("WITH {graph} " + EXPANSION + " SELECT id, 1 AS distance, allowed AND type = 'Order' AS candidate FROM one UNION ALL SELECT id, 2, allowed AND type = 'Order' FROM two")
+def typed_expansion_all(spark, d):
+    found = graph.expand_typed(_roots(spark, "customer:11"), G.nodes(spark, d), G.edges(spark, d), 2, ("stable",), ["Order"], cap=100)
+    return found.filter("distance > 0").select("id", "distance", "candidate")
+
+
 @query("WITH {graph}, r AS (SELECT c.id, c.title, l.eid FROM link l JOIN concept c ON c.id = l.src WHERE l.dst = 'nation:7' AND c.status = 'stable') SELECT id, title, CAST(row_number() OVER (ORDER BY title, id) AS INTEGER) AS rank FROM r ORDER BY title, id LIMIT 12")
 def traversal_topk(spark, d):
     from pyspark.sql import Window
