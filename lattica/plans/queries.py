@@ -143,7 +143,16 @@ def backlinks_page(spark, d):
 @query("WITH {graph} SELECT l.dst AS id, count(*) AS n_backlinks FROM link l JOIN concept c ON c.id = l.src WHERE starts_with(l.dst, 'supplier:') OR starts_with(l.dst, 'nation:') GROUP BY l.dst")
 def backlinks_counts(spark, d):
     edges = G.edges(spark, d).filter(F.startswith("to", F.lit("supplier:")) | F.startswith("to", F.lit("nation:")))
-    return edges.join(G.nodes(spark, d).select(F.col("id").alias("from")), "from", "left_semi").groupBy(F.col("to").alias("id")).agg(F.count(F.lit(1)).alias("n_backlinks"))
+    return _backlinks(edges, G.nodes(spark, d))
+
+
+def _backlinks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    return edges.join(nodes.select(F.col("id").alias("from")), "from", "left_semi").groupBy(F.col("to").alias("id")).agg(F.count(F.lit(1)).alias("n_backlinks"))
+
+
+@query("WITH {graph} SELECT l.dst AS id, count(*) AS n_backlinks FROM link l JOIN concept c ON c.id = l.src GROUP BY l.dst")
+def backlinks_counts_all(spark, d):
+    return _backlinks(G.edges(spark, d), G.nodes(spark, d))
 
 
 PATH_PAIRS = [("orders:7", "region:1"), ("orders:7", "region:4"), ("customer:3", "region:0"), ("customer:3", "part:1"), ("nation:2", "nation:2"), ("orders:1", "nation:5")]
