@@ -85,37 +85,36 @@ def fingerprints(docs: DataFrame, perms: int = PERMS, k: int = WORDS, seed: int
 def near_pairs(docs: DataFrame, threshold: float = 0.8, perms: int = PERMS, bands: int = 32, k: int = WORDS) -> DataFrame:
     """Near-duplicate pairs (left_id, right_id, jaccard): bands of the signature joined, Jaccard verified.
 
-    Texts of equal fingerprint are one class, represented by its smallest
-    doc_id; rows of a class are linked to it by pairs with their own verified
-    Jaccard, and classes are compared by their representatives. Two
-    representatives that agree on a whole band of perms/bands minima become a
-    candidate; in a band's bucket each is paired with the bucket's smallest
-    doc_id and with its next neighbour, so a bucket of n gives at most 2n
-    candidates and components stay whole with high probability. At 32 bands of
-    4 a pair of likeness 0.8 is missed in one bucket run of 10**7. Texts
+    Rows of equal text are linked to the smallest doc_id among them, which
+    stands for the text. Any two different texts that agree on a whole band of
+    perms/bands minima are a candidate, so all links between texts that share a
+    bucket are found; a bucket of n texts gives n(n-1)/2 candidates. At 32 bands
+    of 4 a pair of likeness 0.8 is missed in one bucket run of 10**7. Texts
     without words pair with nothing; a null doc_id is left out.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    marks = written(fingerprints(ids, perms, k).filter("n_shingles > 0"), "fingerprints")
-    width = 4 * perms // bands
-    heads = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("head"))
-    # copies: each row with the head of its class, over salts since one class may own a third of the rows
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
+    ids = ids.withColumn("text_id", F.xxhash64("text"))
+    texts = written(ids.groupBy("text_id").agg(F.min("doc_id").alias("head"), F.first("text").alias("text")), "texts")
+    named = texts.select(F.col("text_id").alias("doc_id"), "text")
+    marks = written(fingerprints(named, perms, k).filter("n_shingles > 0").withColumnRenamed("doc_id", "text_id"), "fingerprints")
+    heads = texts.select("text_id", "head").join(marks, "text_id", "left_semi")
+    # copies: each row with the head of its text, over salts since one text may own a third of the rows
     salts = F.explode(F.array(*[F.lit(s) for s in range(8)]))
     copies = (
-        marks.withColumn("s", F.pmod(F.hash("doc_id"), F.lit(8)))
-        .join(heads.withColumn("s", salts), ["fingerprint", "s"])
-        .filter("doc_id <> head")
-        .select(F.col("head").alias("left_id"), F.col("doc_id").alias("right_id"))
+        ids.select("doc_id", "text_id", F.pmod(F.hash("doc_id"), F.lit(8)).alias("s"))
+        .join(heads.withColumn("s", salts), ["text_id", "s"])
+        .select(F.col("head").alias("left_id"), F.col("doc_id").alias("right_id"), F.lit(1.0).alias("jaccard"))
     )
+    width = 4 * perms // bands
     band = F.explode(F.array(*[F.concat(F.lit(f"{b}:"), F.substring("fingerprint", b * width + 1, width)) for b in range(bands)]))
-    rows = heads.select("head", band.alias("band"))
-    first = rows.groupBy("band").agg(F.min("head").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    stars = rows.join(first, "band").filter("head <> first").select(F.col("first").alias("left_id"), F.col("head").alias("right_id"))
-    from pyspark.sql import Window
-
-    chain = rows.withColumn("left_id", F.lag("head").over(Window.partitionBy("band").orderBy("head"))).filter("left_id is not null").select("left_id", F.col("head").alias("right_id"))
-    pairs = copies.unionByName(stars).unionByName(chain).distinct()
-    return verified(pairs, ids, k).filter(F.col("jaccard") >= threshold)
+    rows = marks.select(F.col("text_id").alias("left_id"), band.alias("band"))
+    pairs = rows.join(rows.select(F.col("left_id").alias("right_id"), "band"), "band").filter("left_id < right_id").select("left_id", "right_id").distinct()
+    near = verified(pairs, named, k).filter(F.col("jaccard") >= threshold)
+    # from texts to their doc_ids
+    near = near.join(heads.toDF("left_id", "a"), "left_id").join(heads.toDF("right_id", "b"), "right_id")
+    near = near.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), "jaccard")
+    every = near.unionByName(copies).filter("left_id <> right_id").filter(F.col("jaccard") >= threshold)
+    return every.groupBy("left_id", "right_id").agg(F.max("jaccard").alias("jaccard"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
