@@ -2,9 +2,10 @@
 
 Hierarchical multi-length packing. A document's tokens give whole windows of
 the longest context size; its tail is routed to the smallest context-size tier
-that holds it. Sequences open with the longest tails, their gaps are filled
-from the same and shorter tiers by best fit, and a last gap is closed by
-cutting a shorter tail. What is left at the end of a partition is cut into
+that holds it. Each tier packs sequences of its own size, the longest tier
+first: a sequence opens with the tier's longest tail, its gap is filled from
+the same and shorter tiers by best fit, and a last gap is closed by cutting a
+tail of these tiers. What is left at the end of a partition is cut into
 sequences of power-of-two lengths, which need no padding. Sequences are then
 dealt to step groups of equal attention cost.
 """
@@ -12,6 +13,7 @@ dealt to step groups of equal attention cost.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,11 +63,18 @@ class Packer:
         self.waiting: list[list[_Tail]] = [[] for _ in range(size + 1)]  # by length
         self.filled = 0  # bit n: a tail of n tokens waits
         self.count = self.tokens = 0
+        self.bands = [(low, high, ((1 << (high + 1)) - 1) ^ ((1 << (low + 1)) - 1)) for low, high in zip([0, *self.tiers], self.tiers)]
+        self.held = [0] * len(self.tiers)  # tokens that wait in each tier
         self.done: list[list[_Tail]] = []
         self.groups = 0
 
+    def _tier(self, n: int) -> int:
+        """The smallest tier that holds n tokens."""
+        return bisect_left(self.tiers, n)
+
     def _put(self, tail: _Tail) -> None:
         n = len(tail.ids)
+        self.held[self._tier(n)] += n
         self.waiting[n].append(tail)
         self.filled |= 1 << n
         self.count += 1
@@ -81,6 +90,7 @@ class Packer:
             self.filled ^= 1 << n
         self.count -= 1
         self.tokens -= n
+        self.held[self._tier(n)] -= n
         return tail
 
     def _take_to_cut(self, gap: int) -> _Tail | None:
@@ -94,6 +104,7 @@ class Packer:
             self.filled ^= 1 << n
         self.count -= 1
         self.tokens -= n
+        self.held[self._tier(n)] -= n
         return tail
 
     def add(self, doc: int | None, ids: np.ndarray) -> None:
@@ -107,20 +118,20 @@ class Packer:
             self.pack(self.hold // 2)
 
     def pack(self, keep: int) -> None:
-        """Fill sequences until at most so many tails, or less than a sequence, wait."""
-        while self.count > keep and self.tokens >= self.size:
-            sequence, gap = [], self.size
-            while gap:
-                if tail := self._take(gap):
-                    # a tail of the tier above that the gap nearly holds is cut rather than many short ones gathered
+        """Fill sequences of each tier until at most so many tails wait, or no tier with a tail of its own can fill one."""
+        for k in reversed(range(len(self.tiers))):
+            _, size, own = self.bands[k]
+            # at least a gap's tokens wait in these tiers, so the shortest tail longer than the gap is one of theirs
+            while self.count > keep and self.filled & own and sum(self.held[: k + 1]) >= size:
+                sequence, gap = [], size
+                while gap:
+                    if not (tail := self._take(gap)):
+                        longer = self._take_to_cut(gap)
+                        tail = longer.cut(gap)
+                        self._put(longer)
                     sequence.append(tail)
                     gap -= len(tail.ids)
-                else:
-                    tail = self._take_to_cut(gap)
-                    sequence.append(tail.cut(gap))
-                    self._put(tail)
-                    gap = 0
-            self.done.append(sequence)
+                self.done.append(sequence)
 
     def finish(self) -> None:
         self.pack(0)
@@ -169,10 +180,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, tiers: tuple[int, ..
 
     Each token of each document, and the ``end_id`` after its last one, lies in
     exactly one piece. ``start`` counts the document's tokens before the piece;
-    ``offset`` is its place in the sequence. Only the last few sequences of an
-    input partition are shorter than ``size``, and those are powers of two, so
-    nothing is padded. ``tier`` is the smallest context size that holds the
-    sequence, ``step_group`` deals a partition's sequences to steps of up to
+    ``offset`` is its place in the sequence. A sequence is as long as its
+    ``tier``, the smallest context size that holds it; only the last few
+    sequences of an input partition are shorter, and those are powers of two,
+    so nothing is padded. ``step_group`` deals a partition's sequences to steps of up to
     ``group`` sequences of like cost (sum of squared piece lengths).
 
     A null or empty text is the ``end_id`` alone. Repeated rows are packed each
