@@ -94,7 +94,7 @@ def _least(n: Column, percent: int) -> Column:
     return F.ceil(n * (percent / 100) - 1e-6)
 
 
-def duplicate_lines(docs: DataFrame, percent: int = 80, k: int = 5, salts: int = 8, short: bool = False) -> DataFrame:
+def duplicate_lines(docs: DataFrame, percent: int = 80, k: int = 5, salts: int = 8, short: bool = False, by_text: bool = False) -> DataFrame:
     """(doc_id, text_hash, line_no) of each line to remove (see :func:`dedup` for the rule)."""
     ranks = rarity(docs, k, short)
     keyed = _hashed(_lines(docs), k, short).select("doc_id", "text_hash", "line_no", _keys(ranks).alias("keys"))
@@ -111,9 +111,9 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, k: int = 5, salts: int =
     shared = written(listed.filter("before is not null or after is not null").drop("before", "after"), "line-lists")
     # sizes and texts of the listed sets; the index itself is kept narrow
     named = shared.select("sid").distinct()
-    about = written(firsts.select("sid", "f.text_hash", "f.n").join(named, "sid", "left_semi"), "line-about")
-    lead = about.select(F.col("sid").alias("lead_sid"), F.col("n").alias("lead_n"))
-    live = written(shared.join(about, "sid").join(lead, "lead_sid").withColumn("lead", F.struct(F.col("lead_sid").alias("sid"), F.col("lead_n").alias("n"))).drop("lead_sid", "lead_n"), "line-lists")
+    about = written(firsts.select("sid", "f.text_hash", "f.n", F.struct("f.doc_id", "f.line_no", "f.text_hash").alias("place")).join(named, "sid", "left_semi"), "line-about")
+    lead = about.select(F.col("sid").alias("lead_sid"), F.col("n").alias("lead_n"), F.col("place").alias("lead_place"))
+    live = written(shared.join(about, "sid").join(lead, "lead_sid").withColumn("lead", F.struct(F.col("lead_sid").alias("sid"), F.col("lead_n").alias("n"), F.col("lead_place").alias("place"))).drop("lead_sid", "lead_n", "lead_place"), "line-lists")
 
     # the token sets of the listed lines, made again from the texts that hold them
     wanted = live.select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), F.col("line_no").alias("w_line")).distinct()
@@ -136,11 +136,13 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, k: int = 5, salts: int =
         return pairs.join(b, "late").join(a, "early").filter(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("late").distinct()
 
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    led = live.filter((F.col("lead.sid") != F.col("sid")) & fits(F.col("lead.n"), F.col("n"))).groupBy(F.col("sid").alias("late"), F.col("lead.sid").alias("early")).agg(F.count(F.lit(1)).alias("c"))
+    # the lists part lines of one doc_id and line number by sid; by_text asks for the order of their texts
+    led = live.filter(F.col("lead.place") < F.col("place")) if by_text else live
+    led = led.filter((F.col("lead.sid") != F.col("sid")) & fits(F.col("lead.n"), F.col("n"))).groupBy(F.col("sid").alias("late"), F.col("lead.sid").alias("early")).agg(F.count(F.lit(1)).alias("c"))
     best = led.groupBy("late").agg(F.max_by("early", F.struct("c", "early")).alias("early"))
     gone = written(similar(best), "lines-gone")
 
-    rows = live.select("key", "sid", "n", "pos", me.alias("me"))
+    rows = live.select("key", "sid", "n", "pos", (F.col("place") if by_text else me).alias("me"))
     late = rows.join(gone, rows.sid == gone.late, "left_anti").toDF("key", "late", "late_n", "late_pos", "late_me")
     early = rows.toDF("key", "early", "early_n", "early_pos", "early_me")
     need = F.ceil((F.col("early_n") + F.col("late_n")) * percent / (100 + percent) - 1e-6)
@@ -155,10 +157,12 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, k: int = 5, salts: int =
     spread = repeated.withColumn("salt", F.explode(F.array(*[F.lit(s) for s in range(salts)])))
     some = marks.select("doc_id", "text_hash", "line_no", "sid").withColumn("salt", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(salts)).cast("int"))
     first = (F.col("doc_id") == F.col("f_id")) & (F.col("line_no") == F.col("f_line"))
+    if by_text:
+        first = first & (F.col("text_hash") == F.col("f_hash"))
     return some.join(spread, ["sid", "salt"]).filter(F.coalesce("out", F.lit(False)) | ~first).select("doc_id", "text_hash", "line_no")
 
 
-def dedup(docs: DataFrame, percent: int = 80, k: int = 5, short: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, percent: int = 80, k: int = 5, short: bool = False, by_text: bool = False) -> DataFrame:
     """``docs`` with later similar lines taken out of ``text``; adds n_lines and n_removed.
 
     Lines are parted by line feeds. Words are runs of characters other than
@@ -174,10 +178,12 @@ def dedup(docs: DataFrame, percent: int = 80, k: int = 5, short: bool = False) -
     A null text stays null with no line removed, an empty one is one empty
     line; a null doc_id comes after all others. Rows that share a doc_id are
     ordered by line number; a row repeated whole loses the lines that its twin
-    loses. All other columns are kept as they are; columns named n_lines and
+    loses. With ``by_text`` (as op7 and the pipeline call it) the order is
+    (doc_id, line number, xxhash64 of the text), so that of different texts with
+    the same or no doc_id only one keeps a line they share at one line number. All other columns are kept as they are; columns named n_lines and
     n_removed are replaced.
     """
-    out = duplicate_lines(docs, percent, k, short=short).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("_removed"))
+    out = duplicate_lines(docs, percent, k, short=short, by_text=by_text).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("_removed"))
     out = out.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_removed")
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]

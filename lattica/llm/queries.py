@@ -54,7 +54,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup(_read(spark, sf_dir, "documents"), short=True).select("doc_id", "text", "n_lines", "n_removed")
+    return linededup.dedup(_read(spark, sf_dir, "documents"), short=True, by_text=True).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
