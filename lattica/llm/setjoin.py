@@ -7,10 +7,13 @@ each index list holds the sets of one shingle, ascending by size, with the
 shingle's position in each.
 
 Two relations between sets save work. *Index level*: within a list, blocks of
-entries too small, or too far on in their prefixes, to reach the threshold are
-passed over. *Answer level*: in a first round every set is checked against the
-one earlier set it shares most lists with; where that holds, the two share one
-answer, their component. In a second round each set meets a bounded choice of
+entries too small to reach the threshold are passed over. Blocks are not
+skipped by position: a pair's positions are judged once its lists are counted,
+since the count of shared prefix shingles, which bounds the intersection,
+needs its occurrences at every position. *Component level*: in a first round
+every set is checked against the one earlier set it shares most lists with;
+where that holds, the two share one component. Links inside a component are
+neither derived from those of a similar set nor returned. In a second round each set meets a bounded choice of
 its lists' sets with other answers, and in the last one all that have another
 answer still. Thousands of near copies thus cost a few checks each, and every
 link between different components is still tried.
