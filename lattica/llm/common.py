@@ -55,7 +55,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df``: write it to the shared folder and read it again."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)  # most columns are hashes
     release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

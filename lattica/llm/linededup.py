@@ -1,193 +1,189 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame operations only.
 
-A line's tokens are its distinct five-word shingles (a shorter line's is its
-whole word sequence, where that is asked for), ordered by rarity (counts
-over all lines, by hash bucket; the order only has to be the same for all).
-Lines with equal sets collapse to the first of them. A prefix of each set is
-indexed: two sets that reach the threshold share a prefix token. Candidates
-pass a length and a positional filter and are verified by their exact Jaccard.
-A line goes if an earlier line, by (doc_id, line number), is that similar.
-
-Two rounds keep large groups of near copies linear: first each line is checked
-against the one earlier line that leads most of its index lists; only lines
-that this does not remove are paired with all earlier members of their lists.
+A line's tokens are its distinct words, ordered by rarity (counts over all
+texts, by hash bucket; the order only has to be the same for all). Lines with
+equal sets collapse to the first of them before anything is compared. A prefix
+of each set is indexed: two sets that reach the threshold share a prefix token.
+Candidates pass a length filter, a positional filter and a bound from 64-bit
+parity marks of the sets; what is left is verified by its exact Jaccard. A line
+goes if an earlier line, by (doc_id, line number), is that similar.
+
+Two rounds keep large groups of near copies linear: first each set is checked
+against the earliest set that shares one of its rarest tokens; only sets that
+this does not remove look for all earlier members of their lists.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import written
+from lattica.llm.common import removed, written
 
+#: The hash's upper bits that choose a word's bucket.
 BUCKET_BITS = 14
-#: Rows up to which a side is sent to all executors.
-SMALL = 100_000
+#: The hash's lower bits that follow the bucket's rank in a token.
+REST_BITS = 63 - BUCKET_BITS
+#: Rarest tokens by which a set finds the lists' earliest sets.
+HEADS = 3
+#: Rows up to which a side of a few numbers a row is sent to all executors.
+SMALL = 1 << 19
 #: Order key of a null doc_id: after all others.
 LAST = 2**63 - 1
+#: White space within a line.
+BLANKS = " \t\x0b\x0c\r"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line_no, words) of every line."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return rows.select("doc_id", "text_hash", "line_no", F.array_remove(F.split(F.lower("line"), r"[\x20\x09-\x0D]+"), "").alias("words"))
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def _hashed(lines: DataFrame, k: int, short: bool) -> DataFrame:
-    """Lines of at least k words, with ``hashes`` of their k-word shingles in place of ``words``.
+def _doc_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
 
-    With ``short``, lines of 1 to k-1 words too: their whole sequence is their one token.
-    Words are hashed once and then joined pairwise, runs of twice the length by
-    halves; each step is a column of its own, so that it is computed once.
-    """
-    rows = lines.filter(F.size("words") >= (1 if short else k)).withColumn("h1", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
-    n = F.size("h1")
-    have = [1]
-
-    def build(rows: DataFrame, size: int) -> DataFrame:
-        if size in have:
-            return rows
-        left = 1 << (size - 1).bit_length() - 1
-        rows = build(build(rows, left), size - left)
-        have.append(size)
-        rest = F.slice(f"h{size - left}", F.lit(left + 1), F.greatest(F.lit(0), n - left))
-        return rows.withColumn(f"h{size}", F.zip_with(f"h{left}", rest, lambda x, y: F.xxhash64(x, y)))
-
-    rows = build(rows, k)
-    hashes = F.slice(f"h{k}", F.lit(1), F.greatest(F.lit(0), n - (k - 1)))
-    if short:
-        hashes = F.when(n < k, F.array(F.xxhash64("h1"))).otherwise(hashes)
-    return rows.withColumn("hashes", hashes).drop(*[f"h{s}" for s in have])
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, line_no, line) of every line that is not empty."""
+    return docs.select(_doc_id().alias("doc_id"), F.xxhash64(_text()).alias("text_hash"), F.posexplode(F.split(_text(), "\n")).alias("line_no", "line")).filter("line <> ''")
 
 
 def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))
+    return F.shiftrightunsigned(h, 64 - BUCKET_BITS)
 
 
-def rarity(docs: DataFrame, k: int, short: bool = False) -> Column:
-    """Ranks of the hash buckets by the tokens they hold over all lines, rarest first, as one constant array."""
+def rarity(docs: DataFrame) -> Column:
+    """Ranks of the hash buckets by the words they hold over all texts, rarest first, shifted into place, as one constant array."""
     # explode() would add a filter on the array, and with it a second evaluation of it
-    tokens = _hashed(_lines(docs), k, short).select(F.explode_outer("hashes").alias("h"))
-    counts = {r["b"]: r["n"] for r in tokens.groupBy(_bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # of at most 2**14 buckets
+    words = docs.select(F.explode_outer(F.split(F.lower(_text()), r"[\x20\x09-\x0D]+")).alias("w")).filter("w <> ''")
+    counts = {r["b"]: r["n"] for r in words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # of at most 2**14 buckets
     order = sorted(range(1 << BUCKET_BITS), key=lambda b: (counts.get(b, 0), b))
     ranks = [0] * len(order)
     for rank, b in enumerate(order):
-        ranks[b] = rank
+        ranks[b] = rank << REST_BITS
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
-def _keys(ranks: Column) -> Column:
-    """The line's distinct tokens in rarity order: bucket rank above 49 bits of hash."""
-    rest = (1 << 49) - 1
-    return F.sort_array(
-        F.array_distinct(
-            F.transform(
-                "hashes",
-                lambda h: F.shiftleft(F.element_at(ranks, (_bucket(h) + 1).cast("int")), 49).bitwiseOR(F.shiftrightunsigned(h, BUCKET_BITS).bitwiseAND(F.lit(rest))),
-            )
-        )
-    )
+def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
+    """``lines`` with ``keys`` in place of the line: its distinct tokens in rarity order, a bucket's rank above 49 bits of hash."""
+    lines = lines.withColumn("line", F.btrim(F.lower("line"), F.lit(BLANKS))).filter("line <> ''")
+    hashed = lines.withColumn("hashes", F.array_distinct(F.transform(F.split("line", r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w)))).drop("line")
+    token = lambda h: F.get(ranks, _bucket(h).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << REST_BITS) - 1)))
+    return hashed.withColumn("keys", F.sort_array(F.transform("hashes", token))).drop("hashes")
 
 
 def _least(n: Column, percent: int) -> Column:
     return F.ceil(n * (percent / 100) - 1e-6)
 
 
-def duplicate_lines(docs: DataFrame, percent: int = 80, k: int = 5, salts: int = 8, short: bool = False, by_text: bool = False) -> DataFrame:
-    """(doc_id, text_hash, line_no) of each line to remove (see :func:`dedup` for the rule)."""
-    ranks = rarity(docs, k, short)
-    keyed = _hashed(_lines(docs), k, short).select("doc_id", "text_hash", "line_no", _keys(ranks).alias("keys"))
+def _may_match(n: Column, m: Column, bits: Column, other: Column, percent: int) -> Column:
+    """Length filter and parity bound for sets of n and m tokens: |x & y| <= (n + m - popcount(xor)) / 2."""
+    fits = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    need = F.ceil((n + m) * (percent / (100 + percent)) - 1e-6)
+    return fits & (n + m - F.bit_count(bits.bitwiseXOR(other)) >= 2 * need)
+
+
+def duplicate_lines(docs: DataFrame, percent: int = 80, salts: int = 8) -> DataFrame:
+    """(doc_id, text_hash, line_no) of each line to remove (see :func:`dedup` for the rule), as a written table."""
+    spark = docs.sparkSession
+    ranks = rarity(docs)
+    source = _lines(docs)
     n = F.size("keys")
-    marks = written(
-        keyed.select("doc_id", "text_hash", "line_no", n.alias("n"), F.xxhash64("keys").alias("sid"), F.slice("keys", 1, (n - _least(n, percent) + 1).cast("int")).alias("prefix")),
-        "line-marks",
+    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+    marked = _sets(source.withColumn("line_hash", F.xxhash64("line")), ranks).select(
+        "doc_id", "text_hash", "line_no", "line_hash", F.xxhash64("keys").alias("sid"), n.alias("n"), parity.alias("bits"), F.slice("keys", F.lit(1), (n - _least(n, percent) + 1).cast("int")).alias("prefix")
     )
-    firsts = marks.groupBy("sid").agg(F.min(F.struct("doc_id", "line_no", "text_hash", "n", "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
-    entries = firsts.select("sid", "f.doc_id", "f.line_no", F.posexplode("f.prefix").alias("pos", "key"))
-    in_list = Window.partitionBy("key").orderBy("doc_id", "line_no", "sid")
-    me = F.struct("doc_id", "line_no", "sid")
-    listed = entries.select("key", "sid", "doc_id", "line_no", "pos", F.lag("sid").over(in_list).alias("before"), F.lead("sid").over(in_list).alias("after"), F.first("sid").over(in_list).alias("lead_sid"))
-    shared = written(listed.filter("before is not null or after is not null").drop("before", "after"), "line-lists")
-    # sizes and texts of the listed sets; the index itself is kept narrow
-    named = shared.select("sid").distinct()
-    about = written(firsts.select("sid", "f.text_hash", "f.n", F.struct("f.doc_id", "f.line_no", "f.text_hash").alias("place")).join(named, "sid", "left_semi"), "line-about")
-    lead = about.select(F.col("sid").alias("lead_sid"), F.col("n").alias("lead_n"), F.col("place").alias("lead_place"))
-    live = written(shared.join(about, "sid").join(lead, "lead_sid").withColumn("lead", F.struct(F.col("lead_sid").alias("sid"), F.col("lead_n").alias("n"), F.col("lead_place").alias("place"))).drop("lead_sid", "lead_n", "lead_place"), "line-lists")
-
-    # the token sets of the listed lines, made again from the texts that hold them
-    wanted = live.select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), F.col("line_no").alias("w_line")).distinct()
-    holders = written(wanted.select("w_id", "w_hash").distinct(), "line-holders")
-    if holders.limit(SMALL + 1).count() <= SMALL:
-        holders = F.broadcast(holders)  # at most SMALL rows of 16 bytes; beyond that the texts are shuffled to them
-    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    source = docs.select("doc_id", "text").join(holders, (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("w_id")) & (text_hash == F.col("w_hash")), "left_semi")
-    lines = _lines(source)
-    if wanted.limit(SMALL + 1).count() <= SMALL:
-        wanted = F.broadcast(wanted)
-    lines = lines.join(wanted, (lines.doc_id == wanted.w_id) & (lines.text_hash == wanted.w_hash) & (lines.line_no == wanted.w_line), "left_semi")
-    members = written(_hashed(lines, k, short).select(_keys(ranks).alias("keys")).select(F.xxhash64("keys").alias("sid"), "keys").dropDuplicates(["sid"]), "line-sets")
+    marks = written(marked, "line-marks")
+    place = ["doc_id", "line_no", "text_hash"]
+    one = marks.groupBy("sid").agg(F.min(F.struct(*place, "line_hash", "n", "bits", "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
+    firsts = written(one.select("sid", "copies", "f.*"), "line-firsts")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """Of the pairs (early, late) of set ids those that reach the threshold."""
-        a = members.select(F.col("sid").alias("early"), F.col("keys").alias("a"))
-        b = members.select(F.col("sid").alias("late"), F.col("keys").alias("b"))
-        common = F.size(F.array_intersect("a", "b"))
-        return pairs.join(b, "late").join(a, "early").filter(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("late").distinct()
-
-    fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    # the lists part lines of one doc_id and line number by sid; by_text asks for the order of their texts
-    led = live.filter(F.col("lead.place") < F.col("place")) if by_text else live
-    led = led.filter((F.col("lead.sid") != F.col("sid")) & fits(F.col("lead.n"), F.col("n"))).groupBy(F.col("sid").alias("late"), F.col("lead.sid").alias("early")).agg(F.count(F.lit(1)).alias("c"))
-    best = led.groupBy("late").agg(F.max_by("early", F.struct("c", "early")).alias("early"))
-    gone = written(similar(best), "lines-gone")
-
-    rows = live.select("key", "sid", "n", "pos", (F.col("place") if by_text else me).alias("me"))
-    late = rows.join(gone, rows.sid == gone.late, "left_anti").toDF("key", "late", "late_n", "late_pos", "late_me")
-    early = rows.toDF("key", "early", "early_n", "early_pos", "early_me")
-    need = F.ceil((F.col("early_n") + F.col("late_n")) * percent / (100 + percent) - 1e-6)
-    room = F.least(F.col("early_n") - F.col("early_pos"), F.col("late_n") - F.col("late_pos"))
-    pairs = late.join(early, "key").filter((F.col("early_me") < F.col("late_me")) & fits(F.col("early_n"), F.col("late_n")) & (room >= need)).select("early", "late").distinct()
-    more = written(similar(pairs), "lines-gone")
+        """Of the pairs (late, early) of set ids with the sets' first places the late ones of those that reach the threshold."""
+        ends = [pairs.select(F.col(s).alias("sid"), f"{s}_place.*") for s in ("late", "early")]
+        wanted = written(ends[0].unionByName(ends[1]).distinct(), "line-places")
+        few = wanted.limit(SMALL + 1).count() <= SMALL
+        sent = F.broadcast if few else (lambda df: df)  # at most SMALL rows of 40 bytes; beyond that lines are shuffled to them
+        rows = source.withColumn("line_hash", F.xxhash64("line")).join(sent(wanted.drop("sid")), [*place, "line_hash"], "left_semi")
+        sets = written(_sets(rows, ranks).select(F.xxhash64("keys").alias("sid"), "keys").dropDuplicates(["sid"]), "line-sets")
+        side = lambda name: sets.select(F.col("sid").alias(name), F.col("keys").alias(f"{name}_keys"))
+        both = pairs.select("late", "early").join(side("late"), "late").join(side("early"), "early")
+        shared = F.size(F.array_intersect("late_keys", "early_keys"))
+        counted = both.select("late", shared.alias("c"), (F.size("late_keys") + F.size("early_keys")).alias("s"))
+        out = written(counted.filter(100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).select("late").distinct(), "line-gone")
+        for done in (wanted, sets):
+            removed(spark, done)
+        return out
+
+    # round 1: the earliest set of the lists of a set's rarest tokens
+    here = F.struct(*place, "line_hash")
+    heads = firsts.select(F.explode(F.slice("prefix", 1, HEADS)).alias("key"), here.alias("late_place"), "sid", "n", "bits")
+    leads = heads.groupBy("key").agg(F.min(F.struct(F.col("late_place").alias("place"), "sid", "n", "bits")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "f")
+    met = heads.join(leads, "key").filter((F.col("sid") != F.col("f.sid")) & _may_match(F.col("n"), F.col("f.n"), F.col("bits"), F.col("f.bits"), percent))
+    best = met.groupBy(F.col("sid").alias("late")).agg(F.max_by(F.struct("late_place", "f"), F.struct(-F.abs(F.col("n") - F.col("f.n")), "f.sid")).alias("b"))
+    chosen = written(best.select("late", "b.late_place", F.col("b.f.sid").alias("early"), F.col("b.f.place").alias("early_place")), "line-pairs")
+    gone = similar(chosen)
+
+    # round 2: all sets of the lists of those that are left; n, position and whether a set is left share one number
+    left = firsts.join(gone, firsts.sid == gone.late, "left").select("sid", "n", "bits", "prefix", F.col("late").isNull().cast("long").alias("open"))
+    entries = left.select(F.posexplode("prefix").alias("pos", "key"), "sid", "bits", "n", "open")
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.col("open"))
+    late, early = (entries.select(F.col("key").alias(f"{s}_key"), F.col("sid").alias(s), packed.alias(f"{s}_at"), F.col("bits").alias(f"{s}_bits")) for s in ("late", "early"))
+    size = {s: F.shiftright(f"{s}_at", 32) for s in ("late", "early")}
+    pos = {s: F.shiftright(F.col(f"{s}_at").bitwiseAND(F.lit((1 << 32) - 1)), 1) for s in ("late", "early")}
+    room = F.least(*[size[s] - pos[s] for s in pos])
+    need = lambda x, y: F.ceil((x + y) * (percent / (100 + percent)) - 1e-6)
+    # of a pair that reaches the threshold at most as many tokens are shared before this one as the lesser position says
+    near = (
+        (F.col("late_key") == F.col("early_key"))
+        & (F.col("late_at").bitwiseAND(F.lit(1)) == 1)
+        & (F.col("late") != F.col("early"))
+        & (room + F.least(pos["late"], pos["early"]) >= need(size["late"], size["early"]))
+        & _may_match(size["late"], size["early"], F.col("late_bits"), F.col("early_bits"), percent)
+    )
+    rows = late.join(early, near).select("late", "early", size["late"].alias("n"), size["early"].alias("m"), (room >= need(size["late"], size["early"])).cast("int").alias("ok"))
+    counted = rows.groupBy("late", "early", "n", "m").agg(F.count(F.lit(1)).alias("c"), F.max("ok").alias("ok"))
+    # the shared prefix tokens and all others of the larger rest bound the intersection
+    rest = F.greatest(_least(F.col("n"), percent), _least(F.col("m"), percent)) - 1
+    found = written(counted.filter((F.col("ok") > 0) & (F.col("c") + rest >= need(F.col("n"), F.col("m")))).select("late", "early"), "line-pairs")
+    ids = found.select(F.col("late").alias("sid")).unionByName(found.select(F.col("early").alias("sid"))).distinct()
+    spots = written(firsts.join(ids, "sid", "left_semi").select("sid", here.alias("spot")), "line-places")
+    at = lambda s: spots.select(F.col("sid").alias(s), F.col("spot").alias(f"{s}_place"))
+    tried = written(found.join(at("late"), "late").join(at("early"), "early").filter("early_place < late_place").select("late", "late_place", "early", "early_place"), "line-pairs")
+    more = similar(tried)
 
     # a removed set loses all its lines, any other set all but its first
-    removed_sets = gone.unionByName(more)
-    repeated = firsts.select("sid", F.col("f.doc_id").alias("f_id"), F.col("f.line_no").alias("f_line"), F.col("f.text_hash").alias("f_hash"), "copies")
-    repeated = repeated.join(removed_sets.withColumn("out", F.lit(True)), repeated.sid == removed_sets.late, "left").filter("out or copies > 1").drop("late")
+    out = gone.unionByName(more).distinct().withColumn("out", F.lit(True))
+    repeated = firsts.select("sid", *[F.col(c).alias(f"f_{c}") for c in place], "copies").join(out, F.col("sid") == F.col("late"), "left").filter("out or copies > 1").drop("late", "copies")
     spread = repeated.withColumn("salt", F.explode(F.array(*[F.lit(s) for s in range(salts)])))
-    some = marks.select("doc_id", "text_hash", "line_no", "sid").withColumn("salt", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(salts)).cast("int"))
-    first = (F.col("doc_id") == F.col("f_id")) & (F.col("line_no") == F.col("f_line"))
-    if by_text:
-        first = first & (F.col("text_hash") == F.col("f_hash"))
-    return some.join(spread, ["sid", "salt"]).filter(F.coalesce("out", F.lit(False)) | ~first).select("doc_id", "text_hash", "line_no")
+    some = marks.select(*place, "sid").withColumn("salt", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(salts)).cast("int"))
+    first = (F.col("doc_id") == F.col("f_doc_id")) & (F.col("line_no") == F.col("f_line_no")) & (F.col("text_hash") == F.col("f_text_hash"))
+    gone_lines = written(some.join(spread, ["sid", "salt"]).filter(F.coalesce("out", F.lit(False)) | ~first).select("doc_id", "text_hash", "line_no"), "line-removed")
+    for done in (marks, firsts, chosen, found, spots, tried, gone, more):
+        removed(spark, done)
+    return gone_lines
 
 
-def dedup(docs: DataFrame, percent: int = 80, k: int = 5, short: bool = False, by_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with later similar lines taken out of ``text``; adds n_lines and n_removed.
 
     Lines are parted by line feeds. Words are runs of characters other than
-    0x20 and 0x09-0x0D, in lower case; a line's set holds its distinct
-    ``k``-word shingles. With ``short`` (as op7 and the pipeline call it) a line
-    of 1 to k-1 words has its whole sequence as its one shingle and only a line
-    without words always stays; without it, no line of fewer than k words is removed. A line is
-    removed if an earlier line, by (doc_id, line number) over the whole table,
-    has a Jaccard of at least ``percent`` hundredths; the earlier line counts
-    whether or not it is removed itself. The lines left are joined by line
-    feeds again, untouched.
+    0x20 and 0x09-0x0D, in lower case; a line's set holds its distinct words. A
+    line is removed if an earlier line, by (doc_id, line number) over the whole
+    table, has a Jaccard of at least ``percent`` hundredths; the earlier line
+    counts whether or not it is removed itself. A line of any length counts,
+    but one without words always stays. The lines left are joined by line feeds
+    again, untouched.
 
     A null text stays null with no line removed, an empty one is one empty
-    line; a null doc_id comes after all others. Rows that share a doc_id are
-    ordered by line number; a row repeated whole loses the lines that its twin
-    loses. With ``by_text`` (as op7 and the pipeline call it) the order is
-    (doc_id, line number, xxhash64 of the text), so that of different texts with
-    the same or no doc_id only one keeps a line they share at one line number. All other columns are kept as they are; columns named n_lines and
-    n_removed are replaced.
+    line; a null doc_id comes after all others. Of rows that share a doc_id the
+    lines are ordered by (line number, xxhash64 of the text); a row repeated
+    whole loses the lines that its twin loses. All other columns are kept as
+    they are; columns named n_lines and n_removed are replaced.
     """
-    out = duplicate_lines(docs, percent, k, short=short, by_text=by_text).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("_removed"))
+    out = duplicate_lines(docs, percent).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("_removed"))
     out = out.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_removed")
-    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*kept).join(out, (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("_id")) & (text_hash == F.col("_hash")), "left")
+    joined = docs.select(*kept).join(out, (_doc_id() == F.col("_id")) & (F.xxhash64(_text()) == F.col("_hash")), "left")
     lines = F.split(F.col("text").cast("string"), "\n")
     rest = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n"))
     n_removed = F.when(F.col("_removed").isNull(), 0).otherwise(F.size("_removed"))

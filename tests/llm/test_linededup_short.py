@@ -5,9 +5,8 @@ import corpus_pipeline
 from lattica.llm import linededup, queries
 
 
-def line_set(line, k=5):
-    w = [x for x in re.split(r"[\x20\x09-\x0d]+", line.lower()) if x]
-    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+def line_set(line):
+    return {x for x in re.split(r"[\x20\x09-\x0d]+", line.lower()) if x}
 
 
 def brute(docs, percent=80):
@@ -19,7 +18,7 @@ def brute(docs, percent=80):
 def test_short_lines_equal_brute_force(spark):
     rng = random.Random(4)
     docs = [(d, "\n".join(" ".join(rng.choice("abAB") for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 9]))) for _ in range(rng.randint(1, 6)))) for d in range(60)]
-    got = linededup.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), short=True)
+    got = linededup.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
     assert sorted((r.doc_id, r.text, r.n_removed) for r in got.collect()) == brute(docs)
 
 
@@ -29,3 +28,24 @@ def test_query_and_pipeline_remove_short_copies(spark, tmp_path):
     got = queries.op7_line_dedup(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == [(1, "Read more\n\nx y", 0), (2, "\nits own line", 1), (3, "", 1)]
     assert sorted(tuple(r) for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()) == [(1, "Read more\n\nx y", 12), (2, "\nits own line", 13)]
+
+
+def test_large_group_of_near_copies(spark):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    docs = []
+    for d in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(60)] = f"new{rng.randrange(2000)}"
+        docs.append((d, " ".join(w)))
+    got = linededup.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(7))
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in got.collect()) == brute(docs)
+
+
+def test_no_exact_repeat_stays(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = linededup.dedup(docs).collect()
+    sets = [tuple(sorted(line_set(x))) for r in out for x in (r.text or "").split("\n")]
+    sets = [x for x in sets if x]
+    assert len(sets) == len(set(sets))

@@ -26,9 +26,9 @@ def test_repeated_ids_equal_brute_force(spark):
         docs.append((rng.choice([None, 1, 2]), "\n".join(lines) + f"\nown {n}"))
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     hashes = {r.text: r.h for r in frame.select("text", F.xxhash64("text").alias("h")).collect()}
-    sets = lambda x: (lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})(x.split())
+    sets = lambda x: set(x.split())
     lines = sorted((2**63 - 1 if d is None else d, n, hashes[t], sets(x)) for d, t in docs for n, x in enumerate(t.split("\n")))
     gone = {(h, n) for i, (_, n, h, s) in enumerate(lines) if any(100 * len(s & x) >= 80 * len(s | x) for *_, x in lines[:i])}
     want = sorted((t, "\n".join(x for n, x in enumerate(t.split("\n")) if (hashes[t], n) not in gone)) for _, t in docs)
     keyed = frame.withColumn("was", F.col("text"))
-    assert sorted((r.was, r.text) for r in linededup.dedup(keyed, short=True, by_text=True).collect()) == want
+    assert sorted((r.was, r.text) for r in linededup.dedup(keyed).collect()) == want
