@@ -4,8 +4,8 @@ A line's tokens are its distinct words, ordered by rarity (counts over all
 texts, by hash bucket; the order only has to be the same for all). Lines with
 equal sets collapse to the first of them before anything is compared. A prefix
 of each set is indexed: two sets that reach the threshold share a prefix token.
-Candidates pass a length filter, a positional filter and a bound from 64-bit
-parity marks of the sets; what is left is verified by its exact Jaccard. A line
+Candidates pass a length filter, a positional filter and a bound from 128
+parity marks of each set; what is left is verified by its exact Jaccard. A line
 goes if an earlier line, by (doc_id, line number), is that similar.
 
 Two rounds keep large groups of near copies linear: first each set is checked
@@ -15,17 +15,22 @@ this does not remove look for all earlier members of their lists.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import removed, written
 
-#: The hash's upper bits that choose a word's bucket.
-BUCKET_BITS = 14
-#: The hash's lower bits that follow the bucket's rank in a token.
-REST_BITS = 63 - BUCKET_BITS
+#: The hash's upper bits that choose a word's bucket; eight buckets share one number of the table of ranks.
+BUCKET_BITS = 17
+#: The hash's lower bits that follow the rank in a token.
+REST_BITS = 56
 #: Rarest tokens by which a set finds the lists' earliest sets.
-HEADS = 3
+HEADS = 2
+#: Parts of the keys that are joined one after another, which bounds the disk that the index takes.
+PARTS = 2
 #: Rows up to which a side of a few numbers a row is sent to all executors.
 SMALL = 1 << 19
 #: Order key of a null doc_id: after all others.
@@ -47,54 +52,64 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select(_doc_id().alias("doc_id"), F.xxhash64(_text()).alias("text_hash"), F.posexplode(F.split(_text(), "\n")).alias("line_no", "line")).filter("line <> ''")
 
 
-def _bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - BUCKET_BITS)
-
-
 def rarity(docs: DataFrame) -> Column:
-    """Ranks of the hash buckets by the words they hold over all texts, rarest first, shifted into place, as one constant array."""
+    """Ranks of the hash buckets by the words they hold over all texts, as one constant array of eight ranks a number.
+
+    A rank is a quarter of an octave of the count, so 7 bits hold any count.
+    """
     # explode() would add a filter on the array, and with it a second evaluation of it
     words = docs.select(F.explode_outer(F.split(F.lower(_text()), r"[\x20\x09-\x0D]+")).alias("w")).filter("w <> ''")
-    counts = {r["b"]: r["n"] for r in words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # of at most 2**14 buckets
-    order = sorted(range(1 << BUCKET_BITS), key=lambda b: (counts.get(b, 0), b))
-    ranks = [0] * len(order)
-    for rank, b in enumerate(order):
-        ranks[b] = rank << REST_BITS
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+    counted = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    packed = [0] * (1 << BUCKET_BITS - 3)
+    for b, n in counted.toArrow().to_pandas().itertuples(index=False):  # of at most 2**17 buckets
+        packed[b >> 3] |= min(127, int(4 * math.log2(n))) << 8 * (b & 7)
+    return F.split(F.lit(",".join(map(str, packed))), ",").cast("array<bigint>")
+
+
+def _token(ranks: Column, h: Column) -> Column:
+    """The rank of a word's bucket above 56 bits of its hash."""
+    eight = F.get(ranks, F.shiftrightunsigned(h, 67 - BUCKET_BITS).cast("int"))
+    nth = F.shiftrightunsigned(h, 61 - BUCKET_BITS).bitwiseAND(F.lit(56)).cast("int")
+    rank = F.call_function("shiftright", eight, nth).bitwiseAND(F.lit(127))
+    return F.shiftleft(rank, REST_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << REST_BITS) - 1)))
 
 
 def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
-    """``lines`` with ``keys`` in place of the line: its distinct tokens in rarity order, a bucket's rank above 49 bits of hash."""
+    """``lines`` with ``keys`` in place of the line: its distinct tokens in rarity order."""
     lines = lines.withColumn("line", F.btrim(F.lower("line"), F.lit(BLANKS))).filter("line <> ''")
     hashed = lines.withColumn("hashes", F.array_distinct(F.transform(F.split("line", r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w)))).drop("line")
-    token = lambda h: F.get(ranks, _bucket(h).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << REST_BITS) - 1)))
-    return hashed.withColumn("keys", F.sort_array(F.transform("hashes", token))).drop("hashes")
+    return hashed.withColumn("keys", F.sort_array(F.transform("hashes", lambda h: _token(ranks, h)))).drop("hashes")
 
 
 def _least(n: Column, percent: int) -> Column:
     return F.ceil(n * (percent / 100) - 1e-6)
 
 
-def _may_match(n: Column, m: Column, bits: Column, other: Column, percent: int) -> Column:
+def _parity(half: int) -> Column:
+    """64 marks of a set's tokens of one half, by a bit of the hash: the parity of the tokens at each place."""
+    mark = lambda k: F.call_function("shiftleft", F.shiftright(k, 6).bitwiseXOR(F.lit(half)).bitwiseAND(F.lit(1)), k.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(mark(k)))
+
+
+def _may_match(n: Column, m: Column, marks: list[tuple[Column, Column]], percent: int) -> Column:
     """Length filter and parity bound for sets of n and m tokens: |x & y| <= (n + m - popcount(xor)) / 2."""
     fits = 100 * F.least(n, m) >= percent * F.greatest(n, m)
     need = F.ceil((n + m) * (percent / (100 + percent)) - 1e-6)
-    return fits & (n + m - F.bit_count(bits.bitwiseXOR(other)) >= 2 * need)
+    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in marks), F.lit(0))
+    return fits & (n + m - differ >= 2 * need)
 
 
 def duplicate_lines(docs: DataFrame, percent: int = 80, salts: int = 8) -> DataFrame:
     """(doc_id, text_hash, line_no) of each line to remove (see :func:`dedup` for the rule), as a written table."""
     spark = docs.sparkSession
     ranks = rarity(docs)
-    source = _lines(docs)
     n = F.size("keys")
-    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    marked = _sets(source.withColumn("line_hash", F.xxhash64("line")), ranks).select(
-        "doc_id", "text_hash", "line_no", "line_hash", F.xxhash64("keys").alias("sid"), n.alias("n"), parity.alias("bits"), F.slice("keys", F.lit(1), (n - _least(n, percent) + 1).cast("int")).alias("prefix")
+    marked = _sets(_lines(docs).withColumn("line_hash", F.xxhash64("line")), ranks).select(
+        "doc_id", "text_hash", "line_no", "line_hash", F.xxhash64("keys").alias("sid"), n.alias("n"), _parity(0).alias("odd"), _parity(1).alias("even"), F.slice("keys", F.lit(1), (n - _least(n, percent) + 1).cast("int")).alias("prefix")
     )
     marks = written(marked, "line-marks")
     place = ["doc_id", "line_no", "text_hash"]
-    one = marks.groupBy("sid").agg(F.min(F.struct(*place, "line_hash", "n", "bits", "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
+    one = marks.groupBy("sid").agg(F.min(F.struct(*place, "line_hash", "n", "odd", "even", "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
     firsts = written(one.select("sid", "copies", "f.*"), "line-firsts")
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -103,6 +118,8 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, salts: int = 8) -> DataF
         wanted = written(ends[0].unionByName(ends[1]).distinct(), "line-places")
         few = wanted.limit(SMALL + 1).count() <= SMALL
         sent = F.broadcast if few else (lambda df: df)  # at most SMALL rows of 40 bytes; beyond that lines are shuffled to them
+        texts = sent(wanted.select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")).distinct())
+        source = _lines(docs.join(texts, (_doc_id() == F.col("w_id")) & (F.xxhash64(_text()) == F.col("w_hash")), "left_semi"))
         rows = source.withColumn("line_hash", F.xxhash64("line")).join(sent(wanted.drop("sid")), [*place, "line_hash"], "left_semi")
         sets = written(_sets(rows, ranks).select(F.xxhash64("keys").alias("sid"), "keys").dropDuplicates(["sid"]), "line-sets")
         side = lambda name: sets.select(F.col("sid").alias(name), F.col("keys").alias(f"{name}_keys"))
@@ -116,18 +133,17 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, salts: int = 8) -> DataF
 
     # round 1: the earliest set of the lists of a set's rarest tokens
     here = F.struct(*place, "line_hash")
-    heads = firsts.select(F.explode(F.slice("prefix", 1, HEADS)).alias("key"), here.alias("late_place"), "sid", "n", "bits")
-    leads = heads.groupBy("key").agg(F.min(F.struct(F.col("late_place").alias("place"), "sid", "n", "bits")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "f")
-    met = heads.join(leads, "key").filter((F.col("sid") != F.col("f.sid")) & _may_match(F.col("n"), F.col("f.n"), F.col("bits"), F.col("f.bits"), percent))
+    heads = firsts.select(F.explode(F.slice("prefix", 1, HEADS)).alias("key"), here.alias("late_place"), "sid", "n", "odd", "even")
+    leads = heads.groupBy("key").agg(F.min(F.struct(F.col("late_place").alias("place"), "sid", "n", "odd", "even")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "f")
+    met = heads.join(leads, "key").filter((F.col("sid") != F.col("f.sid")) & _may_match(F.col("n"), F.col("f.n"), [(F.col(b), F.col(f"f.{b}")) for b in ("odd", "even")], percent))
     best = met.groupBy(F.col("sid").alias("late")).agg(F.max_by(F.struct("late_place", "f"), F.struct(-F.abs(F.col("n") - F.col("f.n")), "f.sid")).alias("b"))
     chosen = written(best.select("late", "b.late_place", F.col("b.f.sid").alias("early"), F.col("b.f.place").alias("early_place")), "line-pairs")
     gone = similar(chosen)
 
     # round 2: all sets of the lists of those that are left; n, position and whether a set is left share one number
-    left = firsts.join(gone, firsts.sid == gone.late, "left").select("sid", "n", "bits", "prefix", F.col("late").isNull().cast("long").alias("open"))
-    entries = left.select(F.posexplode("prefix").alias("pos", "key"), "sid", "bits", "n", "open")
+    left = firsts.join(gone, firsts.sid == gone.late, "left").select("sid", "n", "odd", "even", "prefix", F.col("late").isNull().cast("long").alias("open"))
+    entries = left.select(F.posexplode("prefix").alias("pos", "key"), "sid", "odd", "even", "n", "open")
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.col("open"))
-    late, early = (entries.select(F.col("key").alias(f"{s}_key"), F.col("sid").alias(s), packed.alias(f"{s}_at"), F.col("bits").alias(f"{s}_bits")) for s in ("late", "early"))
     size = {s: F.shiftright(f"{s}_at", 32) for s in ("late", "early")}
     pos = {s: F.shiftright(F.col(f"{s}_at").bitwiseAND(F.lit((1 << 32) - 1)), 1) for s in ("late", "early")}
     room = F.least(*[size[s] - pos[s] for s in pos])
@@ -135,13 +151,19 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, salts: int = 8) -> DataF
     # of a pair that reaches the threshold at most as many tokens are shared before this one as the lesser position says
     near = (
         (F.col("late_key") == F.col("early_key"))
-        & (F.col("late_at").bitwiseAND(F.lit(1)) == 1)
         & (F.col("late") != F.col("early"))
+        # written so that it stays in the join: both sides then share one exchange
+        & ((F.col("late_at").bitwiseAND(F.lit(1)) == 1) | (F.col("late") == F.col("early")))
         & (room + F.least(pos["late"], pos["early"]) >= need(size["late"], size["early"]))
-        & _may_match(size["late"], size["early"], F.col("late_bits"), F.col("early_bits"), percent)
+        & _may_match(size["late"], size["early"], [(F.col(f"late_{b}"), F.col(f"early_{b}")) for b in ("odd", "even")], percent)
     )
-    rows = late.join(early, near).select("late", "early", size["late"].alias("n"), size["early"].alias("m"), (room >= need(size["late"], size["early"])).cast("int").alias("ok"))
-    counted = rows.groupBy("late", "early", "n", "m").agg(F.count(F.lit(1)).alias("c"), F.max("ok").alias("ok"))
+    counts = []
+    for part in range(PARTS):
+        some = entries.filter(F.pmod(F.col("key"), F.lit(PARTS)) == part)
+        late, early = (some.select(F.col("key").alias(f"{s}_key"), F.col("sid").alias(s), packed.alias(f"{s}_at"), F.col("odd").alias(f"{s}_odd"), F.col("even").alias(f"{s}_even")) for s in ("late", "early"))
+        rows = late.join(early, near).select("late", "early", size["late"].alias("n"), size["early"].alias("m"), (room >= need(size["late"], size["early"])).cast("int").alias("ok"))
+        counts.append(written(rows.groupBy("late", "early", "n", "m").agg(F.count(F.lit(1)).alias("c"), F.max("ok").alias("ok")), "line-counts"))
+    counted = reduce(DataFrame.unionByName, counts).groupBy("late", "early", "n", "m").agg(F.sum("c").alias("c"), F.max("ok").alias("ok"))
     # the shared prefix tokens and all others of the larger rest bound the intersection
     rest = F.greatest(_least(F.col("n"), percent), _least(F.col("m"), percent)) - 1
     found = written(counted.filter((F.col("ok") > 0) & (F.col("c") + rest >= need(F.col("n"), F.col("m")))).select("late", "early"), "line-pairs")
@@ -158,7 +180,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, salts: int = 8) -> DataF
     some = marks.select(*place, "sid").withColumn("salt", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(salts)).cast("int"))
     first = (F.col("doc_id") == F.col("f_doc_id")) & (F.col("line_no") == F.col("f_line_no")) & (F.col("text_hash") == F.col("f_text_hash"))
     gone_lines = written(some.join(spread, ["sid", "salt"]).filter(F.coalesce("out", F.lit(False)) | ~first).select("doc_id", "text_hash", "line_no"), "line-removed")
-    for done in (marks, firsts, chosen, found, spots, tried, gone, more):
+    for done in (marks, firsts, chosen, *counts, found, spots, tried, gone, more):
         removed(spark, done)
     return gone_lines
 
