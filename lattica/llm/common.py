@@ -9,7 +9,6 @@ a handful of numpy passes and no per-word Python.
 from __future__ import annotations
 
 import gc
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; texts of 100 kB then stay below some 25 MB a batch.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch; a batch ends at whichever comes first, or after one longer row.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 #: Bytes of text that one numpy pass works on.
 CHUNK_BYTES = 1 << 19
 
@@ -27,6 +26,7 @@ CHUNK_BYTES = 1 << 19
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches of text columns, whatever the session's default."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,10 +62,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let go of finished shuffles: Spark deletes their files once the driver has collected its garbage."""
-    for _ in range(2):  # once to find them, once for what only they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.1)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def removed(spark: SparkSession, df: DataFrame) -> None:

@@ -8,9 +8,10 @@ Candidates pass a length filter, a positional filter and a bound from 128
 parity marks of each set; what is left is verified by its exact Jaccard. A line
 goes if an earlier line, by (doc_id, line number), is that similar.
 
-Two rounds keep large groups of near copies linear: first each set is checked
-against the earliest set that shares one of its rarest tokens; only sets that
-this does not remove look for all earlier members of their lists.
+Rounds keep large groups of near copies linear: first each set is checked
+against the earliest set that shares one of its rarest tokens, then the sets of
+long lists that this does not remove against the best of several leads; only
+what is left looks for all earlier members of its lists.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ BUCKET_BITS = 17
 REST_BITS = 56
 #: Rarest tokens by which a set finds the lists' earliest sets.
 HEADS = 2
+#: Sets that a list may keep open before it gets several leads, how many, and how often it gets others.
+LONG, LEADS, ROUNDS = 128, 32, 2
 #: Parts of the keys that are joined one after another, which bounds the disk that the index takes.
 PARTS = 2
 #: Rows up to which a side of a few numbers a row is sent to all executors.
@@ -91,12 +94,21 @@ def _parity(half: int) -> Column:
     return F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(mark(k)))
 
 
+def _differ(marks: list[tuple[Column, Column]]) -> Column:
+    """Places at which the marks of two sets differ: no more than the tokens that only one of them has."""
+    return reduce(lambda x, y: x + y, [F.bit_count(x.bitwiseXOR(y)) for x, y in marks])
+
+
 def _may_match(n: Column, m: Column, marks: list[tuple[Column, Column]], percent: int) -> Column:
     """Length filter and parity bound for sets of n and m tokens: |x & y| <= (n + m - popcount(xor)) / 2."""
     fits = 100 * F.least(n, m) >= percent * F.greatest(n, m)
     need = F.ceil((n + m) * (percent / (100 + percent)) - 1e-6)
-    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in marks), F.lit(0))
-    return fits & (n + m - differ >= 2 * need)
+    return fits & (n + m - _differ(marks) >= 2 * need)
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be sent to all executors if it has at most ``SMALL`` rows."""
+    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
 
 
 def duplicate_lines(docs: DataFrame, percent: int = 80, salts: int = 8) -> DataFrame:
@@ -117,7 +129,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, salts: int = 8) -> DataF
         ends = [pairs.select(F.col(s).alias("sid"), f"{s}_place.*") for s in ("late", "early")]
         wanted = written(ends[0].unionByName(ends[1]).distinct(), "line-places")
         few = wanted.limit(SMALL + 1).count() <= SMALL
-        sent = F.broadcast if few else (lambda df: df)  # at most SMALL rows of 40 bytes; beyond that lines are shuffled to them
+        sent = F.broadcast if few else (lambda df: df)  # rows of 40 bytes; beyond SMALL of them the lines are shuffled to them
         texts = sent(wanted.select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")).distinct())
         source = _lines(docs.join(texts, (_doc_id() == F.col("w_id")) & (F.xxhash64(_text()) == F.col("w_hash")), "left_semi"))
         rows = source.withColumn("line_hash", F.xxhash64("line")).join(sent(wanted.drop("sid")), [*place, "line_hash"], "left_semi")
@@ -134,14 +146,39 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, salts: int = 8) -> DataF
     # round 1: the earliest set of the lists of a set's rarest tokens
     here = F.struct(*place, "line_hash")
     heads = firsts.select(F.explode(F.slice("prefix", 1, HEADS)).alias("key"), here.alias("late_place"), "sid", "n", "odd", "even")
-    leads = heads.groupBy("key").agg(F.min(F.struct(F.col("late_place").alias("place"), "sid", "n", "odd", "even")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "f")
-    met = heads.join(leads, "key").filter((F.col("sid") != F.col("f.sid")) & _may_match(F.col("n"), F.col("f.n"), [(F.col(b), F.col(f"f.{b}")) for b in ("odd", "even")], percent))
-    best = met.groupBy(F.col("sid").alias("late")).agg(F.max_by(F.struct("late_place", "f"), F.struct(-F.abs(F.col("n") - F.col("f.n")), "f.sid")).alias("b"))
-    chosen = written(best.select("late", "b.late_place", F.col("b.f.sid").alias("early"), F.col("b.f.place").alias("early_place")), "line-pairs")
-    gone = similar(chosen)
+    me = F.struct(F.col("late_place").alias("place"), "sid", "n", "odd", "even")
+    pairs_of = [(F.col(b), F.col(f"f.{b}")) for b in ("odd", "even")]
+
+    def led(sets: DataFrame, leads: DataFrame, least: int = 0) -> DataFrame | None:
+        """The sets that resemble the lead of a list that differs least by its marks; None if so few have one that it does not pay."""
+        met = sets.join(leads, "key").filter((F.col("f.place") < F.col("late_place")) & (F.col("sid") != F.col("f.sid")) & _may_match(F.col("n"), F.col("f.n"), pairs_of, percent))
+        best = met.groupBy(F.col("sid").alias("late")).agg(F.max_by(F.struct("late_place", "f"), F.struct(-_differ(pairs_of), "f.sid")).alias("b"))
+        chosen = written(best.select("late", "b.late_place", F.col("b.f.sid").alias("early"), F.col("b.f.place").alias("early_place")), "line-pairs")
+        out = similar(chosen) if chosen.limit(least + 1).count() > least else None
+        removed(spark, chosen)
+        return out
+
+    leads = heads.groupBy("key").agg(F.min(me).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "f")
+    gone = [led(heads, leads, -1)]
+    every_gone = lambda: reduce(DataFrame.unionByName, gone)
+    # long lists of sets that are left: several leads each, the earliest of each part of the list
+    listed = lambda sets: sets.select(F.explode("prefix").alias("key"), here.alias("late_place"), "sid", "n", "odd", "even")
+    for seed in range(ROUNDS):
+        left = firsts.join(_sent(every_gone()), F.col("sid") == F.col("late"), "left_anti")
+        long = written(left.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > LONG).select("key"), "line-keys")
+        more = None
+        if long.limit(1).count():
+            keys = _sent(long)
+            part = F.pmod(F.xxhash64("sid", F.lit(seed)), F.lit(LEADS))
+            leads = listed(firsts).join(keys, "key", "left_semi").groupBy("key", part.alias("part")).agg(F.min(me).alias("f")).select("key", "f")
+            more = led(listed(left).join(keys, "key", "left_semi"), leads, LONG)
+        removed(spark, long)
+        if more is None:
+            break
+        gone.append(more)
 
     # round 2: all sets of the lists of those that are left; n, position and whether a set is left share one number
-    left = firsts.join(gone, firsts.sid == gone.late, "left").select("sid", "n", "odd", "even", "prefix", F.col("late").isNull().cast("long").alias("open"))
+    left = firsts.join(_sent(every_gone()), firsts.sid == F.col("late"), "left").select("sid", "n", "odd", "even", "prefix", F.col("late").isNull().cast("long").alias("open"))
     entries = left.select(F.posexplode("prefix").alias("pos", "key"), "sid", "odd", "even", "n", "open")
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.col("open"))
     size = {s: F.shiftright(f"{s}_at", 32) for s in ("late", "early")}
@@ -167,20 +204,20 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, salts: int = 8) -> DataF
     # the shared prefix tokens and all others of the larger rest bound the intersection
     rest = F.greatest(_least(F.col("n"), percent), _least(F.col("m"), percent)) - 1
     found = written(counted.filter((F.col("ok") > 0) & (F.col("c") + rest >= need(F.col("n"), F.col("m")))).select("late", "early"), "line-pairs")
-    ids = found.select(F.col("late").alias("sid")).unionByName(found.select(F.col("early").alias("sid"))).distinct()
-    spots = written(firsts.join(ids, "sid", "left_semi").select("sid", here.alias("spot")), "line-places")
+    ids = written(found.select(F.col("late").alias("sid")).unionByName(found.select(F.col("early").alias("sid"))).distinct(), "line-ids")
+    spots = written(firsts.join(_sent(ids), "sid", "left_semi").select("sid", here.alias("spot")), "line-places")
     at = lambda s: spots.select(F.col("sid").alias(s), F.col("spot").alias(f"{s}_place"))
     tried = written(found.join(at("late"), "late").join(at("early"), "early").filter("early_place < late_place").select("late", "late_place", "early", "early_place"), "line-pairs")
     more = similar(tried)
 
     # a removed set loses all its lines, any other set all but its first
-    out = gone.unionByName(more).distinct().withColumn("out", F.lit(True))
+    out = _sent(written(every_gone().unionByName(more).distinct().withColumn("out", F.lit(True)), "line-gone"))
     repeated = firsts.select("sid", *[F.col(c).alias(f"f_{c}") for c in place], "copies").join(out, F.col("sid") == F.col("late"), "left").filter("out or copies > 1").drop("late", "copies")
     spread = repeated.withColumn("salt", F.explode(F.array(*[F.lit(s) for s in range(salts)])))
     some = marks.select(*place, "sid").withColumn("salt", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(salts)).cast("int"))
     first = (F.col("doc_id") == F.col("f_doc_id")) & (F.col("line_no") == F.col("f_line_no")) & (F.col("text_hash") == F.col("f_text_hash"))
     gone_lines = written(some.join(spread, ["sid", "salt"]).filter(F.coalesce("out", F.lit(False)) | ~first).select("doc_id", "text_hash", "line_no"), "line-removed")
-    for done in (marks, firsts, chosen, *counts, found, spots, tried, gone, more):
+    for done in (marks, firsts, *counts, found, ids, spots, tried, *gone, more):
         removed(spark, done)
     return gone_lines
 

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 import corpus_pipeline
 from lattica.llm import linededup, queries
 
@@ -30,7 +32,9 @@ def test_query_and_pipeline_remove_short_copies(spark, tmp_path):
     assert sorted(tuple(r) for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()) == [(1, "Read more\n\nx y", 12), (2, "\nits own line", 13)]
 
 
-def test_large_group_of_near_copies(spark):
+def test_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "LONG", 20)
+    monkeypatch.setattr(linededup, "LEADS", 4)
     rng = random.Random(9)
     base = [f"w{k}" for k in range(60)]
     docs = []
@@ -43,6 +47,7 @@ def test_large_group_of_near_copies(spark):
     assert sorted((r.doc_id, r.text, r.n_removed) for r in got.collect()) == brute(docs)
 
 
+@pytest.mark.production
 def test_no_exact_repeat_stays(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = linededup.dedup(docs).collect()
