@@ -4,15 +4,18 @@ For each benchmark item of m words every window of m words of every text is a
 candidate place. A window's fingerprint is the 64-bit SimHash of its five-word
 shingles, weighted by their counts. Item fingerprints of a size are indexed in
 ``radius + 1`` bit blocks: two fingerprints within the radius agree on a whole
-block at least, so no near fingerprint is lost. Candidates within the radius
-are then verified by the exact weighted Jaccard of the shingle counts. Windows
-that hold too few of the items' shingles to reach the threshold are passed over
-before they are fingerprinted, which loses nothing.
+block at least, so no near fingerprint is lost. A window's candidates are the
+items within the radius, and those beyond it whose shingles it holds often
+enough to reach the threshold all the same; both are verified by the exact
+weighted Jaccard of the shingle counts. Windows that hold too few of the items'
+shingles to reach the threshold are passed over before they are fingerprinted,
+which loses nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,26 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import chunks, shingles, span_hashes, utf8
-from lattica.llm.langid import WORDY, lowered
+from lattica.llm.common import chunks, shingles, span_hashes, utf8, written
+from lattica.llm.letters import LETTER, NUMBER, words
 
 WORDS = 5
-WORDY_OR_DIGIT = WORDY.copy()
-WORDY_OR_DIGIT[0x30:0x3A] = True
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (runs of letters and digits, lower case) and the rows' offsets into them."""
-    part = lowered(data)
-    n = len(part)
-    mask = WORDY_OR_DIGIT[part]
-    edge = np.zeros(n + 1, bool)
-    edge[off] = True
-    first, last = mask.copy(), mask.copy()
-    first[1:] &= ~mask[:-1] | edge[1:n]
-    last[:-1] &= ~mask[1:] | edge[1:n]
-    starts = np.flatnonzero(first)
-    return span_hashes(part, starts, np.flatnonzero(last) + 1), np.searchsorted(starts, off)
+    part, starts, ends, word_off = words(data, off, LETTER | NUMBER)
+    return span_hashes(part, starts, ends), word_off
 
 
 def simhashes(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -95,13 +88,13 @@ class Items:
     def __init__(self, ids: list[int | None], texts: list[str | None], threshold: float, radius: int):
         self.ids, self.threshold = ids, threshold
         data, off = utf8(pa.array(texts, pa.string()))
-        words, word_off = word_hashes(data, off)
+        hashed, word_off = word_hashes(data, off)
         sizes = np.diff(word_off)
         self.whole: dict[int, dict[int, list[int]]] = {}  # items of fewer than five words: their one hash
-        hashes, hash_off = shingles(words, word_off, WORDS)
+        hashes, hash_off = shingles(hashed, word_off, WORDS)
         for k in np.flatnonzero((sizes > 0) & (sizes < WORDS)):
             m = int(sizes[k])
-            one, _ = shingles(words[word_off[k] : word_off[k + 1]], np.array([0, m]), m)
+            one, _ = shingles(hashed[word_off[k] : word_off[k + 1]], np.array([0, m]), m)
             self.whole.setdefault(m, {}).setdefault(int(one[0]), []).append(int(k))
         long = np.flatnonzero(sizes >= WORDS)
         self.bags = {int(k): hashes[hash_off[k] : hash_off[k + 1]] for k in long}
@@ -120,10 +113,10 @@ class Items:
 
     def find(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, float, int, int]]:
         """Matches (row, item, similarity, first word, words) of a text buffer: the best window of each row and item."""
-        words, word_off = word_hashes(data, off)
+        hashed, word_off = word_hashes(data, off)
         out = []
         for m, items in self.whole.items():
-            hashes, at = shingles(words, word_off, m)
+            hashes, at = shingles(hashed, word_off, m)
             counts = np.diff(word_off)
             wanted = np.array(sorted(items), np.uint64)
             hit = np.flatnonzero(np.isin(hashes, wanted))
@@ -136,7 +129,7 @@ class Items:
                         seen.add((r, item))
                         out.append((int(r), item, 1.0, int(p - at[r]), m))
         if len(self.known):
-            hashes, at = shingles(words, word_off, WORDS)
+            hashes, at = shingles(hashed, word_off, WORDS)
             maybe = np.flatnonzero(self.maybe[hashes >> np.uint64(42)])
             place = np.minimum(np.searchsorted(self.known, hashes[maybe]), len(self.known) - 1)
             sure = self.known[place] == hashes[maybe]
@@ -152,13 +145,15 @@ class Items:
         n_owners = self.owner_off[place + 1] - self.owner_off[place]
         owners = self.owner[np.repeat(self.owner_off[place] - (np.cumsum(n_owners) - n_owners), n_owners) + np.arange(n_owners.sum())]
         shown, times = np.unique(owners, return_counts=True)
-        # sizes of items of which the text holds enough shingles at all
-        need = np.ceil(self.threshold * (self.sizes[shown] - WORDS + 1) - 1e-9)
+        # items of which the text holds enough shingles at all
+        rest = self.sizes[shown] - WORDS + 1
+        enough = shown[times >= np.ceil(self.threshold * rest - 1e-9)]
         flags = np.zeros(len(hashes) + 1, np.int64)
         flags[hit + 1] = 1
         total = np.cumsum(flags)
+        spot = np.repeat(hit, n_owners)
         best: dict[int, tuple[float, int]] = {}
-        for m in np.unique(self.sizes[shown[times >= need]]):
+        for m in np.unique(self.sizes[enough]):
             n = int(m) - WORDS + 1
             if len(hashes) < n:
                 continue
@@ -166,8 +161,16 @@ class Items:
             if not len(starts):
                 continue
             members, index = self.by_size[int(m)]
-            for at, to, _ in zip(*index.near(simhashes(hashes, starts, n))):
-                s, item = int(starts[at]), int(members[to])
+            at, to, _ = index.near(simhashes(hashes, starts, n))
+            tried = {(int(starts[i]), int(members[j])) for i, j in zip(at, to)}
+            # the exact way for windows beyond the radius: equal sums of counts leave a bound on the shingles in common
+            for item in enough[self.sizes[enough] == m]:
+                own = np.zeros(len(hashes) + 1, np.int64)
+                own[spot[owners == item] + 1] = 1
+                own = np.cumsum(own)
+                need = np.ceil(2 * n * self.threshold / (1 + self.threshold) - 1e-9)
+                tried.update((int(s), int(item)) for s in starts[own[starts + n] - own[starts] >= need])
+            for s, item in sorted(tried):
                 likeness = weighted_jaccard(hashes[s : s + n], self.bags[item])
                 if likeness >= self.threshold and (item not in best or (-likeness, s) < (-best[item][0], best[item][1])):
                     best[item] = (likeness, s)
@@ -192,23 +195,24 @@ def _index(block: DataFrame, threshold: float, radius: int) -> Items:
     return Items([r["item_id"] for r in rows], [r["text"] for r in rows], threshold, radius)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 20, block_bytes: int = 2 << 20) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 7, block_bytes: int = 2 << 20) -> DataFrame:
     """Benchmark items found in each whole text: (doc_id, item_id, similarity, start_word, n_words).
 
     One row per text and item whose best window reaches ``threshold``; of
     several equally good windows the first. Words are runs of letters and
-    digits, compared in lower case. Items of fewer than five words are compared
-    as one whole shingle; null and word-less items and texts match nothing.
-    Repeated texts or items repeat their rows, null ids stay null, other
-    columns are ignored. A pair right at a likeness of 0.8 lies beyond radius
-    20 in about one case of 2,000 (the SimHash bits differ by chance), more
-    alike pairs practically never.
+    digits of any script, compared in lower case. Items of fewer than five words
+    are compared as one whole shingle; null and word-less items and texts match
+    nothing. Texts are read whole, however long. Repeated texts or items repeat
+    their rows, null ids stay null, other columns are ignored. No window that
+    reaches the threshold is lost, whatever its fingerprint's distance.
 
     Items go to the executors in blocks of at most ``block_bytes`` of text, one
-    pass over the texts for each block; texts are not shuffled.
+    pass over the texts for each block; of several blocks each one's matches are
+    written before the next is sent. Texts are not shuffled.
     """
-    out = None
-    for block in item_blocks(benchmark, block_bytes):
+    blocks = item_blocks(benchmark, block_bytes)
+    parts = []
+    for block in blocks:
         sent = docs.sparkSession.sparkContext.broadcast(_index(block, threshold, radius))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -223,26 +227,51 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radiu
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.array(row) + i)), pa.array([items.ids[k] for k in item], pa.int64()), *(pa.array(c, k) for c, k in zip(rest, kinds))], names=MATCHES.names)
 
         part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, MATCHES)
-        out = part if out is None else out.unionByName(part)
-    return out
+        if len(blocks) > 1:
+            part = written(part, "matches")
+            sent.destroy()
+        parts.append(part)
+    return reduce(DataFrame.unionByName, parts)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 20, block_bytes: int = 2 << 20) -> DataFrame:
-    """The rows of ``docs`` that match no benchmark item (see :func:`matches`), with all their columns."""
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 7, block_bytes: int = 2 << 20) -> DataFrame:
+    """The rows of ``docs`` that match no benchmark item (see :func:`matches`), with all their columns.
+
+    With one block of items the rows are filtered as they are read; with more,
+    the hashes of the texts that match are written and the rows anti-joined.
+    """
+    blocks = item_blocks(benchmark, block_bytes)
     place = docs.columns.index("text")
-    for block in item_blocks(benchmark, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(_index(block, threshold, radius))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = sent.value
+    def keeps(items: Items, column: pa.Array) -> np.ndarray:
+        data, off = utf8(column)
+        keep = np.ones(len(column), bool)
+        for i, j in chunks(off):
+            for row, *_ in items.find(data[off[i] : off[j]], off[i : j + 1] - off[i]):
+                keep[row + i] = False
+        return keep
+
+    if len(blocks) == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(_index(blocks[0], threshold, radius))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                data, off = utf8(batch.column(place))
-                keep = np.ones(batch.num_rows, bool)
-                for i, j in chunks(off):
-                    for row, *_ in items.find(data[off[i] : off[j]], off[i : j + 1] - off[i]):
-                        keep[row + i] = False
+                keep = keeps(sent.value, batch.column(place))
                 if keep.any():
                     yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return docs.mapInArrow(run, docs.schema)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    hits = []
+    for block in blocks:
+        sent = docs.sparkSession.sparkContext.broadcast(_index(block, threshold, radius))
+
+        def found(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = keeps(sent.value, batch.column(1))
+                if not keep.all():
+                    yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(~keep))], names=["_benchmark_hit"])
+
+        hits.append(written(docs.select(F.xxhash64(text), text).mapInArrow(found, "_benchmark_hit long"), "hits"))
+        sent.destroy()
+    return docs.join(reduce(DataFrame.unionByName, hits).distinct(), F.xxhash64(text) == F.col("_benchmark_hit"), "left_anti")

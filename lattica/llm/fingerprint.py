@@ -169,7 +169,7 @@ def _rank(cuts: list[int]) -> Column:
     return (coarse * F.lit(width) + F.when(coarse < len(parts), below(F.element_at(fine, coarse + 1))).otherwise(F.lit(len(cuts) - len(parts) * width))).cast("int")
 
 
-def edited_fingerprints(docs: DataFrame, perms: int = PERMS, k: int = WORDS, seed: int = 1, rows_each: int = 5000) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, perms: int = PERMS, k: int = WORDS, seed: int = 1, rows_each: int = 5000, most_ranges: int = 1 << 14) -> DataFrame:
     """Fingerprint of each text and of its edited text (see ``EDITED`` for the columns).
 
     The edited text is the text with its last floor(n/2) code points replaced
@@ -178,8 +178,8 @@ def edited_fingerprints(docs: DataFrame, perms: int = PERMS, k: int = WORDS, see
     text; a null doc_id comes last; a single row follows itself. A null text is
     empty. Likenesses lie in 0..1, and two texts without words are alike.
 
-    The table is cut into ranges of doc_id of about ``rows_each`` rows by
-    quantiles, and each text is shuffled once, to its range. The row that
+    The table is cut into ranges of doc_id of about ``rows_each`` rows (at most
+    ``most_ranges``, of more rows then) by quantiles, and each text is shuffled once, to its range. The row that
     follows a range's last is sent to that range too, so no task needs another.
     Rows of one doc_id stay in one range.
     """
@@ -188,7 +188,7 @@ def edited_fingerprints(docs: DataFrame, perms: int = PERMS, k: int = WORDS, see
     n = keys.count()
     if not n:
         return docs.sparkSession.createDataFrame([], EDITED)
-    ranges = max(1, n // rows_each)
+    ranges = max(1, min(most_ranges, n // rows_each))
     cuts = sorted({int(c) for c in keys.select(F.percentile_approx("key", [q / ranges for q in range(1, ranges)], 20 * ranges).alias("c")).first().c}) if ranges > 1 else []
     # range r holds the keys above cuts[r-1] up to cuts[r]; it needs the largest key below it, that is the head of range r-1
     rank = _rank(cuts)
@@ -197,7 +197,7 @@ def edited_fingerprints(docs: DataFrame, perms: int = PERMS, k: int = WORDS, see
     heads = keys.withColumn("range", rank).groupBy("range").agg(F.max("key").alias("key")).collect()
     order = sorted((h["range"], h["key"]) for h in heads)
     wanted = {order[i][1]: order[(i + 1) % len(order)][0] for i in range(len(order))}
-    # one row for each range, so small enough to send to all: 16 bytes for rows_each documents
+    # one row of 16 bytes for each of at most most_ranges ranges: small enough to send to all
     needs = docs.sparkSession.createDataFrame(list(wanted.items()), "key long, needed_by int")
     spread = placed.join(F.broadcast(needs), "key", "left").withColumn(
         "to",

@@ -19,21 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.llm.common import chunks, span_hashes, utf8
+from lattica.llm.letters import KIND, LETTER, MARK, SCRIPT, SCRIPTS, spread, wide, words
 
 ORDERS = (1, 2, 3, 4)
 BITS = 16
 UNKNOWN = "und"
 RULED_OUT = np.float32(-50.0)
 
-# Fixed ranges: script of a code point by the first bytes of its UTF-8 form.
-SCRIPTS = ("none", "latin", "greek", "cyrillic", "armenian-hebrew", "arabic", "indic", "thai-lao", "kana", "han", "hangul", "other")
-_LEADS = [(0xC3, 0xC9, 1), (0xCD, 0xCF, 2), (0xD0, 0xD3, 3), (0xD4, 0xD7, 4), (0xD8, 0xDF, 5), (0xE0, 0xE0, 6), (0xE1, 0xE1, 11), (0xE4, 0xE9, 9), (0xEA, 0xED, 10), (0xEE, 0xF4, 11)]
-LEAD_SCRIPT = np.zeros(256, np.uint8)
-LEAD_SCRIPT[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
-for _a, _b, _s in _LEADS:
-    LEAD_SCRIPT[_a : _b + 1] = _s
-WORDY = np.zeros(256, bool)
-WORDY[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: What words are made of: letters and the marks that go with them.
+KINDS = LETTER | MARK
 
 
 class Model(NamedTuple):
@@ -42,40 +36,12 @@ class Model(NamedTuple):
     allowed: np.ndarray  # scripts by languages: whether the language uses the script
 
 
-def lowered(data: np.ndarray) -> np.ndarray:
-    """Lower case of ASCII, Latin-1 letters and the basic Cyrillic capitals, in UTF-8."""
-    out = data.copy()
-    out[(data >= 0x41) & (data <= 0x5A)] += 0x20
-    lead = np.zeros(len(data), np.uint8)
-    lead[1:] = data[:-1]
-    out[(lead == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 0x20
-    out[(lead == 0xD0) & (data >= 0x90) & (data <= 0x9F)] += 0x20
-    return out
-
-
-def letter_runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of runs of letters, and the rows' offsets into them."""
-    n = len(data)
-    mask = WORDY[data]
-    edge = np.zeros(n + 1, bool)
-    edge[off] = True
-    first, last = mask.copy(), mask.copy()
-    first[1:] &= ~mask[:-1] | edge[1:n]
-    last[:-1] &= ~mask[1:] | edge[1:n]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return starts, ends, np.searchsorted(starts, off)
-
-
 def scripts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Script of each word: that of its last-ranged letter, so accents and kana decide."""
-    kind = LEAD_SCRIPT[data].copy()
-    e0, e3 = np.flatnonzero(data[:-1] == 0xE0), np.flatnonzero(data[:-1] == 0xE3)
-    kind[e0[data[e0 + 1] >= 0xB8]] = 7
-    kind[e3] = np.where((data[e3 + 1] >= 0x81) & (data[e3 + 1] <= 0x83), 8, 0)
+    """Script of each word: that of its last-ranged letter, so that kanji decide among kana."""
     if not len(starts):
         return np.zeros(0, np.uint8)
-    spans = np.stack([starts, ends], 1).ravel()
-    return np.maximum.reduceat(np.append(kind, np.uint8(0)), spans)[::2]
+    kind = spread(data, wide(data), SCRIPT)
+    return np.maximum.reduceat(np.append(kind, np.uint8(0)), np.stack([starts, ends], 1).ravel())[::2]
 
 
 def byte_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +76,7 @@ def fit(texts: list[str], langs: list[str], least_script: float = 0.02, damping:
     for k, name in enumerate(names):
         data, off = utf8(pa.array([t for t, x in zip(texts, langs) if x == name], pa.string()))
         for i, j in chunks(off):
-            part = lowered(data[off[i] : off[j]])
-            starts, ends, _ = letter_runs(part, off[i : j + 1] - off[i])
+            part, starts, ends, _ = words(data[off[i] : off[j]], off[i : j + 1] - off[i], KINDS)
             if len(starts):
                 buckets, _ = byte_grams(part, starts, ends)
                 counts[:, k] += np.bincount(buckets, minlength=1 << BITS)
@@ -205,7 +170,8 @@ def detect(docs: DataFrame, model: Model, penalty: float = 4.0, with_spans: bool
     first to the last letter of each (null unless asked for). ``lang_pred`` is
     the language with most bytes of letters, the first by name of several;
     ``score`` is the mean posterior of that language over the text's letters.
-    A text that is null or has no letter is ``und`` with score 0 and no span.
+    A text that is null or has no letter is ``und`` with score 0 and no span; a
+    model that has learned no language calls every text ``und``.
     Nulls of doc_id stay, repeated rows repeat, other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -218,13 +184,12 @@ def detect(docs: DataFrame, model: Model, penalty: float = 4.0, with_spans: bool
             data, off = utf8(batch.column(1))
             for i, j in chunks(off):
                 raw, rows = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                part = lowered(raw)
-                starts, ends, word_off = letter_runs(part, rows)
+                part, starts, ends, word_off = words(raw, rows, KINDS)
                 n = j - i
                 label = np.full(n, k)
                 score = np.zeros(n)
                 spans: list = [[] for _ in range(n)] if with_spans else [None] * n
-                if len(starts):
+                if len(starts) and k:
                     s = word_scores(model, part, starts, ends)
                     labels = viterbi(s, word_off, penalty)
                     row = np.repeat(np.arange(n), np.diff(word_off))
@@ -233,11 +198,9 @@ def detect(docs: DataFrame, model: Model, penalty: float = 4.0, with_spans: bool
                     label = np.where(mass.any(1), mass.argmax(1), k)
                     got = np.bincount(row, weight * np.exp(s[np.arange(len(s)), np.minimum(label, k - 1)[row]]), n)
                     score = np.clip(got / np.maximum(1, np.bincount(row, weight, n)), 0, 1)
-                    # rows of marks beyond ASCII only: no letter after all
-                    plain = np.bincount(row, (LEAD_SCRIPT[part[starts]] == 1), n)
-                    for r in np.flatnonzero((plain == 0) & (label < k)):
-                        if not any(c.isalpha() for c in raw[rows[r] : rows[r + 1]].tobytes().decode()):
-                            label[r], score[r] = k, 0.0
+                    letters = np.flatnonzero(spread(raw, wide(raw), KIND) & LETTER)
+                    bare = np.diff(np.searchsorted(letters, rows)) == 0  # marks without a letter
+                    label[bare], score[bare] = k, 0.0
                     if with_spans:
                         cut = np.flatnonzero(np.diff(row, prepend=-1).astype(bool) | np.diff(labels, prepend=-1).astype(bool))
                         for a, b in zip(cut, np.append(cut[1:], len(row))):
@@ -249,14 +212,16 @@ def detect(docs: DataFrame, model: Model, penalty: float = 4.0, with_spans: bool
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
-def sample(docs: DataFrame, rows_each: int = 800) -> tuple[list[str], list[str]]:
+def sample(docs: DataFrame, rows_each: int = 800, longest: int = 1 << 16, most_langs: int = 1000) -> tuple[list[str], list[str]]:
     """A bounded sample of labelled texts: about ``rows_each`` rows of each language, by a hash of the text.
 
-    Rows with a null text or language are left out. Each language with any row
-    keeps one at least, however rare.
+    Rows with a null text or language are left out, and texts of more than
+    ``longest`` bytes are not learned from. Each of the ``most_langs`` most
+    frequent languages keeps one row at least, however rare. Without labelled
+    rows the sample is empty.
     """
-    labelled = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).dropna()
-    counts = labelled.groupBy("lang").count().collect()
+    labelled = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).dropna().filter(F.octet_length("text") <= longest)
+    counts = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_langs).collect()
     if not counts:
         return [], []
     share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, rows_each / r["count"]))) for r in counts])

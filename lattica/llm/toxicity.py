@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.llm.common import chunks, span_hashes, utf8
-from lattica.llm.langid import byte_grams, letter_runs, lowered
+from lattica.llm.langid import KINDS, byte_grams
+from lattica.llm.letters import words as words_in
 
 WINDOW, STRIDE = 32, 16
 ORDERS, WORD_BITS, GRAM_BITS = (3, 4, 5), 14, 15
@@ -47,8 +48,7 @@ class Words(NamedTuple):
 
 
 def words_of(data: np.ndarray, off: np.ndarray) -> Words:
-    part = lowered(data)
-    starts, ends, word_off = letter_runs(part, off)
+    part, starts, ends, word_off = words_in(data, off, KINDS)
     parts = [(off[i], off[j], *np.searchsorted(starts, (off[i], off[j]))) for i, j in chunks(off)]
     hashes = [span_hashes(part[a:b], starts[x:y] - a, ends[x:y] - a) for a, b, x, y in parts]
     hashes, one, which = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_index=True, return_inverse=True)
@@ -328,16 +328,20 @@ def keep(docs: DataFrame, model: Model, below: float = 0.7) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows_each: int = 800, others: int = 3) -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, rows_each: int = 800, others: int = 3, longest: int = 1 << 16) -> tuple[list[str], list[int]]:
     """A bounded sample of labelled texts: about ``rows_each`` toxic ones and ``others`` times as many others, by a hash of doc_id.
 
     ``labels`` holds (doc_id, toxic); rows with a null in either are left out,
-    a doc_id with several labels counts as toxic if one of them says so.
+    a doc_id with several labels counts as toxic if one of them says so. Of rows
+    that share a doc_id the least text counts. Texts of more than ``longest``
+    bytes are scored like all others but not learned from, so that the sample
+    has a bound in bytes too. Without labels the sample is empty.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"] > 0: r["n"] for r in marks.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("toxic") > 0, F.lit(min(1.0, rows_each / max(1, counts.get(True, 0))))).otherwise(F.lit(min(1.0, others * rows_each / max(1, counts.get(False, 0)))))
     chosen = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 24)) < share * (1 << 24))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic", "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return [r["text"] or "" for r in rows], [int(r["toxic"] > 0) for r in rows]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.octet_length("text") <= longest)
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    return [r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows]

@@ -11,12 +11,18 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.llm.common import removed, written
+
+#: Shared payloads up to which their originals are sent to all executors.
+SMALL = 1 << 18
+
 # Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -69,7 +75,7 @@ def _record_id(page_id: Column, digest: Column) -> Column:
     return F.concat(F.lit("urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-a"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", salts: int = 8) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, date: str | None = None, salts: int = 8) -> None:
     """Write one record per row of ``pages`` (page_id, url, html) to gzipped WARC files under ``path``.
 
     Of records with equal payloads of at least ``least_bytes`` bytes, the one
@@ -77,14 +83,22 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, date: st
     Rows that repeat that page_id with the same payload are responses too; a
     null page_id is never the original while another exists, and a group of
     null page_ids alone is all responses. A null html is an empty payload, a
-    null url the target ``urn:page:<page_id>``. Other columns are ignored. The
-    originals are joined to the pages over ``salts`` parts, since one digest may
-    own a third of all rows.
+    null url the target ``urn:page:<page_id>``. ``date`` is the time of writing
+    unless given. Other columns are ignored; rows repeated whole share a record id.
+
+    Only digests and page_ids are shuffled. The originals of shared payloads go
+    to the pages where they are few; beyond ``SMALL`` of them the pages are
+    shuffled to them, over ``salts`` parts, since one digest may own a third of
+    all rows.
     """
     rows = payloads(pages)
-    first = originals(rows.select("page_id", "payload_digest", "payload_bytes"), least_bytes)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    joined = salted.join(_salts(first, salts), ["payload_digest", "salt"], "left")
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    first = written(originals(rows.select("page_id", "payload_digest", "payload_bytes"), least_bytes), "originals")
+    if first.limit(SMALL + 1).count() <= SMALL:
+        joined = rows.join(F.broadcast(first), "payload_digest", "left")  # at most SMALL rows of some 100 bytes
+    else:
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+        joined = salted.join(_salts(first, salts), ["payload_digest", "salt"], "left")
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     size = F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(END + END))
@@ -105,7 +119,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, date: st
         F.concat(F.lit("Content-Length: "), (F.octet_length(http) + size).cast("string")),
     )
     record = F.concat(head, F.lit(END + END), http, F.when(revisit, F.lit("")).otherwise(F.col("html")))
-    joined.select(record.alias("value")).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", 2000).text(path)
+    out = joined.select(record.alias("value"))
+    out.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", 2000).text(path)
+    removed(pages.sparkSession, first)
 
 
 class _Stream:
