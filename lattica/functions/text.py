@@ -7,6 +7,8 @@ known to be in normal form.
 
 from __future__ import annotations
 
+import datetime
+import re
 import unicodedata
 
 import pandas as pd
@@ -74,6 +76,15 @@ def utf16_length(c: Column | str) -> Column:
     return (F.octet_length(F.encode(_col(c), "UTF-16BE")) / 2).cast("int")
 
 
+def iso_datetime_text(value: str) -> bool:
+    """:func:`is_iso_datetime` of a driver-side text."""
+    m = re.fullmatch(r"(\d{4}-\d{2}-\d{2})T([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)", value)
+    try:
+        return bool(m) and m[1] >= "0100" and bool(datetime.date.fromisoformat(m[1]))
+    except ValueError:
+        return False
+
+
 def is_iso_datetime(c: Column | str) -> Column:
     """An ISO datetime with offset: a real calendar day, times to 23:59:59, offset to 23:59; seconds may be missing."""
     c = _col(c)

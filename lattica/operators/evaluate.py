@@ -9,16 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MINIMUM_PRECISION = 0.8
-# Fixed rules: result type and the patterns of terms that ask for it.
-TYPE_RULES = (
-    ("Machine Variant", (r"^variants?$", r"\bmachine variants?\b")),
-    ("I/O Mapping", (r"\bi o mappings?\b",)),
-    ("PLC Function Block", (r"^diagnostic blocks?$", r"\bplc diagnostic blocks?\b", r"\bdiagnostic function blocks?\b")),
-    ("Parameter Set", (r"\bparameter sets?\b",)),
-    ("Acceptance Test", (r"^(?:fat|sat)$", r"\bacceptance tests?\b")),
-    ("Service Bulletin", (r"\bservice bulletins?\b",)),
-    ("Change Request", (r"\bcontrolled change\b", r"\bchange requests?\b")),
-)
+#: Result types and the patterns of normalised terms that ask for them.
+Rules = tuple[tuple[str, tuple[str, ...]], ...]
 
 
 def normalized(text: str) -> str:
@@ -26,7 +18,7 @@ def normalized(text: str) -> str:
     return " ".join(re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", text).lower()))
 
 
-def requested_types(query: str, terms: list[str], rules=TYPE_RULES) -> list[str]:
+def requested_types(query: str, terms: list[str], rules: Rules) -> list[str]:
     """Result types that a question's terms ask for; every term must occur in the query, and one type at least."""
     whole, parts = normalized(query), [normalized(t) for t in terms]
     for raw, t in zip(terms, parts):
@@ -38,7 +30,7 @@ def requested_types(query: str, terms: list[str], rules=TYPE_RULES) -> list[str]
     return found
 
 
-def requested_types_column(terms: Column, rules=TYPE_RULES) -> Column:
+def requested_types_column(terms: Column, rules: Rules) -> Column:
     """The same rules over an array column of normalised terms."""
     matches = lambda pattern: lambda t: F.rlike(t, F.lit(pattern))
     hits = [F.when(F.exists(terms, matches("|".join(f"(?:{p})" for p in patterns))), F.lit(name)) for name, patterns in rules]

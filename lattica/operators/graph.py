@@ -11,6 +11,7 @@ rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,29 +116,9 @@ def resolve_rows(nodes: DataFrame, terms: Sequence[str], types: Sequence[str] |
     norm = lambda c: normalize_query(F.coalesce(c, F.lit("")), nfkc)
     listed = lambda c: F.split(norm(F.concat_ws("\x1f", F.col(c))), r"\s*\x1f\s*")
     rows = concepts(nodes).filter(of_types(types, nfkc) & with_tags(tags, nfkc))
-    rows = rows.withColumns({"_title": norm(F.col("title")), "_type": norm(F.col("type")), "_path": norm(F.col("path")), "_summary": norm(F.col("summary")), "_aliases": listed("aliases"), "_tags": listed("tags")})
-    scores, fields = [], []
-    for t in wanted:
-        x = F.lit(t)
-        begins = F.startswith("_title", x), F.exists("_aliases", lambda a: F.startswith(a, x))
-        holds = F.contains("_title", x), F.exists("_aliases", lambda a: F.contains(a, x))
-        rules = [
-            (F.col("_title") == x, 100, F.lit("title")),
-            (F.array_contains("_aliases", x), 90, F.lit("aliases")),
-            (F.array_contains("_tags", x), 80, F.lit("tags")),
-            (F.col("_type") == x, 70, F.lit("type")),
-            (begins[0] | begins[1], 60, F.when(begins[0], "title").otherwise("aliases")),
-            (holds[0] | holds[1], 40, F.when(holds[0], "title").otherwise("aliases")),
-            (F.contains("_path", x), 20, F.lit("path")),
-            (F.contains("_summary", x), 10, F.lit("summary")),
-        ]
-        score, field = F.when(rules[0][0], rules[0][1]), F.when(rules[0][0], rules[0][2])
-        for condition, weight, name in rules[1:]:
-            score, field = score.when(condition, weight), field.when(condition, name)
-        scores.append(F.coalesce(score, F.lit(0)))
-        fields.append(field)
-    hits = F.array(*[F.struct(s.alias("w"), f.alias("f"), F.lit(t).alias("t")) for s, f, t in zip(scores, fields, terms)])
-    rows = rows.withColumn("_hits", F.filter(hits, lambda h: h.w > 0)).filter(F.size("_hits") > 0)
+    rows = _once(rows, _title=norm(F.col("title")), _type=norm(F.col("type")), _path=norm(F.col("path")), _summary=norm(F.col("summary")), _aliases=listed("aliases"), _tags=listed("tags"))
+    hits = F.array(*[_rule(F.lit(x), t) for x, t in zip(wanted, terms)])
+    rows = _once(rows, _hits=F.filter(hits, lambda h: h.w > 0)).filter(F.size("_hits") > 0)
     rows = rows.withColumns(
         {
             "score": F.aggregate("_hits", F.lit(0), lambda a, h: a + h.w),
@@ -149,6 +130,36 @@ def resolve_rows(nodes: DataFrame, terms: Sequence[str], types: Sequence[str] |
     return rows.drop("_title", "_type", "_path", "_summary", "_aliases", "_tags", "_hits")
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with further columns that are computed once a row: the generator keeps filters and projections above it apart from them."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _rule(x: Column, term: str) -> Column:
+    """The first rule that holds for a normalised term, as (w, f, t); weight 0 if none does."""
+    begins = F.startswith("_title", x), F.exists("_aliases", lambda a: F.startswith(a, x))
+    holds = F.contains("_title", x), F.exists("_aliases", lambda a: F.contains(a, x))
+    weight = dict(WEIGHTS)
+    rules = [
+        (F.col("_title") == x, "title", "title"),
+        (F.array_contains("_aliases", x), "aliases", "aliases"),
+        (F.array_contains("_tags", x), "tags", "tags"),
+        (F.col("_type") == x, "type", "type"),
+        (begins[0], "prefix", "title"),
+        (begins[1], "prefix", "aliases"),
+        (holds[0], "substring", "title"),
+        (holds[1], "substring", "aliases"),
+        (F.contains("_path", x), "path", "path"),
+        (F.contains("_summary", x), "summary", "summary"),
+    ]
+    hit = lambda w, f: F.struct(F.lit(w).alias("w"), F.lit(f).cast("string").alias("f"), F.lit(term).alias("t"))
+    first, *others = [(condition, hit(weight[name], field)) for condition, name, field in rules]
+    out = F.when(*first)
+    for condition, value in others:
+        out = out.when(condition, value)
+    return out.otherwise(hit(0, None))
+
+
 def resolve(nodes: DataFrame, terms: Sequence[str], types: Sequence[str] | None = None, tags: Sequence[str] | None = None, limit: int = 20, offset: int = 0, collation: str | None = None, nfkc: bool = True) -> DataFrame:
     """Ranked matches: most terms, then score, then title."""
     title = F.collate("title", collation) if collation else F.col("title")
@@ -158,21 +169,29 @@ def resolve(nodes: DataFrame, terms: Sequence[str], types: Sequence[str] | None
 # ------------------------------------------------------------------ traversal
 
 
-def steps(edges: DataFrame, nodes: DataFrame, direction: str, edge_types: Sequence[str] | None = None) -> DataFrame:
-    """(at, next, dir, edge_pos, edge_id): single steps to Concepts, outgoing ones first."""
+def _moves(frontier: DataFrame, edges: DataFrame, nodes: DataFrame, direction: str, edge_types: Sequence[str] | None = None) -> DataFrame:
+    """The steps from the rows of ``frontier`` (root, at, ...): with next, dir, edge_pos and edge_id, steps to Concepts only.
+
+    Only the frontier's own edges are looked up, in each direction of the edge
+    table by itself: a small frontier goes to all tasks (Spark knows its size,
+    since it is read from a written level), a large one is shuffled.
+    """
     if direction not in DIRECTIONS:
         raise ValueError(f"direction is one of {DIRECTIONS}")
     some = edges.filter(of_edge_types(edge_types))
-    out = some.select(F.col("from").alias("at"), F.col("to").alias("next"), F.lit(0).alias("dir"), F.col("pos").alias("edge_pos"), F.col("id").alias("edge_id"))
-    back = some.select(F.col("to").alias("at"), F.col("from").alias("next"), F.lit(1).alias("dir"), F.col("pos").alias("edge_pos"), F.col("id").alias("edge_id"))
-    rows = out if direction == "outgoing" else back if direction == "incoming" else out.unionByName(back)
-    return rows.join(concepts(nodes).select(F.col("id").alias("next")), "next", "left_semi").select("at", "next", "dir", "edge_pos", "edge_id")
+    met = []
+    for name, dir_, here, there in (("outgoing", 0, "from", "to"), ("incoming", 1, "to", "from")):
+        if direction in (name, "both"):
+            ends = some.select(F.col(here).alias("_here"), F.col(there).alias("next"), F.col("pos").alias("edge_pos"), F.col("id").alias("edge_id"))
+            met.append(frontier.join(ends, F.col("at") == F.col("_here")).drop("_here").withColumn("dir", F.lit(dir_)))
+    every = met[0] if len(met) == 1 else met[0].unionByName(met[1])
+    known = concepts(nodes).select(F.col("id").alias("_concept"))
+    return every.join(known, F.col("next") == F.col("_concept"), "left_semi")
 
 
-def _discovered(frontier: DataFrame, moves: DataFrame, seen: DataFrame, level: int) -> DataFrame:
+def _discovered(moves: DataFrame, seen: DataFrame, level: int) -> DataFrame:
     """First discovery of every node one step on: (root, id, distance, prev, via, order), order as a queue would have it."""
-    met = frontier.select("root", F.col("id").alias("at"), F.col("rank").alias("parent")).join(moves, "at")
-    first = met.groupBy("root", F.col("next").alias("id")).agg(F.min(F.struct("parent", "dir", "edge_pos", F.col("at").alias("prev"), F.col("edge_id").alias("via"))).alias("order"))
+    first = moves.groupBy("root", F.col("next").alias("id")).agg(F.min(F.struct("parent", "dir", "edge_pos", F.col("at").alias("prev"), F.col("edge_id").alias("via"))).alias("order"))
     return first.join(seen.select("root", "id"), ["root", "id"], "left_anti").select("root", "id", F.lit(level).alias("distance"), "order.prev", "order.via", "order")
 
 
@@ -183,14 +202,12 @@ def walk(roots: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int, di
     ``limit`` only the first so many discoveries of a root are kept (and walked
     from), and the first one left out stays as a row with ``kept`` false.
     """
-    moves = steps(edges, nodes, direction, edge_types)
-    if max_hops > 1:
-        moves = materialized(moves)  # every level reads them
     start = roots.select("root").distinct()
     seen = start.select("root", F.col("root").alias("id"), F.lit(0).alias("distance"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("prev"), F.lit(None).cast("string").alias("via"), F.lit(True).alias("kept"))
     frontier = seen
     for level in range(1, max_hops + 1):
-        found = _discovered(frontier, moves, seen, level)
+        moves = _moves(frontier.select("root", F.col("id").alias("at"), F.col("rank").alias("parent")), edges, nodes, direction, edge_types)
+        found = _discovered(moves, seen, level)
         before = seen.groupBy("root").agg(F.max("rank").alias("before"), F.bool_or(~F.col("kept")).alias("full"))
         nth = F.row_number().over(Window.partitionBy("root").orderBy("order"))
         ranked = found.withColumn("nth", nth)
@@ -207,21 +224,23 @@ def walk(roots: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int, di
     return seen
 
 
+def walked_edges(kept: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int, direction: str = "both", edge_types: Sequence[str] | None = None) -> DataFrame:
+    """(root, edge_id, edge_pos) of the edges walked over from an expanded node (distance below ``max_hops``) with both ends in ``kept``."""
+    expanded = kept.filter(F.col("distance") < max_hops).select("root", F.col("id").alias("at"))
+    ends = kept.select("root", F.col("id").alias("next"))
+    return _moves(expanded, edges, nodes, direction, edge_types).join(ends, ["root", "next"], "left_semi").select("root", "edge_id", "edge_pos").distinct()
+
+
 def neighbors(roots: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = 1, direction: str = "both", edge_types: Sequence[str] | None = None, limit: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and truncation flag of each root's neighbourhood.
+    """Nodes, edges (see :func:`walked_edges`) and truncation flag of each root's neighbourhood.
 
-    Edges are those walked over from an expanded node (distance below
-    ``max_hops``) with both ends in the result. ``truncated`` is true where a
-    Concept within reach was left out for the limit.
+    ``truncated`` is true where a Concept within reach was left out for the limit.
     """
     check("neighbor_hops", max_hops), check("limit", limit)
     reached = walk(roots, nodes, edges, max_hops, direction, edge_types, limit)
     kept = reached.filter("kept")
-    expanded = kept.filter(F.col("distance") < max_hops).select("root", F.col("id").alias("at"))
-    moves = steps(edges, nodes, direction, edge_types)
-    incident = expanded.join(moves, "at").join(kept.select("root", F.col("id").alias("next")), ["root", "next"], "left_semi").select("root", "edge_id", "edge_pos").distinct()
     flags = reached.groupBy("root").agg(F.bool_or(~F.col("kept")).alias("truncated"))
-    return kept, incident, flags
+    return kept, walked_edges(kept, nodes, edges, max_hops, direction, edge_types), flags
 
 
 def backlinks_rows(target: str, nodes: DataFrame, edges: DataFrame, edge_types: Sequence[str] | None = None) -> DataFrame:
@@ -231,6 +250,12 @@ def backlinks_rows(target: str, nodes: DataFrame, edges: DataFrame, edge_types:
     return into.join(source, "from")
 
 
+def backlink_counts(nodes: DataFrame, edges: DataFrame, edge_types: Sequence[str] | None = None) -> DataFrame:
+    """(id, n_backlinks) of every node that an edge from a Concept leads to."""
+    into = edges.filter(of_edge_types(edge_types)).select("from", F.col("to").alias("id"))
+    return into.join(concepts(nodes).select(F.col("id").alias("from")), "from", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n_backlinks"))
+
+
 def backlinks(target: str, nodes: DataFrame, edges: DataFrame, edge_types: Sequence[str] | None = None, limit: int = 20, offset: int = 0, collation: str | None = None) -> DataFrame:
     title = F.collate("source_title", collation) if collation else F.col("source_title")
     return page(backlinks_rows(target, nodes, edges, edge_types), [title, F.col("edge_pos")], limit, offset)
@@ -302,25 +327,40 @@ def read_concepts(ids: Sequence[str], nodes: DataFrame, documents: DataFrame, ma
     return budgeted(joined.withColumn("order", order), "raw", "order", max_chars, budget).orderBy("order")
 
 
-def expand_typed(focus: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = 2, statuses: Sequence[str] = ("stable",), types: Sequence[str] | None = None, cap: int = 100) -> DataFrame:
-    """Evaluation walk: (root, id, distance, candidate).
+def typed_walk(focus: DataFrame, nodes: DataFrame, edges: DataFrame, most_hops: int = 2, cap: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Evaluation walk for a batch: rows (root, id, distance, candidate, found_from, nth) and the roots it was cut for.
 
-    A node of another status is visited but neither a candidate nor expanded; a
-    node of another type is expanded but no candidate. Each node passes on its
-    first ``cap`` neighbours, outgoing ones first.
+    ``focus`` has root (a label), id (where it starts), statuses, types (arrays;
+    null types are any) and max_hops (at most ``most_hops``). A node of another
+    status is visited but neither a candidate nor expanded; a node of another
+    type is expanded but no candidate. Each node passes on its first ``cap``
+    neighbours, outgoing ones first. A level's nodes are found in the order of
+    ``found_from`` and ``nth``.
     """
-    moves = steps(edges, nodes, "both", ["LINKS_TO"])
-    nth = F.row_number().over(Window.partitionBy("root", "at").orderBy("dir", "edge_pos"))
-    info = concepts(nodes).select("id", F.col("status").isin(list(statuses)).alias("allowed"), (F.col("type").isin(list(types)) if types is not None else F.lit(True)).alias("typed"))
-    seen = focus.select("root").distinct().select("root", F.col("root").alias("id"), F.lit(0).alias("distance"), F.lit(False).alias("candidate"))
-    frontier = seen
-    for level in range(1, max_hops + 1):
-        met = frontier.select("root", F.col("id").alias("at")).join(moves, "at").groupBy("root", "at", "next").agg(F.min(F.struct("dir", "edge_pos")).alias("o"))
-        met = met.select("root", "at", "next", "o.dir", "o.edge_pos").withColumn("nth", nth).filter(F.col("nth") <= cap)
-        new = met.select("root", F.col("next").alias("id")).distinct().join(seen.select("root", "id"), ["root", "id"], "left_anti").join(info, "id")
-        new = new.select("root", "id", F.lit(level).alias("distance"), (F.col("allowed") & F.col("typed")).alias("candidate"), "allowed")
-        if level < max_hops:
+    rules = focus.select("root", "statuses", "types", "max_hops")
+    here = Window.partitionBy("root", "at")
+    seen = focus.select("root", "id", F.lit(0).alias("distance"), F.lit(False).alias("candidate"), F.lit(None).cast("string").alias("found_from"), F.lit(0).alias("nth"))
+    frontier, cut = focus.select("root", "id", "statuses", "types", "max_hops"), []
+    info = concepts(nodes).select("id", "status", "type")
+    for level in range(1, most_hops + 1):
+        moves = _moves(frontier.filter(F.col("max_hops") >= level).select("root", F.col("id").alias("at")), edges, nodes, "both", ["LINKS_TO"])
+        met = moves.groupBy("root", "at", "next").agg(F.min(F.struct("dir", "edge_pos")).alias("o"))
+        met = materialized(met.select("root", "at", "next", F.row_number().over(here.orderBy("o.dir", "o.edge_pos")).alias("nth")))
+        cut.append(met.filter(F.col("nth") > cap).select("root"))
+        first = met.filter(F.col("nth") <= cap).groupBy("root", F.col("next").alias("id")).agg(F.min(F.struct(F.col("at").alias("found_from"), "nth")).alias("o"))
+        new = first.join(seen.select("root", "id"), ["root", "id"], "left_anti").join(info, "id").join(rules, "root")
+        allowed = F.array_contains("statuses", F.col("status"))
+        typed = F.col("types").isNull() | F.coalesce(F.array_contains("types", F.col("type")), F.lit(False))
+        new = new.select("root", "id", F.lit(level).alias("distance"), (allowed & typed).alias("candidate"), "o.found_from", "o.nth", allowed.alias("allowed"), "statuses", "types", "max_hops")
+        if level < most_hops:
             new = materialized(new)
-        seen = seen.unionByName(new.drop("allowed"))
+        seen = seen.unionByName(new.select(seen.columns))
         frontier = new.filter("allowed")
-    return seen
+    return seen, reduce(DataFrame.unionByName, cut).distinct()
+
+
+def expand_typed(focus: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = 2, statuses: Sequence[str] = ("stable",), types: Sequence[str] | None = None, cap: int = 100) -> DataFrame:
+    """:func:`typed_walk` from each root with one set of rules: (root, id, distance, candidate)."""
+    texts = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    start = focus.select("root", F.col("root").alias("id"), texts(statuses).alias("statuses"), (texts(types) if types is not None else F.lit(None).cast("array<string>")).alias("types"), F.lit(max_hops).alias("max_hops"))
+    return typed_walk(start.distinct(), nodes, edges, max_hops, cap)[0].select("root", "id", "distance", "candidate")

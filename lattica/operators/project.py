@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.text import ID_PREFIX, NUL, concept_identity, derived_title, encoded_path, is_external, is_fragment, is_iso_datetime, nfkc_of, normalize_term, posix_normalized, repository_web_url, sanitized_repository, strip_query_and_fragment, trimmed, uri_decoded
+from lattica.functions.text import ID_PREFIX, NUL, concept_identity, derived_title, encoded_path, is_external, is_fragment, is_iso_datetime, iso_datetime_text, nfkc_of, normalize_term, posix_normalized, repository_web_url, sanitized_repository, strip_query_and_fragment, trimmed, uri_decoded, utf16_key
 from lattica.schema import EDGE, FLAT_EDGE_COLUMNS, FLAT_NODE_COLUMNS, NODE
 
 
@@ -29,7 +29,7 @@ class Options:
 
         if not re.fullmatch(r"[0-9a-f]{40}|[0-9a-f]{64}", self.commit_sha):
             raise ValueError("commit_sha is 40 or 64 lower-case hex digits")
-        if not re.fullmatch(r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})", self.generated_at):
+        if not iso_datetime_text(self.generated_at):
             raise ValueError("generated_at is an ISO datetime with offset")
         if self.path_in_repository.startswith("/") or ".." in self.path_in_repository.split("/"):
             raise ValueError("path_in_repository stays inside the repository")
@@ -105,8 +105,11 @@ def edge_id(prefix: str = ID_PREFIX) -> Column:
 
 
 def content_digest(documents: DataFrame) -> DataFrame:
-    """One row ``digest``: SHA-256 over the sorted lines path NUL hash. The lines are gathered as text of 100 bytes a document."""
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "contentHash"))), lambda x: F.concat(x.path, F.lit(NUL), x.contentHash)), "\n")
+    """One row ``digest``: SHA-256 over the lines path NUL hash, by UTF-16 order of the paths.
+
+    One hash over all lines needs them in one place: they are gathered as text of 100 bytes a document.
+    """
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(utf16_key("path").alias("key"), "path", "contentHash"))), lambda x: F.concat(x.path, F.lit(NUL), x.contentHash)), "\n")
     return documents.agg(F.sha2(lines, 256).alias("digest"))
 
 
@@ -188,8 +191,8 @@ def project(documents: DataFrame, options: Options, nfkc: bool = True) -> Projec
     from pyspark.sql import Window
 
     one = projection.select("projectionId", F.lit(options.commit_sha).alias("commitSha"))
-    nodes = families.withColumn("tags", F.coalesce("tags", empty)).crossJoin(F.broadcast(one)).withColumn("pos", F.row_number().over(Window.orderBy(order, "id")) - 1).select("pos", *[F.col(c) if c in {*families.columns, "projectionId", "commitSha"} else F.lit(None).cast(NODE[c].dataType).alias(c) for c in NODE.names])
-    edges = deduped_edges(raw_edges).withColumn("id", edge_id(p)).crossJoin(F.broadcast(one)).withColumn("pos", F.row_number().over(Window.orderBy("type", "from", "to")) - 1).select("pos", *[F.col(c) for c in EDGE.names])
+    nodes = families.withColumn("tags", F.coalesce("tags", empty)).crossJoin(F.broadcast(one)).withColumn("pos", F.row_number().over(Window.orderBy(order, utf16_key("id"))) - 1).select("pos", *[F.col(c) if c in {*families.columns, "projectionId", "commitSha"} else F.lit(None).cast(NODE[c].dataType).alias(c) for c in NODE.names])
+    edges = deduped_edges(raw_edges).withColumn("id", edge_id(p)).crossJoin(F.broadcast(one)).withColumn("pos", F.row_number().over(Window.orderBy(utf16_key("type"), utf16_key("from"), utf16_key("to"))) - 1).select("pos", *[F.col(c) for c in EDGE.names])
     counts = documents.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("kind") == "concept").alias("concepts"))
     manifest = projection.crossJoin(counts).crossJoin(nodes.agg(F.count(F.lit(1)).alias("nodes"))).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))
     manifest = manifest.withColumns({"repository": repo, "commitSha": F.lit(options.commit_sha), "generatedAt": F.lit(options.generated_at), "pathInRepository": F.lit(where), "schemaVersion": F.lit(options.schema_version), "okfVersion": F.lit(options.okf_version)})

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from lattica.functions import text as X
 from lattica.operators import bm25, contract, evaluate, graph, project
+from lattica.operators.validate import out_of_order
 from lattica.plans import driver_graph as G
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,9 +125,7 @@ def neighbors_2hop_both(spark, d):
 def neighbors_edges_induced(spark, d):
     nodes, edges = G.nodes(spark, d), G.edges(spark, d)
     kept = graph.walk(_roots(spark, "supplier:5", "customer:11"), nodes, edges, 2)
-    opened = kept.filter("distance < 2").select("root", F.col("id").alias("at"))
-    moves = graph.steps(edges, nodes, "both")
-    return opened.join(moves, "at").join(kept.select("root", F.col("id").alias("next")), ["root", "next"], "left_semi").groupBy("root").agg(F.count_distinct("edge_id").alias("n_edges"))
+    return graph.walked_edges(kept, nodes, edges, 2).groupBy("root").agg(F.count_distinct("edge_id").alias("n_edges"))
 
 
 @query("WITH {graph} SELECT r.id AS root, count(l.src) > 20 AS truncated, least(20, count(l.src)) AS n_kept FROM (VALUES ('nation:3'), ('nation:4'), ('part:1')) r(id) LEFT JOIN link l ON l.dst = r.id GROUP BY r.id")
@@ -140,19 +139,9 @@ def backlinks_page(spark, d):
     return graph.backlinks("part:3", G.nodes(spark, d), G.edges(spark, d), limit=20, offset=5).select("edge_id", F.col("from").alias("source_id"), "source_title")
 
 
-@query("WITH {graph} SELECT l.dst AS id, count(*) AS n_backlinks FROM link l JOIN concept c ON c.id = l.src WHERE starts_with(l.dst, 'supplier:') OR starts_with(l.dst, 'nation:') GROUP BY l.dst")
-def backlinks_counts(spark, d):
-    edges = G.edges(spark, d).filter(F.startswith("to", F.lit("supplier:")) | F.startswith("to", F.lit("nation:")))
-    return _backlinks(edges, G.nodes(spark, d))
-
-
-def _backlinks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    return edges.join(nodes.select(F.col("id").alias("from")), "from", "left_semi").groupBy(F.col("to").alias("id")).agg(F.count(F.lit(1)).alias("n_backlinks"))
-
-
 @query("WITH {graph} SELECT l.dst AS id, count(*) AS n_backlinks FROM link l JOIN concept c ON c.id = l.src GROUP BY l.dst")
-def backlinks_counts_all(spark, d):
-    return _backlinks(G.edges(spark, d), G.nodes(spark, d))
+def backlinks_counts(spark, d):
+    return graph.backlink_counts(G.nodes(spark, d), G.edges(spark, d))
 
 
 PATH_PAIRS = [("orders:7", "region:1"), ("orders:7", "region:4"), ("customer:3", "region:0"), ("customer:3", "part:1"), ("nation:2", "nation:2"), ("orders:1", "nation:5")]
@@ -176,28 +165,38 @@ def shortest_path_both(spark, d):
     return graph.find_paths(pairs, G.nodes(spark, d), G.edges(spark, d), 2, "both").select("root", "target", "hop_count")
 
 
-@query("WITH {graph} SELECT 'customer:3>' || a.dst || '>' || b.dst AS path FROM link a JOIN link b ON b.src = a.dst WHERE a.src = 'customer:3'")
+def _path_ids_sql(hops: int) -> str:
+    values = ", ".join(f"('{a}', '{b}')" for a, b in PATH_PAIRS)
+    return (
+        f"WITH RECURSIVE {{graph}}, pairs(root, target) AS (VALUES {values}), reach(root, id, n, nodes, eids) AS (SELECT DISTINCT root, root, 0, [root], CAST([] AS VARCHAR[]) FROM pairs "
+        f"UNION ALL SELECT reach.root, link.dst, n + 1, list_append(nodes, link.dst), list_append(eids, link.eid) FROM reach JOIN link ON link.src = reach.id WHERE n < {hops}), "
+        "best AS (SELECT p.root, p.target, r.n, r.nodes, r.eids, row_number() OVER (PARTITION BY p.root, p.target ORDER BY r.n, r.eids) AS k FROM pairs p LEFT JOIN reach r ON r.root = p.root AND r.id = p.target) "
+        "SELECT root, target, CAST(n AS INTEGER) AS hop_count, array_to_string(nodes, ' ') AS node_ids, array_to_string(eids, ' ') AS edge_ids FROM best WHERE k = 1"
+    )
+
+
+@query(_path_ids_sql(4))
+def shortest_path_ids(spark, d):
+    """Of equally short paths the queue's first, that is the one whose edges come first one after another."""
+    pairs = spark.createDataFrame(PATH_PAIRS, "root string, target string")
+    found = graph.find_paths(pairs, G.nodes(spark, d), G.edges(spark, d), 4, "outgoing")
+    return found.select("root", "target", "hop_count", F.array_join("node_ids", " ").alias("node_ids"), F.array_join("edge_ids", " ").alias("edge_ids"))
+
+
+@query("WITH {graph}, a AS (SELECT dst FROM link WHERE src = 'customer:3') SELECT 'customer:3>' || a.dst || '>' || b.dst AS path FROM a JOIN link b ON b.src = a.dst")
 def shortest_path_fixed(spark, d):
-    nodes, edges = G.nodes(spark, d, ("customer", "nation", "region")), G.edges(spark, d, ("customer_nation", "nation_region"))
+    nodes, edges = G.nodes(spark, d), G.edges(spark, d)
     regions = nodes.filter("type = 'Region'").select(F.lit("customer:3").alias("root"), F.col("id").alias("target"))
     return graph.find_paths(regions, nodes, edges, 2).filter("hop_count is not null").select(F.array_join("node_ids", ">").alias("path"))
 
 
 @query("WITH {graph}, up AS (SELECT c.id AS root, l.dst AS id, 1 AS n FROM concept c JOIN link l ON l.src = c.id WHERE c.type = 'Customer' UNION ALL SELECT c.id, m.dst, 2 FROM concept c JOIN link l ON l.src = c.id JOIN link m ON m.src = l.dst WHERE c.type = 'Customer') SELECT id, n AS distance, count(DISTINCT root) AS n_roots FROM up GROUP BY id, n")
 def reachable_within_k(spark, d):
-    nodes, edges = G.nodes(spark, d, ("customer", "nation", "region")), G.edges(spark, d, ("customer_nation", "nation_region"))
+    nodes, edges = G.nodes(spark, d), G.edges(spark, d)
     roots = nodes.filter("type = 'Customer'").select(F.col("id").alias("root"))
     return graph.walk(roots, nodes, edges, 2, "outgoing").filter("distance > 0").groupBy("id", "distance").agg(F.count_distinct("root").alias("n_roots"))
 
 
-@query("WITH {graph} SELECT o.id, 1 AS distance, o.status = 'stable' AS candidate FROM link l JOIN concept o ON o.id = l.src WHERE l.dst = 'customer:11' UNION ALL SELECT l.dst, 1, false FROM link l WHERE l.src = 'customer:11' UNION ALL SELECT DISTINCT m.dst, 2, false FROM link l JOIN concept o ON o.id = l.src AND o.status = 'stable' JOIN link m ON m.src = o.id WHERE l.dst = 'customer:11' AND m.dst <> 'customer:11'")
-def typed_expansion(spark, d):
-    edges = G.edges(spark, d, ("order_customer", "order_part", "order_supplier")).unionByName(G.edges(spark, d, ("customer_nation",)).filter("`from` = 'customer:11'"))
-    found = graph.expand_typed(_roots(spark, "customer:11"), G.nodes(spark, d), edges, 2, ("stable",), ["Order"], cap=100)
-    # orders met through a part are the second hop's other results; the twin lists what each order of the customer leads to
-    return found.filter("distance > 0").filter("distance = 1 or not startswith(id, 'orders:')").select("id", "distance", "candidate")
-
-
 EXPANSION = """
 , step AS (SELECT src AS a, dst AS b, 0 AS dir, eid FROM link UNION ALL SELECT dst, src, 1, eid FROM link),
 nth AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY dir, eid) AS n FROM step),
@@ -207,7 +206,7 @@ two AS (SELECT DISTINCT c.id, c.status = 'stable' AS allowed, c.type FROM one JO
 
 
 @query("WITH {graph} " + EXPANSION + " SELECT id, 1 AS distance, allowed AND type = 'Order' AS candidate FROM one UNION ALL SELECT id, 2, allowed AND type = 'Order' FROM two")
-def typed_expansion_all(spark, d):
+def typed_expansion(spark, d):
     found = graph.expand_typed(_roots(spark, "customer:11"), G.nodes(spark, d), G.edges(spark, d), 2, ("stable",), ["Order"], cap=100)
     return found.filter("distance > 0").select("id", "distance", "candidate")
 
@@ -370,22 +369,10 @@ def iso_timestamp_check(spark, d):
     return e.select("event_id", X.is_iso_datetime(s).alias("ok"))
 
 
-@query("WITH l AS (SELECT user_id, event_id, CAST(ts AS DATE) AS day, lag(CAST(ts AS DATE)) OVER (PARTITION BY user_id ORDER BY event_id DESC) AS before FROM events WHERE user_id < 50) SELECT user_id, count(*) FILTER (before < day) AS out_of_order FROM l GROUP BY user_id")
-def log_order_check(spark, d):
-    return _log_order(G.table(spark, d, "events").filter("user_id < 50"))
-
-
-def _log_order(events: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = events.select("user_id", "event_id", F.to_date("ts").alias("day"))
-    before = F.lag("day").over(Window.partitionBy("user_id").orderBy(F.col("event_id").desc()))
-    return rows.withColumn("before", before).groupBy("user_id").agg(F.count_if(F.col("before") < F.col("day")).alias("out_of_order"))
-
-
 @query("WITH l AS (SELECT user_id, event_id, CAST(ts AS DATE) AS day, lag(CAST(ts AS DATE)) OVER (PARTITION BY user_id ORDER BY event_id DESC) AS before FROM events) SELECT user_id, count(*) FILTER (before < day) AS out_of_order FROM l GROUP BY user_id")
-def log_order_check_all(spark, d):
-    return _log_order(G.table(spark, d, "events"))
+def log_order_check(spark, d):
+    entries = G.table(spark, d, "events").select("user_id", F.col("event_id").alias("nth"), F.to_date("ts").alias("day"))
+    return out_of_order(entries, ["user_id"], F.col("nth").desc()).groupBy("user_id").agg(F.count_if("late").alias("out_of_order"))
 
 
 @query(r"WITH a AS (SELECT unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS target FROM pages UNION ALL SELECT url FROM pages UNION ALL SELECT '#' || page_id FROM pages) SELECT CASE WHEN starts_with(target, '#') THEN 'fragment' WHEN regexp_matches(target, '^([a-zA-Z][a-zA-Z0-9+.-]*:|//)') THEN 'external' ELSE 'local' END AS kind, count(*) AS n, count(DISTINCT regexp_extract(target, '^[^?#]*')) AS n_plain FROM a GROUP BY kind")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import threading
 import time
-from collections.abc import Callable, Sequence
+import weakref
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from lattica.operators import graph
 from lattica.operators.contract import raise_if_any, violations
+from lattica.sources.shared import dematerialized, materialized
 
 
 @dataclass(frozen=True)
@@ -22,12 +25,14 @@ class Snapshot:
     repository: str = ""
     commit_sha: str = ""
 
-    def cached(self) -> Snapshot:
-        return Snapshot(self.nodes.cache(), self.edges.cache(), self.repository, self.commit_sha)
+    def pinned(self) -> Snapshot:
+        """The same rows written to the shared folder: whatever its sources become, every query of it reads these."""
+        return Snapshot(materialized(self.nodes), materialized(self.edges), self.repository, self.commit_sha)
 
     def release(self) -> None:
-        self.nodes.unpersist()
-        self.edges.unpersist()
+        """Delete the files of a pinned snapshot."""
+        for table in (self.nodes, self.edges):
+            dematerialized(table)
 
     def browse_index(self, directory: str = ".", **options) -> DataFrame:
         return graph.browse(self.nodes, directory, **options)
@@ -63,7 +68,10 @@ class SnapshotManager:
     """Hands out the current snapshot; loads a new one when the time to live (1 to 300 s) is over.
 
     One load at a time. A load that fails, or breaks the contract, raises and
-    leaves the old snapshot to queries that hold it; it is not served anew.
+    leaves the old snapshot to queries that hold it; it is not served anew. A
+    snapshot is written once, when it is loaded, and its files go when a newer
+    one has taken its place and its last reader has ended: hold the snapshot of
+    :meth:`acquire`, or stay within :meth:`reading`, until results are read.
     """
 
     def __init__(self, load: Callable[[], Snapshot], ttl: float = 60, validate: bool = True, clock: Callable[[], float] = time.monotonic):
@@ -77,14 +85,19 @@ class SnapshotManager:
     def acquire(self) -> Snapshot:
         with self._lock:
             if self._current is None or self._clock() >= self._until:
-                new = self._load().cached()
+                new = self._load().pinned()
                 if self._validate:
                     try:
                         raise_if_any(violations(new.nodes, new.edges))
                     except Exception:
                         new.release()
                         raise
-                old, self._current, self._until = self._current, new, self._clock() + self._ttl
-                if old is not None:
-                    old.release()
+                # readers hold the handle; its files go with the last of them
+                handle = Snapshot(new.nodes, new.edges, new.repository, new.commit_sha)
+                weakref.finalize(handle, new.release)
+                self._current, self._until = handle, self._clock() + self._ttl
             return self._current
+
+    @contextmanager
+    def reading(self) -> Iterator[Snapshot]:
+        yield self.acquire()

@@ -9,6 +9,10 @@ sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 
+def pytest_configure(config):
+    config.addinivalue_line("markers", "production: with the parameters of the registered queries")
+
+
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession

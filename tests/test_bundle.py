@@ -146,6 +146,9 @@ def test_evaluation(spark):
     r = evaluate.acceptance(evaluate.metrics(cases)).first()
     assert (r["recall"], r["precision"], r["f1"], r["path_recall"], r["excluded_hits"], r["status_passed"], r["accepted"]) == (0.5, 0.5, 0.5, 0.5, ["b"], True, False)
     assert evaluate.metrics(cases.withColumn("supported_paths", F.lit(None).cast("array<array<string>>"))).first()["path_recall"] is None
-    assert evaluate.requested_types("Which FAT and change request apply?", ["FAT", "Change Request"]) == ["Acceptance Test", "Change Request"]
+    rules = (("Acceptance Test", (r"^(?:fat|sat)$", r"\bacceptance tests?\b")), ("Change Request", (r"\bchange requests?\b",)))
+    assert evaluate.requested_types("Which FAT and change request apply?", ["FAT", "Change Request"], rules) == ["Acceptance Test", "Change Request"]
     with pytest.raises(ValueError):
-        evaluate.requested_types("Which FAT?", ["SAT"])
+        evaluate.requested_types("Which FAT?", ["SAT"], rules)
+    with pytest.raises(ValueError):
+        evaluate.requested_types("Which pump?", ["pump"], rules)

@@ -1,5 +1,7 @@
+import gc
 import random
 from collections import deque
+from pathlib import Path
 
 import pytest
 
@@ -149,3 +151,25 @@ def test_snapshot_manager_renews_after_its_time(small):
     assert [r["id"] for r in manager.acquire().browse_index("p").collect()] == ["c3"]
     with pytest.raises(ValueError):
         SnapshotManager(load, ttl=0)
+
+
+def test_a_generation_outlives_its_source_and_goes_with_its_last_reader(spark, tmp_path):
+    def write(title):
+        spark.createDataFrame([(0, "c1", "Concept", title, "T", "c1.md", None, [], [], "stable")], NODE).write.mode("overwrite").parquet(str(tmp_path / "nodes"))
+
+    def load():
+        return Snapshot(spark.read.schema(NODE).parquet(str(tmp_path / "nodes")), spark.createDataFrame([], EDGE))
+
+    now = [0.0]
+    write("first")
+    manager = SnapshotManager(load, ttl=60, validate=False, clock=lambda: now[0])
+    held = manager.acquire()
+    folder = Path(held.nodes.inputFiles()[0].removeprefix("file:").replace("///", "/")).parent
+    write("second")
+    now[0] = 61
+    with manager.reading() as new:
+        assert [r["title"] for r in new.browse_index().collect()] == ["second"]
+    assert [r["title"] for r in held.browse_index().collect()] == ["first"] and folder.exists()
+    del held
+    gc.collect()
+    assert not folder.exists()
