@@ -13,7 +13,7 @@ since the count of shared prefix shingles, which bounds the intersection,
 needs its occurrences at every position. *Component level*: in a first round
 every set is checked against the one earlier set it shares most lists with;
 where that holds, the two share one component. Links inside a component are
-neither derived from those of a similar set nor returned. In a second round each set meets a bounded choice of
+neither derived from those of a similar set nor returned. In middle rounds each set meets a bounded choice of
 its lists' sets with other answers, and in the last one all that have another
 answer still. Thousands of near copies thus cost a few checks each, and every
 link between different components is still tried.
@@ -40,8 +40,8 @@ MEMBERS = T.StructType([T.StructField("sid", T.LongType()), T.StructField("membe
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("common", T.LongType())])
 
 
-#: Partners in a list that a set meets in the second round.
-HUBS = 64
+#: Partners in a list that a set meets in each of the middle rounds, and how many of these there are.
+HUBS, MIDDLE = 16, 2
 #: Rows up to which a side is sent to all executors.
 SMALL = 100_000
 
@@ -364,7 +364,9 @@ def answers(docs: DataFrame, sets: DataFrame, k: int, percent: int, frequent: in
     lists = written(shared_lists(prefix_entries(docs, k, percent, order)), "lists")
     check = lambda pairs: written(verify(pairs, docs, sets, k, percent), "links").select("a", "b")
     labels = components(check(written(hub_pairs(lists, percent), "candidates")))
-    partners = written(cross_pairs(lists, labels, percent, HUBS), "candidates")
-    if partners.limit(1).count():
+    for seed in range(MIDDLE):
+        partners = written(cross_pairs(lists, labels, percent, HUBS, seed), "candidates")
+        if not partners.limit(1).count():
+            break
         labels = merged(labels, check(partners))
     return merged(labels, check(written(cross_pairs(lists, labels, percent), "candidates")))
