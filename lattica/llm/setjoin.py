@@ -323,9 +323,13 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent:
 RESULT = ("doc_id", "n_shingles", "component_id")
 
 
-def join(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = 1 << 18, salts: int = 8) -> DataFrame:
+def join(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = 1 << 18, salts: int = 8, detail: bool = False) -> DataFrame:
     """Components of documents whose shingle sets link: (doc_id, n_shingles, component_id).
 
+    With ``detail`` also text_hash (xxhash64 of the text) and label, which tells
+    components apart even where rows of several share a doc_id (null for a text
+    without shingles).
+
     Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased; a
     set holds the distinct ``k``-word shingles of the whole text, or its whole
     sequence if it has fewer words. Two documents link when 100 * |x & y| >=
@@ -350,12 +354,33 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = 1 << 18
     least = sets.filter("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = least.join(labels, least.sid == labels.node, "left").select("sid", "least", F.coalesce("component", "sid").alias("label"))
     over = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_set = named.join(over, "label").select("sid", "component_id")
+    of_set = named.join(over, "label").select("sid", "component_id", "label")
     salted = of_set.withColumn("salt", F.explode(F.array(*[F.lit(s) for s in range(salts)])))
     rows = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     some = rows.filter("n_shingles > 0").join(salted, ["sid", "salt"], "left")
-    none = rows.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    return some.select(*RESULT).unionByName(none.select(*RESULT))
+    none = rows.filter("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "label": F.lit(None).cast("long")})
+    shown = [*RESULT, "text_hash", "label"] if detail else RESULT
+    return some.select(*shown).unionByName(none.select(*shown))
+
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: one row of each component (see :func:`join`), and all without words.
+
+    The smallest doc_id of a component stays, of rows that share it the one with
+    the smallest text hash; a null doc_id stays only where its component has no
+    other. A row repeated whole stays once. All columns are kept.
+    """
+    found = join(docs, detail=True, **options)
+    best = found.filter("label is not null").groupBy("label").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k")).select("k.*")
+    ids = best.unionByName(found.filter("label is null").select("doc_id", "text_hash").distinct())
+    ids = written(ids.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")), "kept")
+    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_hash"))
+    kept = hashed.join(ids, same, "left_semi")
+    repeats = found.join(ids, found.doc_id.eqNullSafe(F.col("_kept_id")) & (found.text_hash == F.col("_kept_hash")), "left_semi").groupBy("doc_id", "text_hash").count().filter("count > 1")
+    if repeats.limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "_text_hash"])
+    return kept.drop("_text_hash")
 
 
 def answers(docs: DataFrame, sets: DataFrame, k: int, percent: int, frequent: int) -> DataFrame:
