@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs. All but the last keep the
 columns of ``documents``. SQL cannot say the toxicity network or the packing,
-so ``ORACLE_SQL`` is None; the stages are tested against brute force.
+so ``ORACLE_SQL`` is None; ``tests/llm/test_pipeline.py`` holds each stage
+against brute force on its own input.
 """
 
 from __future__ import annotations
@@ -33,11 +34,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each component of the 4-gram Jaccard join, and all without words."""
     common.tune(spark)
-    found = setjoin.join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = common.written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept").withColumnRenamed("doc_id", "kept_id")
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    # rows that repeat a kept one whole are its copies
-    return kept.dropDuplicates(["doc_id", "text"]) if ids.filter("n > 1").limit(1).count() else kept
+    return setjoin.representatives(docs).select(*docs.columns)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +62,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = common.written(docs, name.replace(" ", "-"))
-    return docs
+        out = stage(spark, docs, sf_dir)
+        if k + 1 == len(STAGES):
+            return out  # reads the last written stage, which therefore stays
+        out = common.written(out, name.replace(" ", "-"))
+        if k:
+            common.removed(spark, docs)
+        docs = out
