@@ -7,10 +7,10 @@ each index list holds the sets of one shingle, ascending by size, with the
 shingle's position in each.
 
 Two relations between sets save work. *Index level*: within a list, blocks of
-entries too small to reach the threshold are passed over. Blocks are not
-skipped by position: a pair's positions are judged once its lists are counted,
-since the count of shared prefix shingles, which bounds the intersection,
-needs its occurrences at every position. *Component level*: in a first round
+entries are passed over that are too small to reach the threshold, or whose
+shingle stands too far on: a shared shingle leaves room for the rest of the
+smaller remainder only, and no more can be shared before it than the lesser
+position says. *Component level*: in a first round
 every set is checked against the one earlier set it shares most lists with;
 where that holds, the two share one component. Links inside a component are
 neither derived from those of a similar set nor returned. In middle rounds each set meets a bounded choice of
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from lattica.llm.common import BYTE_VALUES_LOWER, chunks, components, distinct, merged, mix, shingles, signed, span_hashes, utf8, word_spans, written
 
-SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("sid", T.LongType())])
+SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("sid", T.LongType()), *[T.StructField(f"mark{q}", T.LongType()) for q in range(4)]])
 COUNTS = T.StructType([T.StructField("shingle", T.LongType()), T.StructField("n", T.LongType())])
 ENTRIES = T.StructType([T.StructField("token", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("pos", T.IntegerType())])
 LISTS = T.StructType([*ENTRIES.fields, T.StructField("hub", T.LongType()), T.StructField("hub_n", T.IntegerType())])
@@ -59,6 +59,19 @@ def document_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarr
         yield i, j, hashes, set_off, sid
 
 
+def parity_marks(hashes: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """Four times 64 marks of each set: the parity of its shingles at each place. Sets differ at no more places than in shingles."""
+    full = np.flatnonzero(np.diff(off))
+    one = np.uint64(1) << (hashes & np.uint64(63))
+    out = []
+    for q in range(4):
+        marks = np.zeros(len(off) - 1, np.uint64)
+        if len(full):
+            marks[full] = np.bitwise_xor.reduceat(np.where((hashes >> np.uint64(6)) & np.uint64(3) == q, one, np.uint64(0)), off[full])
+        out.append(marks)
+    return out
+
+
 def required(nx, ny, percent: int):
     """Least intersection of sets of these sizes: 100 * |x & y| >= percent * |x | y|."""
     return -(-percent * (nx + ny) // (100 + percent))
@@ -210,12 +223,13 @@ def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return fair.groupBy("sid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")).select(F.col("sid").alias("a"), F.col("hub").alias("b"))
 
 
-def cross_pairs(lists: DataFrame, labels: DataFrame, percent: int, hubs: int = 0, seed: int = 0, block: int = 1024) -> DataFrame:
+def cross_pairs(lists: DataFrame, labels: DataFrame, marks: DataFrame, percent: int, hubs: int = 0, seed: int = 0, block: int = 512) -> DataFrame:
     """Candidate pairs (a, b) of sets that share a list, may reach the threshold, and have no common answer yet.
 
     With ``hubs`` only lists of more sets than that count, and of them only
     pairs with so many of the list's sets, by a hash with ``seed``: a random
-    choice, and the same one in all lists of a group.
+    choice, and the same one in all lists of a group. ``marks`` (sid, mark0 ...
+    mark3) bound the intersection of two sets from above.
     """
     label = F.coalesce("component", "sid").alias("label")
     known = lists.select("token", "sid", "n", "pos").join(labels.withColumnRenamed("node", "own"), F.col("sid") == F.col("own"), "left").select("token", "sid", "n", "pos", label)
@@ -224,13 +238,17 @@ def cross_pairs(lists: DataFrame, labels: DataFrame, percent: int, hubs: int = 0
         open_token, open_rows = None, []  # the open list's entries, by block, none too small for what follows
 
         def pairs(x: tuple, y: tuple, same: bool) -> pa.RecordBatch | None:
-            """x: later entries, y: earlier or the same ones (sid, n, pos, label)."""
-            if not hubs and 100 * int(y[1].max()) < percent * int(x[1].min()):
+            """x: later entries, y: earlier or the same ones (sid, n, pos, label, marks)."""
+            rooms, places = [z[1] - z[2] for z in (x, y)], [z[2] for z in (x, y)]
+            least = required(int(x[1].min()), int(y[1].min()), percent)
+            if not hubs and (100 * int(y[1].max()) < percent * int(x[1].min()) or min(int(r.max()) for r in rooms) + min(int(p.max()) for p in places) < least):
                 return None
             need = required(x[1][:, None], y[1][None], percent)
-            room = np.minimum((x[1] - x[2])[:, None], (y[1] - y[2])[None])
-            small = np.minimum(x[1][:, None], y[1][None])
-            ok = (x[3][:, None] != y[3][None]) & (need <= small)
+            room = np.minimum(rooms[0][:, None], rooms[1][None])
+            # of a pair that reaches the threshold at most as many shingles are shared before this one as the lesser position says
+            ok = (x[3][:, None] != y[3][None]) & (room + np.minimum(places[0][:, None], places[1][None]) >= need)
+            differ = sum(np.bitwise_count(a[:, None] ^ b[None]).astype(np.int64) for a, b in zip(x[4:], y[4:]))
+            ok &= x[1][:, None] + y[1][None] - differ >= 2 * need
             if same:
                 ok &= np.tri(len(x[0]), k=-1, dtype=bool)
             i, j = np.nonzero(ok)
@@ -245,8 +263,8 @@ def cross_pairs(lists: DataFrame, labels: DataFrame, percent: int, hubs: int = 0
             )
 
         for batch in batches:
-            token, sid, n, pos, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            token, sid, n, pos, label, *mark = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(9))
+            n, pos, mark = n.astype(np.int64), pos.astype(np.int64), [m.view(np.uint64) for m in mark]  # a count of bits takes no sign
             cuts = np.flatnonzero(np.diff(token)) + 1
             for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(token))):
                 if lo == hi:
@@ -254,7 +272,7 @@ def cross_pairs(lists: DataFrame, labels: DataFrame, percent: int, hubs: int = 0
                 if token[lo] != open_token:
                     open_token, open_rows = token[lo], []
                 for a in range(lo, hi, block):
-                    x = tuple(c[a : min(hi, a + block)] for c in (sid, n, pos, label))
+                    x = tuple(c[a : min(hi, a + block)] for c in (sid, n, pos, label, *mark))
                     if hubs:
                         # the list's first sets stay open, all others meet them only
                         room = hubs - sum(len(y[0]) for y in open_rows)
@@ -274,8 +292,8 @@ def cross_pairs(lists: DataFrame, labels: DataFrame, percent: int, hubs: int = 0
 
     # lists whose sets all have one answer end here
     several = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("sets")).filter((F.col("lo") != F.col("hi")) & (F.col("sets") > hubs)).select("token")
-    order = [F.xxhash64("sid", F.lit(seed))] if hubs else ["n", "sid"]
-    left = known.join(several, "token", "left_semi").repartition("token").sortWithinPartitions("token", *order)
+    order = [F.xxhash64("sid", F.lit(seed))] if hubs else ["n", "pos", "sid"]
+    left = known.join(several, "token", "left_semi").join(marks, "sid").select("token", "sid", "n", "pos", "label", *[f"mark{q}" for q in range(4)]).repartition("token").sortWithinPartitions("token", *order)
     found = left.mapInArrow(run, PAIRS).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("ok").alias("ok"), F.count(F.lit(1)).alias("c"))
     # shared prefix shingles and all others of the larger rest bound the intersection
     rest = F.greatest(F.ceil(F.col("na") * (percent / 100)), F.ceil(F.col("nb") * (percent / 100))) - 1
@@ -346,8 +364,9 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = 1 << 18
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, _, off, sid in document_sets(batch.column(2), k):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(off)), pa.array(signed(sid))], names=SETS.names)
+            for i, j, hashes, off, sid in document_sets(batch.column(2), k):
+                marks = [pa.array(signed(m)) for m in parity_marks(hashes, off)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(off)), pa.array(signed(sid)), *marks], names=SETS.names)
 
     sets = written(docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text.alias("text")).mapInArrow(run, SETS), "sets")
     labels = answers(docs, sets.filter("n_shingles > 0"), k, percent, frequent)
@@ -387,11 +406,12 @@ def answers(docs: DataFrame, sets: DataFrame, k: int, percent: int, frequent: in
     """(node, component) of all linked sets, by set id."""
     order = Order(frequent_shingles(docs, k, frequent))
     lists = written(shared_lists(prefix_entries(docs, k, percent, order)), "lists")
+    marks = sets.groupBy("sid").agg(*[F.max(f"mark{q}").alias(f"mark{q}") for q in range(4)])  # the same for all copies
     check = lambda pairs: written(verify(pairs, docs, sets, k, percent), "links").select("a", "b")
     labels = components(check(written(hub_pairs(lists, percent), "candidates")))
     for seed in range(MIDDLE):
-        partners = written(cross_pairs(lists, labels, percent, HUBS, seed), "candidates")
+        partners = written(cross_pairs(lists, labels, marks, percent, HUBS, seed), "candidates")
         if not partners.limit(1).count():
             break
         labels = merged(labels, check(partners))
-    return merged(labels, check(written(cross_pairs(lists, labels, percent), "candidates")))
+    return merged(labels, check(written(cross_pairs(lists, labels, marks, percent), "candidates")))
