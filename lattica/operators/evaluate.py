@@ -133,7 +133,7 @@ def trace_problems(calls: DataFrame) -> DataFrame:
     """
     seq = F.array_sort(F.collect_list(F.struct("pos", "name", "status", "concept_id", "result_ids", "commit")))
     rows = calls.groupBy("session").agg(seq.alias("c"))
-    names = F.transform("c", lambda x: x.name)
+    names = F.transform("c", lambda x: x["name"])
     first = F.try_element_at("c", F.lit(1))
     rules = {
         "other calls or order": names != F.array(*[F.lit(n) for n in CALLS]),

@@ -12,6 +12,9 @@ from lattica.functions import text as X
 from lattica.operators import bm25, contract, evaluate, graph, project
 from lattica.operators.validate import out_of_order
 from lattica.plans import driver_graph as G
+from lattica.plans import evaluation
+from lattica.sources import bundle
+from lattica.sources.shared import materialized
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -211,14 +214,19 @@ def typed_expansion(spark, d):
     return found.filter("distance > 0").select("id", "distance", "candidate")
 
 
-@query("WITH {graph}, r AS (SELECT c.id, c.title, l.eid FROM link l JOIN concept c ON c.id = l.src WHERE l.dst = 'nation:7' AND c.status = 'stable') SELECT id, title, CAST(row_number() OVER (ORDER BY title, id) AS INTEGER) AS rank FROM r ORDER BY title, id LIMIT 12")
+@query(
+    "WITH {graph}" + EXPANSION.replace("customer:11", "nation:7").replace("SELECT c.id, c.status", "SELECT c.id, c.title, n, c.status", 1) + ", m AS (SELECT id, title, n, CASE WHEN contains(lower(title), '00') THEN 40 ELSE 0 END AS score FROM one WHERE allowed), "
+    "p AS (SELECT *, row_number() OVER (ORDER BY n) AS place FROM m) SELECT id, CAST(score > 0 AS INTEGER) AS n_matched, score, 1 AS distance, CAST(row_number() OVER (ORDER BY score DESC, title, id) AS INTEGER) AS rank FROM p WHERE place <= 100 ORDER BY score DESC, title, id LIMIT 12"
+)
 def traversal_topk(spark, d):
-    from pyspark.sql import Window
-
-    nodes = G.nodes(spark, d)
-    found = graph.walk(_roots(spark, "nation:7"), nodes, G.edges(spark, d), 1, "incoming").filter("distance = 1")
-    rows = found.select("id").join(nodes.filter("status = 'stable'").select("id", "title"), "id")
-    return rows.orderBy("title", "id").limit(12).withColumn("rank", F.row_number().over(Window.orderBy("title", "id")))
+    """The walk's candidates by relevance to a term, distance and title."""
+    nodes, edges = G.nodes(spark, d), G.edges(spark, d)
+    start = spark.createDataFrame([("q", "nation:7", ["stable"], None, 1)], "root string, id string, statuses array<string>, types array<string>, max_hops int")
+    found, _ = graph.typed_walk(start, nodes, edges, 1)
+    near = nodes.join(found.select("id"), "id", "left_semi")
+    matched = graph.resolve_rows(near, ["00"], nfkc=False).select(F.lit("q").alias("question_id"), "id", "score", "n_matched")
+    top = evaluation.top_of_walk(found, nodes.withColumn("uid", F.col("id")), matched, spark.createDataFrame([("q", 12)], "id string, top_k int"))
+    return top.select("id", "n_matched", "score", "distance", "rank")
 
 
 # ----------------------------------------------------------- provenance, reads
@@ -297,40 +305,59 @@ def content_digest(spark, d):
     return project.content_digest(G.table(spark, d, "benchmark").select(F.concat(F.col("item_id").cast("string"), F.lit(".md")).alias("path"), F.sha2("text", 256).alias("contentHash")))
 
 
-@query("WITH {graph} SELECT (SELECT count(*) FROM concept) AS nodes, (SELECT count(*) FROM link) AS edges, (SELECT count(*) FROM documents) AS documents")
+@query("WITH n AS (SELECT (SELECT count(*) FROM supplier) AS s, (SELECT count(*) FROM nation) AS n, (SELECT count(DISTINCT s_suppkey % 5) FROM supplier) AS tags, (SELECT count(DISTINCT n_regionkey) FROM nation) AS sources) SELECT s + n + 1 AS documents, s + n AS concepts, s + n + tags + sources AS nodes, s + s + n AS edges FROM n")
 def manifest_counts(spark, d):
-    n = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
-    return n(G.nodes(spark, d), "nodes").crossJoin(n(G.edges(spark, d), "edges")).crossJoin(n(G.table(spark, d, "documents"), "documents"))  # single rows
+    """A bundle written from two tables, read and projected: suppliers link to their nations and have a tag, nations a source."""
+    key = lambda c: F.col(c).cast("string")
+    supplier = G.table(spark, d, "supplier").select(
+        F.concat(F.lit("supplier/"), key("s_suppkey"), F.lit(".md")).alias("path"),
+        F.concat(F.lit("---\ntype: Supplier\ntitle: "), "s_name", F.lit("\ntags: [tag "), (F.col("s_suppkey") % 5).cast("string"), F.lit("]\n---\nSee [its nation](../nation/"), key("s_nationkey"), F.lit(".md).\n")).alias("raw"),
+    )
+    nation = G.table(spark, d, "nation").select(
+        F.concat(F.lit("nation/"), key("n_nationkey"), F.lit(".md")).alias("path"), F.concat(F.lit("---\ntype: Nation\ntitle: "), "n_name", F.lit("\nsources:\n  - resource: https://example.org/region/"), key("n_regionkey"), F.lit("\n---\nText.\n")).alias("raw")
+    )
+    index = spark.createDataFrame([("index.md", "# All\n\n- [one](supplier/1.md)\n")], "path string, raw string")
+    documents = materialized(bundle.parse(supplier.unionByName(nation).unionByName(index)))
+    made = project.project(documents, project.Options("git@host:me/repo.git", "a" * 40, "2024-01-01T00:00:00Z"), nfkc=False)
+    return made.manifest.select("documents", "concepts", "nodes", "edges")
 
 
 @query("WITH {graph} SELECT id, title, type, path, status, CASE WHEN tag = '' THEN '[]' ELSE '[\"' || tag || '\"]' END AS \"tagsJson\", CASE WHEN len(aliases) = 0 THEN '[]' ELSE '[\"' || array_to_string(aliases, '\",\"') || '\"]' END AS \"aliasesJson\" FROM concept")
 def flat_nodes(spark, d):
+    return _flat_nodes(spark, d).select("id", "title", "type", "path", "status", "tagsJson", "aliasesJson")
+
+
+def _flat_nodes(spark, d):
     nodes = G.nodes(spark, d)
     blank = {c: F.lit(None).cast("string") for c in ("commitSha", "projectionId", "repositoryPath", "conceptId", "resource", "contentHash", "sourceUrl", "normalizedValue", "lastModified")}
     nodes = nodes.withColumns(blank | {c: F.array().cast("array<string>") for c in ("sourceIds", "authors")} | {"usageCounts": F.array().cast("array<bigint>")})
     source = spark.createDataFrame([("repo", "2024-01-01T00:00:00Z", "0.2")], "repository string, generatedAt string, okfVersion string")
-    return project.flat_nodes(nodes, source).select("id", "title", "type", "path", "status", "tagsJson", "aliasesJson")
+    return project.flat_nodes(nodes, source)
+
+
+def _flat_edges(spark, d):
+    return project.flat_edges(G.edges(spark, d).withColumns({c: F.lit(None).cast("string") for c in ("projectionId", "commitSha", "sourcePath")}))
 
 
 @query("WITH {graph} SELECT eid AS id, src AS \"from\", dst AS \"to\", 'LINKS_TO' AS type, CAST(NULL AS VARCHAR) AS label FROM link")
 def flat_edges(spark, d):
-    return project.flat_edges(G.edges(spark, d).withColumns({c: F.lit(None).cast("string") for c in ("projectionId", "commitSha", "sourcePath")})).select("id", "from", "to", "type", "label")
+    return _flat_edges(spark, d).select("id", "from", "to", "type", "label")
 
 
 # ------------------------------------------------------------------- contract
 
 
-@query("WITH e AS (SELECT 'orders:' || o_orderkey AS id, 'customer:' || o_custkey AS dst FROM orders) SELECT e.id AS edge_id, e.dst AS missing FROM e WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey % 50 <> 0 AND 'customer:' || c_custkey = e.dst)")
+@query("WITH {graph}, have AS (SELECT id FROM concept WHERE length(title) % 7 <> 0) SELECT eid AS edge_id, e AS missing FROM (SELECT eid, src AS e FROM link UNION ALL SELECT eid, dst FROM link) x WHERE NOT EXISTS (SELECT 1 FROM have WHERE have.id = x.e)")
 def contract_dangling_anti(spark, d):
-    nodes = G.nodes(spark, d, ("orders", "customer")).filter("not (startswith(id, 'customer:') and cast(substring(id, 10) as bigint) % 50 = 0)")
-    edges = G.edges(spark, d, ("order_customer",)).withColumn("id", F.col("from"))
-    return contract.dangling(nodes, edges).filter(F.startswith("missing", F.lit("customer:")))
+    """Every end of every edge that the nodes lack; titles of a length that seven divides stand for lost nodes."""
+    nodes = G.nodes(spark, d).filter(F.length("title") % 7 != 0)
+    return contract.dangling(nodes, G.edges(spark, d))
 
 
-@query("WITH e AS (SELECT 'supplier:' || s_suppkey || '>nation:' || s_nationkey AS edge_id FROM supplier) SELECT edge_id, 'LINKS_TO' AS type, 'Concept' AS from_kind, 'Tag' AS to_kind FROM e")
+@query("WITH {graph}, k AS (SELECT id, CASE WHEN type = 'Nation' THEN 'Tag' ELSE 'Concept' END AS kind FROM concept) SELECT l.eid AS edge_id, 'LINKS_TO' AS type, a.kind AS from_kind, b.kind AS to_kind FROM link l JOIN k a ON a.id = l.src JOIN k b ON b.id = l.dst WHERE a.kind <> 'Concept' OR b.kind <> 'Concept'")
 def contract_kind_matrix(spark, d):
-    nodes = G.nodes(spark, d, ("supplier", "nation")).withColumn("kind", F.when(F.col("type") == "Nation", "Tag").otherwise("Concept"))
-    return contract.kind_mismatches(nodes, G.edges(spark, d, ("supplier_nation",)))
+    nodes = G.nodes(spark, d).withColumn("kind", F.when(F.col("type") == "Nation", "Tag").otherwise("Concept"))
+    return contract.kind_mismatches(nodes, G.edges(spark, d))
 
 
 @query("SELECT 'orders:' || l_orderkey || '>supplier:' || l_suppkey AS id, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_suppkey HAVING count(*) <> 1")
@@ -339,9 +366,16 @@ def contract_unique_ids(spark, d):
     return contract.repeated(rows)
 
 
-@query("SELECT count(DISTINCT o_orderstatus) AS n_values, min(o_orderstatus) AS first_value FROM orders HAVING count(DISTINCT o_orderstatus) > 1")
+@query("WITH {graph}, v AS (SELECT 'orders' AS name, count(DISTINCT o_orderstatus) AS n, min(o_orderstatus) AS lo FROM orders UNION ALL SELECT 'type', count(DISTINCT type), min(type) FROM concept UNION ALL SELECT 'kind', 1, 'Concept' UNION ALL SELECT 'none', 0, NULL) SELECT name, CASE WHEN n = 1 THEN lo END AS value FROM v")
 def contract_single_projection(spark, d):
-    return G.table(spark, d, "orders").agg(F.count_distinct("o_orderstatus").alias("n_values"), F.min("o_orderstatus").alias("first_value")).filter("n_values > 1")
+    nodes = G.nodes(spark, d)
+    rows = []
+    for name, frame, column in (("orders", G.table(spark, d, "orders"), "o_orderstatus"), ("type", nodes, "type"), ("kind", nodes, "kind"), ("none", nodes.limit(0), "kind")):
+        try:
+            rows.append((name, contract.single_value(frame, column)))
+        except contract.ContractError:
+            rows.append((name, None))
+    return spark.createDataFrame(rows, "name string, value string")
 
 
 @query("SELECT p_partkey, regexp_full_match(p_name, '[A-Za-z0-9][A-Za-z0-9._:/#-]{0,511}') AS id_ok, regexp_full_match(sha256(p_name), '[0-9a-f]{64}') AS hash_ok, length(p_name) BETWEEN 1 AND 9 AS length_ok FROM part")
@@ -501,22 +535,39 @@ def commit_integrity(spark, d):
     return evaluate.commit_integrity(G.table(spark, d, "orders").select(F.col("o_orderstatus").alias("commitSha")), "F")
 
 
-@query("SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS sequence, count(*) = 4 AND string_agg(role, '>' ORDER BY turn) = 'user>assistant>user>assistant' AS as_expected FROM conversations GROUP BY conv_id")
+TRACE_SQL = """WITH c AS (SELECT conv_id, turn, role, CASE turn % 4 WHEN 0 THEN 'resolve_concepts' WHEN 1 THEN 'get_neighbors' WHEN 2 THEN 'trace_provenance' ELSE 'read_concepts' END AS name, length(text) % 10 > 0 AS ok FROM conversations),
+g AS (SELECT conv_id, string_agg(name, '>' ORDER BY turn) AS names, bool_and(ok) AS ok, min(role) AS lo, max(role) AS hi FROM c GROUP BY conv_id)
+SELECT conv_id AS session, 'other calls or order' AS problem FROM g WHERE names <> 'resolve_concepts>get_neighbors>trace_provenance>read_concepts'
+UNION ALL SELECT conv_id, 'a call failed' FROM g WHERE NOT ok
+UNION ALL SELECT conv_id, 'a call takes an id that resolving did not give' FROM g WHERE lo <> hi
+UNION ALL SELECT conv_id, 'commits differ' FROM g WHERE lo <> hi"""
+
+
+@query(TRACE_SQL)
 def trace_sequence_check(spark, d):
-    rows = G.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("c"))
-    seq = F.transform("c", lambda x: x.role)
-    return rows.select("conv_id", F.array_join(seq, ">").alias("sequence"), (seq == F.array(*[F.lit(r) for r in ("user", "assistant", "user", "assistant")])).alias("as_expected"))
+    """Conversations read as traced sessions: the turn names the call, the role its concept and commit."""
+    calls = G.table(spark, d, "conversations").select(
+        F.col("conv_id").alias("session"),
+        F.col("turn").alias("pos"),
+        F.element_at(F.array(*[F.lit(c) for c in evaluate.CALLS]), (F.col("turn") % 4 + 1).cast("int")).alias("name"),
+        F.when(F.length("text") % 10 > 0, "completed").otherwise("failed").alias("status"),
+        F.col("role").alias("concept_id"),
+        F.array("role").alias("result_ids"),
+        F.col("role").alias("commit"),
+    )
+    return evaluate.trace_problems(calls)
 
 
-@query("SELECT p_partkey, to_json([p_name, p_brand]) AS json, p_name || '|' || p_brand AS back FROM part")
+@query("WITH {graph} SELECT id, title, status, tag AS tags, array_to_string(aliases, '|') AS aliases FROM concept")
 def json_array_roundtrip(spark, d):
-    rows = G.table(spark, d, "part").select("p_partkey", F.to_json(F.array("p_name", "p_brand")).alias("json"))
-    return rows.withColumn("back", F.array_join(F.from_json("json", "array<string>"), "|"))
+    """Flat rows decoded again: arrays come back from their JSON texts."""
+    from lattica.sources import graph_files
+
+    nodes, _ = graph_files.decode_flat(_flat_nodes(spark, d), _flat_edges(spark, d))
+    return nodes.select("id", "title", "status", F.array_join("tags", "|").alias("tags"), F.array_join("aliases", "|").alias("aliases"))
 
 
-@query("SELECT c_custkey, 'b,c' AS both_sides, 'a' AS left_only, 'd' AS right_only, c_custkey % 2 = 0 AS equal_keys FROM customer")
+@query(f"WITH {CASES_SQL}, s AS (SELECT l_orderkey, list_intersect(got, want) AS hit, list_filter(want, lambda x: NOT list_contains(got, x)) AS miss, list_filter(got, lambda x: NOT list_contains(want, x)) AS false_hit, list_intersect(got, bad) AS bad_hit FROM g) SELECT l_orderkey, array_to_string(list_sort(hit), ',') AS both_sides, array_to_string(list_sort(miss), ',') AS missed, array_to_string(list_sort(false_hit), ',') AS false_positives, array_to_string(list_sort(bad_hit), ',') AS excluded_hits FROM s")
 def set_ops(spark, d):
-    a, b = F.array(*map(F.lit, "abcb")), F.array(*map(F.lit, "dcb"))
-    rows = G.table(spark, d, "customer").select("c_custkey", F.array_join(F.array_sort(F.array_intersect(a, b)), ",").alias("both_sides"), F.array_join(F.array_except(a, b), ",").alias("left_only"), F.array_join(F.array_except(b, a), ",").alias("right_only"))
-    other = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("y"), F.lit("x"))).otherwise(F.array(F.lit("x")))
-    return rows.withColumn("equal_keys", F.array_sort(other) == F.array(F.lit("x"), F.lit("y")))
+    joined = lambda c: F.array_join(F.array_sort(F.col(c)), ",")
+    return evaluate.metrics(_cases(spark, d)).select("l_orderkey", joined("true_positives").alias("both_sides"), *[joined(c).alias(c) for c in ("missed", "false_positives", "excluded_hits")])
