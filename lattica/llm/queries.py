@@ -19,14 +19,17 @@ def _fold(n: int):
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page (see :func:`html_text.extract`): page_id, url, text, n_chars. A null or text-less html gives an empty text."""
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document by its 4-word shingles at 85 hundredths (see :func:`setjoin.join`). A document without words is its own."""
     return setjoin.join(_read(spark, sf_dir, "documents"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MinHash of every text and of its edited text (see :func:`fingerprint.edited_fingerprints`). A null text is empty."""
     return fingerprint.edited_fingerprints(_read(spark, sf_dir, "documents"))
 
 
@@ -37,16 +40,19 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every text by a network trained on labelled rows that are not held out (see :func:`toxicity.score`); an empty text has the model's score for none."""
     docs = _read(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
     return scored.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_windows")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every text (see :func:`decontaminate.matches`): one row a text and item, none for a clean text."""
     return decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text by words learned from rows that are not held out (see :func:`langid.detect`); `und` without a letter."""
     docs = _read(spark, sf_dir, "documents")
     model = langid.fit(*langid.sample(docs.filter(_fold(5) != 0)))
     found = langid.detect(docs, model, with_spans=False)
@@ -54,14 +60,17 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the lines that an earlier line resembles (see :func:`linededup.dedup`)."""
     return linededup.dedup(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's tokens in sequences of at most 1024 (see :func:`packing.pack`); a null or empty text is the end id alone."""
     return packing.pack(_read(spark, sf_dir, "documents"), tokens.public_path())
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back (see :func:`warc.write_archives`, :func:`warc.resolve`); a null html is an empty payload."""
     pages = _read(spark, sf_dir, "pages")
     path = common.new_path(spark, "warc")
     warc.write_archives(pages, path)
@@ -69,6 +78,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every text (see :func:`tokens.attribute_tokens`); a text without lines has one section of none."""
     return tokens.attribute_tokens(_read(spark, sf_dir, "documents"), tokens.public_path())
 
 

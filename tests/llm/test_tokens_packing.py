@@ -35,6 +35,43 @@ def test_encoder_equals_tokenizer():
     assert seen == len(rows)
 
 
+def test_encoder_equals_tokenizer_on_any_characters():
+    rng = random.Random(11)
+    point = lambda: rng.choice([rng.randrange(0x250), rng.randrange(0xD800), rng.randrange(0xE000, 0x30000), 0x20, 0x27])
+    rows = ["".join(chr(point()) for _ in range(rng.randint(1, 30))) for _ in range(600)]
+    rows += ["".join(f"a{chr(p)} {chr(p)}b" for p in range(k, k + 64) if not 0xD800 <= p < 0xE000) for k in range(0, 0x30000, 64)]
+    coder = tokens.encoder(PATH)
+    wanted = coder.tokenizer.encode_batch(rows, add_special_tokens=False)
+    for i, j, got in coder.encode(pa.array(rows)):
+        for k in range(i, j):
+            a, b = got.off[k - i], got.off[k - i + 1]
+            assert list(got.ids[a:b]) == wanted[k].ids, ascii(rows[k])
+            assert list(zip(got.first[a:b], got.end[a:b])) == wanted[k].offsets
+
+
+@pytest.mark.parametrize("rule", tokens.RULES)
+def test_fields_equal_brute_force(spark, rule):
+    rng = random.Random(13)
+    some = ["", None, "don't", "日本 語", "a  ", " b\n", "x" * 300, "é😀"]
+    rows = [(k, rng.choice(some), rng.choice(some), rng.choice(some)) for k in range(60)] + [(None, None, None, None), (3, "a", "b", "c"), (3, "a", "b", "c")]
+    coder = tokens.encoder(PATH)
+    want = []
+    for d, *parts in rows:
+        texts_ = [p or "" for p in parts]
+        whole = "|".join(texts_)
+        cuts = [0, len(texts_[0]) + 1, len(texts_[0]) + len(texts_[1]) + 2, len(whole)]
+        n, crossed = [0, 0, 0], [0, 0, 0]
+        for a, b in coder.tokenizer.encode(whole, add_special_tokens=False).offsets:
+            inside = [sum(cuts[f] <= c < cuts[f + 1] for c in range(a, max(b, a + 1))) for f in range(3)]
+            held = [f for f in range(3) if inside[f]]
+            f = held[0] if rule == "first" else held[-1] if rule == "last" else max(held, key=lambda f: (inside[f], -f))
+            n[f] += 1
+            crossed[f] += len(held) > 1
+        want += [(d, name, cuts[f], cuts[f + 1], n[f], crossed[f]) for f, name in enumerate(("title", "body", "n_tokens"))]
+    got = tokens.attribute_fields(spark.createDataFrame(rows, "doc_id long, title string, body string, n_tokens string").repartition(3), PATH, ["title", "body", "n_tokens"], rule, "|").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def brute_sections(text, rule, lines):
     coder = tokens.encoder(PATH)
     starts, n = [0], 0

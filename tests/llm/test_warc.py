@@ -38,3 +38,16 @@ def test_empty(spark):
     path = common.new_path(spark, "warc-test")
     warc.write_archives(pages, path)
     assert warc.resolve(warc.read_archives(spark, path)).collect() == []
+
+
+def test_many_originals_and_a_missing_response(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SMALL", 0)
+    rows = [(k, "u", f"{k % 7}" * 150) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    path = common.new_path(spark, "warc-test")
+    warc.write_archives(pages, path)
+    records = warc.read_archives(spark, path)
+    assert sorted([tuple(r)[:5] for r in warc.resolve(records).collect()], key=repr) == brute(rows)
+    # revisits whose response is missing keep their digest and nothing to refer to
+    alone = warc.resolve(records.filter("record_type = 'revisit'")).collect()
+    assert len(alone) == 53 and {(r.payload_bytes, r.refers_to, r.record_type) for r in alone} == {(None, None, "revisit")} and all(r.payload_digest for r in alone)
