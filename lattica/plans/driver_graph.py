@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.sources.shared import is_there, materialized
+
 COMMIT = "0" * 40
 PROJECTION = "urn:lattica:projection:" + "0" * 64
 
@@ -19,7 +21,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def nodes(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = ("region", "nation", "customer", "supplier", "part", "orders")) -> DataFrame:
+KINDS = ("region", "nation", "customer", "supplier", "part", "orders")
+#: Snapshots by application and folder: the state of the tables they were made from, and their nodes and edges.
+_held: dict[tuple[str, str], tuple[tuple, DataFrame, DataFrame]] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files behind the graph's tables."""
+    sc = spark.sparkContext
+    out = []
+    for file in sorted(f for name in (*KINDS, "lineitem") for f in table(spark, sf_dir, name).inputFiles()):
+        path = sc._jvm.org.apache.hadoop.fs.Path(file)
+        status = path.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((file, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges, written once and read by all queries until a table's files change."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), _state(spark, sf_dir)
+    held = _held.get(key)
+    if held is None or held[0] != state or not all(map(is_there, held[1:])):
+        held = _held[key] = (state, materialized(_nodes(spark, sf_dir)), materialized(_edges(spark, sf_dir)))
+    return held[1], held[2]
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot(spark, sf_dir)[0]
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot(spark, sf_dir)[1]
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<string>")
     spec = {
         "region": ("r_regionkey", F.col("r_name"), F.lit("Region"), none, F.array(F.lower("r_name")), F.lit("stable")),
@@ -30,7 +65,7 @@ def nodes(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = ("region", "
         "orders": ("o_orderkey", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")), F.lit("Order"), F.array("o_orderpriority"), none, F.when(F.col("o_orderstatus") == "F", "stable").when(F.col("o_orderstatus") == "O", "draft").otherwise("deprecated")),
     }
     out = None
-    for name in only:
+    for name in KINDS:
         key, title, kind, tags, aliases, status = spec[name]
         node_id = F.concat(F.lit(f"{name}:"), F.col(key).cast("string"))
         rows = table(spark, sf_dir, name).select(
@@ -40,10 +75,7 @@ def nodes(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = ("region", "
     return out
 
 
-FAMILIES = ("nation_region", "customer_nation", "supplier_nation", "order_customer", "order_part", "order_supplier")
-
-
-def edges(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = FAMILIES) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     ends = lambda rows, a, ka, b, kb: rows.select(F.concat(F.lit(f"{a}:"), F.col(ka).cast("string")).alias("from"), F.concat(F.lit(f"{b}:"), F.col(kb).cast("string")).alias("to"))
     made = {
@@ -55,7 +87,7 @@ def edges(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = FAMILIES) ->
         "order_supplier": lambda: ends(t("lineitem"), "orders", "l_orderkey", "supplier", "l_suppkey").distinct(),
     }
     out = None
-    for name in only:
+    for name in made:
         rows = made[name]()
         out = rows if out is None else out.unionByName(rows)
     key = F.concat("from", F.lit(">"), "to")

@@ -27,6 +27,13 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_there(df: DataFrame) -> bool:
+    """Whether the files behind a table of :func:`materialized` still exist."""
+    sc = df.sparkSession.sparkContext
+    paths = [sc._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()[:1]]
+    return all(p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p) for p in paths)
+
+
 def dematerialized(df: DataFrame) -> None:
     """Delete the files behind a table of :func:`materialized` that nothing reads any more."""
     sc = df.sparkSession.sparkContext
