@@ -55,7 +55,7 @@ class Encoder:
     ``slots`` bounds the table of known pieces (16 bytes each and their tokens).
     """
 
-    def __init__(self, path: str, slots: int = 1 << 20):
+    def __init__(self, path: str, slots: int = 1 << 18):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
