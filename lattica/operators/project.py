@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from lattica.functions.text import ID_PREFIX, NUL, concept_identity, derived_title, encoded_path, is_external, is_fragment, is_iso_datetime, iso_datetime_text, nfkc_of, normalize_term, posix_normalized, repository_web_url, sanitized_repository, strip_query_and_fragment, trimmed, uri_decoded, utf16_key
 from lattica.schema import EDGE, FLAT_EDGE_COLUMNS, FLAT_NODE_COLUMNS, NODE
 
+# Fixed keys of a document's header, in the order in which they count.
+UID_KEYS = ('$["x-qam"].uid', '$["x-kg"].uid', "$.uid")
+ALIAS_KEYS = ("$.aliases", '$["x-qam"].aliases', '$["x-kg"].aliases')
+
 
 @dataclass(frozen=True)
 class Options:
@@ -59,14 +63,14 @@ def concept_fields(documents: DataFrame) -> DataFrame:
         "body",
         "bodyLineOffset",
         "links",
-        _text('$["x-qam"].uid', '$["x-kg"].uid', "$.uid").alias("uid"),
+        _text(*UID_KEYS).alias("uid"),
         F.coalesce(_text("$.title"), derived_title("path")).alias("title"),
         F.coalesce(_text("$.type"), F.lit("Concept")).alias("type"),
         _text("$.description").alias("summary"),
         _text("$.resource").alias("resource"),
         F.when(status.isin("draft", "deprecated"), status).otherwise("stable").alias("status"),
         _texts("$.tags").alias("tags"),
-        _texts("$.aliases", '$["x-qam"].aliases', '$["x-kg"].aliases').alias("aliases"),
+        _texts(*ALIAS_KEYS).alias("aliases"),
         F.coalesce(F.try_variant_get("frontmatter", "$.sources", "array<variant>"), F.array().cast("array<variant>")).alias("sources"),
     )
 
