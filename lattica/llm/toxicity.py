@@ -101,7 +101,7 @@ def _gru(w: Weights, side: str, x: np.ndarray, index: np.ndarray, mask: np.ndarr
     return out
 
 
-def logits(w: Weights, words: Words, first: np.ndarray, size: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+def logits(w: Weights, words: Words, first: np.ndarray, size: np.ndarray, block: int = 1 << 12) -> np.ndarray:
     """One logit for each window, so many windows at a time."""
     x, _ = _inputs(w, words)
     out = [_score(w, x, *_layout(words, first[k : k + block], size[k : k + block]))[0] for k in range(0, len(first), block)]
