@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import common, decontaminate, fingerprint, html_text, langid, linededup, packing, setjoin, tokens, toxicity, warc
+from lattica.llm import common, decontaminate, fingerprint, html_text, langid, linededup, packing, resample, setjoin, tokens, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -82,7 +82,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.attribute_tokens(_read(spark, sf_dir, "documents"), tokens.public_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_ngram_join, op3_fingerprints, op4_toxicity, op5_decontamination, op6_language_id, op7_line_dedup, op8_packing, op9_warc, op10_token_counts)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of every text towards the benchmark, and the rank of those drawn (see :func:`resample.resample`); a null text has no features."""
+    out = resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_ngram_join, op3_fingerprints, op4_toxicity, op5_decontamination, op6_language_id, op7_line_dedup, op8_packing, op9_warc, op10_token_counts, op11_importance_resampling)}
 
 SQL = {
     "op9_warc": """
