@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import common, decontaminate, fingerprint, html_text, langid, linededup, packing, resample, setjoin, tokens, toxicity, warc
+from lattica.llm import common, decontaminate, fingerprint, html_text, langid, linededup, packing, resample, setjoin, tokens, toxicity, trie, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -88,7 +88,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_ngram_join, op3_fingerprints, op4_toxicity, op5_decontamination, op6_language_id, op7_line_dedup, op8_packing, op9_warc, op10_token_counts, op11_importance_resampling)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations (see :func:`trie.trie`); a null role or text is empty."""
+    return trie.trie(_read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_ngram_join, op3_fingerprints, op4_toxicity, op5_decontamination, op6_language_id, op7_line_dedup, op8_packing, op9_warc, op10_token_counts, op11_importance_resampling, op12_prefix_trie)}
 
 SQL = {
     "op9_warc": """
@@ -104,4 +109,72 @@ SQL = {
                CASE WHEN f.original <> d.page_id THEN f.original END AS refers_to
         FROM d LEFT JOIN f USING (payload_digest)
     """,
+    # the checksum's table is made by its rule, its steps are folded over the bytes of every distinct feature
+    "op11_importance_resampling": r"""
+        WITH steps AS (
+            SELECT list(c ORDER BY i) AS t FROM (
+                SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i)
+            )
+        ), texts AS (
+            SELECT true AS doc, doc_id AS id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark
+        ), worded AS (
+            SELECT row_number() OVER () AS rid, doc, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+        ), each AS (
+            SELECT rid, doc, unnest(range(1, len(w) + 1)) AS i, w FROM worded
+        ), feats AS (
+            SELECT rid, doc, unnest([w[i], w[i] || ' ' || w[i + 1], w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]][:len(w) + 1 - i]) AS f FROM each
+        ), uses AS (
+            SELECT rid, doc, f, count(*) AS n FROM feats GROUP BY ALL
+        ), hashed AS (
+            SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(strlen(f)), lambda k: CAST('0x' || substr(hex(encode(f)), 2 * k + 1, 2) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+            FROM (SELECT DISTINCT f FROM uses), steps
+        ), sums AS (
+            SELECT bucket, CAST(sum(n) FILTER (doc) AS DOUBLE) AS s, CAST(sum(n) FILTER (NOT doc) AS DOUBLE) AS t FROM uses JOIN hashed USING (f) GROUP BY bucket
+        ), gains AS (
+            SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT sum(s) FROM sums) + 10000) / ((coalesce(s, 0) + 1) * (coalesce((SELECT sum(t) FROM sums), 0) + 10000)))) AS BIGINT) AS gain FROM sums
+        ), weighed AS (
+            SELECT rid, sum(n) AS n_features, sum(n * gain) AS weight FROM uses JOIN hashed USING (f) JOIN gains USING (bucket) WHERE doc GROUP BY rid
+        ), scored AS (
+            SELECT id AS doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                   CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || coalesce(CAST(id AS VARCHAR), ''))[:8] AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+            FROM worded LEFT JOIN weighed USING (rid) WHERE doc
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, 5 * count(*) OVER (PARTITION BY n_words >= 20) // 100 AS most FROM scored
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= most THEN place END AS rank FROM placed
+    """,
+    "op12_prefix_trie": """
+        WITH steps AS (
+            SELECT list(c ORDER BY i) AS t FROM (
+                SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i)
+            )
+        ), own AS (
+            SELECT conv_id, k, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos FROM (
+                SELECT conv_id, turn, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL
+            )
+        ), convs AS (
+            SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(strlen(c)), lambda k: CAST(ord(c[k + 1]) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS h
+            FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS c FROM conversations WHERE conv_id IS NOT NULL), steps
+        ), heads AS (
+            SELECT c.conv_id, o.pos, o.k, o.n FROM convs c JOIN own o ON o.conv_id = c.base AND o.pos <= c.h
+        ), whole AS (
+            SELECT * FROM heads
+            UNION ALL
+            SELECT c.conv_id, o.pos - c.h + (SELECT count(*) FROM heads x WHERE x.conv_id = c.conv_id), o.k, o.n FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos > c.h
+        ), begun AS (
+            SELECT conv_id, pos, n, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY pos) AS p, lead(pos) OVER (PARTITION BY conv_id ORDER BY pos) IS NULL AS at_end FROM whole
+            UNION ALL
+            SELECT conv_id, 0, 0, '', conv_id NOT IN (SELECT conv_id FROM whole) FROM convs
+        ), node AS (
+            SELECT pos AS depth, p, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (at_end), '') AS ends FROM begun GROUP BY pos, p
+        ), below AS (
+            SELECT parent.depth, parent.p, count(child.p) AS n_children FROM node parent LEFT JOIN node child ON child.depth = parent.depth + 1 AND starts_with(child.p, parent.p) GROUP BY ALL
+        ), subtree AS (
+            SELECT left(x.p, 64 * d) AS p, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * n) AS saved_tokens
+            FROM (SELECT node.*, n_children, unnest(range(0, depth + 1)) AS d FROM node JOIN below USING (depth, p)) x GROUP BY 1
+        )
+        SELECT node.conv_id, CAST(depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(node.n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children,
+               CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(node.ends) AS ends_sha256
+        FROM node JOIN below USING (depth, p) JOIN subtree USING (p) LEFT JOIN (SELECT depth + 1 AS depth, p AS up_p, conv_id FROM node) up USING (depth) WHERE up.up_p IS NULL AND depth = 0 OR up.up_p = left(node.p, 64 * (CAST(depth AS BIGINT) - 1))
+    """,
 }
