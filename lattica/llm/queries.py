@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import common, decontaminate, fingerprint, html_text, langid, linededup, packing, resample, setjoin, tokens, toxicity, trie, warc
+from lattica.llm import common, decontaminate, fingerprint, html_text, langid, linededup, packing, resample, setjoin, tokens, toxicity, trie, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -93,7 +93,18 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(_read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_ngram_join, op3_fingerprints, op4_toxicity, op5_decontamination, op6_language_id, op7_line_dedup, op8_packing, op9_warc, op10_token_counts, op11_importance_resampling, op12_prefix_trie)}
+#: Rules of op13_url_filters: verdict and key.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url by the rules and, beyond them, by the list of the corpus's junk hosts (see :func:`urls.judge`); a null url is allowed."""
+    pages = _read(spark, sf_dir, "pages")
+    rules = spark.createDataFrame([(key, urls.BLOCK if verdict == "block" else urls.ALLOW) for verdict, key in URL_RULES], "key string, kind int")
+    return urls.judge(pages, rules.unionByName(urls.junk_hosts(pages)))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_ngram_join, op3_fingerprints, op4_toxicity, op5_decontamination, op6_language_id, op7_line_dedup, op8_packing, op9_warc, op10_token_counts, op11_importance_resampling, op12_prefix_trie, op13_url_filters)}
 
 SQL = {
     "op9_warc": """
@@ -177,4 +188,21 @@ SQL = {
                CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(node.ends) AS ends_sha256
         FROM node JOIN below USING (depth, p) JOIN subtree USING (p) LEFT JOIN (SELECT depth + 1 AS depth, p AS up_p, conv_id FROM node) up USING (depth) WHERE up.up_p IS NULL AND depth = 0 OR up.up_p = left(node.p, 64 * (CAST(depth AS BIGINT) - 1))
     """,
+    "op13_url_filters": r"""
+        WITH split AS (
+            SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), place AS (
+            SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM split
+        ), rules(verdict, on_host, on_path) AS (
+            VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+        ), ruled AS (
+            SELECT place.*, (
+                SELECT arg_max([on_host || on_path, verdict], length(on_host || on_path)) FROM rules
+                WHERE (host = on_host OR ends_with(host, '.' || on_host)) AND starts_with(path, on_path)
+            ) AS r FROM place
+        )
+        SELECT page_id, host, path, r[1] AS rule,
+               coalesce(r[2], CASE WHEN regexp_matches(host, '(^|[.-])(spam|pills|casino|viagra|porn|xxx|warez|phish)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM ruled
+    """,
 }
