@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.text import normalize_query, query_text
+from lattica.operators.adjacency import DIRECTIONS, Adjacency, steps_from
+from lattica.operators.ordinals import numbered
 from lattica.sources.shared import materialized
 
 BOUNDS = {"limit": (1, 100), "offset": (0, 1_000_000), "terms": (1, 20), "term_length": (2, 200), "neighbor_hops": (1, 2), "path_hops": (1, 6), "reads": (1, 10), "read_chars": (1_000, 50_000)}
 READ_BUDGET = 100_000
-DIRECTIONS = ("outgoing", "incoming", "both")
 
 
 class NotFound(LookupError):
@@ -169,13 +170,19 @@ def resolve(nodes: DataFrame, terms: Sequence[str], types: Sequence[str] | None
 # ------------------------------------------------------------------ traversal
 
 
-def _moves(frontier: DataFrame, edges: DataFrame, nodes: DataFrame, direction: str, edge_types: Sequence[str] | None = None) -> DataFrame:
-    """The steps from the rows of ``frontier`` (root, at, ...): with next, dir, edge_pos and edge_id, steps to Concepts only.
+def moves(frontier: DataFrame, edges: DataFrame | Adjacency, nodes: DataFrame, direction: str, edge_types: Sequence[str] | None = None, most: int | None = None) -> DataFrame:
+    """The steps from the rows of ``frontier`` (at, ...): with next, dir, edge_pos and edge_id, steps to Concepts only.
 
-    Only the frontier's own edges are looked up, in each direction of the edge
-    table by itself: a small frontier goes to all tasks (Spark knows its size,
-    since it is read from a written level), a large one is shuffled.
+    Only the frontier's own edges are looked up, in an :class:`Adjacency` by
+    blocks, of which ``most`` reads the first steps of each node only. In a plain
+    edge table each direction is looked up by itself: a small frontier goes to
+    all tasks (Spark knows its size, since it is read from a written level), a
+    large one is shuffled.
     """
+    if isinstance(edges, Adjacency):
+        if edges.serves(edge_types):
+            return steps_from(frontier, edges, direction, most)
+        edges = edges.edges
     if direction not in DIRECTIONS:
         raise ValueError(f"direction is one of {DIRECTIONS}")
     some = edges.filter(of_edge_types(edge_types))
@@ -189,49 +196,77 @@ def _moves(frontier: DataFrame, edges: DataFrame, nodes: DataFrame, direction: s
     return every.join(known, F.col("next") == F.col("_concept"), "left_semi")
 
 
-def _discovered(moves: DataFrame, seen: DataFrame, level: int) -> DataFrame:
+def _discovered(steps: DataFrame, seen: DataFrame, level: int) -> DataFrame:
     """First discovery of every node one step on: (root, id, distance, prev, via, order), order as a queue would have it."""
-    first = moves.groupBy("root", F.col("next").alias("id")).agg(F.min(F.struct("parent", "dir", "edge_pos", F.col("at").alias("prev"), F.col("edge_id").alias("via"))).alias("order"))
+    first = steps.groupBy("root", F.col("next").alias("id")).agg(F.min(F.struct("parent", "dir", "edge_pos", F.col("at").alias("prev"), F.col("edge_id").alias("via"))).alias("order"))
     return first.join(seen.select("root", "id"), ["root", "id"], "left_anti").select("root", "id", F.lit(level).alias("distance"), "order.prev", "order.via", "order")
 
 
-def walk(roots: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int, direction: str = "both", edge_types: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
+def walk(roots: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, max_hops: int, direction: str = "both", edge_types: Sequence[str] | None = None, limit: int | None = None, ranked: bool = True) -> DataFrame:
     """Breadth-first walk from each root: (root, id, distance, rank, prev, via, kept).
 
     Rows with ``kept`` are the result, the root at rank 0 among them; with a
     ``limit`` only the first so many discoveries of a root are kept (and walked
-    from), and the first one left out stays as a row with ``kept`` false.
+    from), and the first one left out stays as a row with ``kept`` false. A walk
+    without a limit that is not ``ranked`` leaves ``rank`` null and numbers nothing.
     """
+    if limit is None:
+        return _whole_walk(roots, nodes, edges, max_hops, direction, edge_types, ranked)
     start = roots.select("root").distinct()
     seen = start.select("root", F.col("root").alias("id"), F.lit(0).alias("distance"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("prev"), F.lit(None).cast("string").alias("via"), F.lit(True).alias("kept"))
     frontier = seen
     for level in range(1, max_hops + 1):
-        moves = _moves(frontier.select("root", F.col("id").alias("at"), F.col("rank").alias("parent")), edges, nodes, direction, edge_types)
-        found = _discovered(moves, seen, level)
+        steps = moves(frontier.select("root", F.col("id").alias("at"), F.col("rank").alias("parent")), edges, nodes, direction, edge_types)
+        found = _discovered(steps, seen, level)
         before = seen.groupBy("root").agg(F.max("rank").alias("before"), F.bool_or(~F.col("kept")).alias("full"))
-        nth = F.row_number().over(Window.partitionBy("root").orderBy("order"))
-        ranked = found.withColumn("nth", nth)
-        if limit is not None:
-            ranked = ranked.filter(F.col("nth") <= limit + 1)
-        ranked = ranked.join(before, "root").withColumn("rank", F.col("before") + F.col("nth"))
-        if limit is not None:
-            ranked = ranked.filter((F.col("rank") <= limit + 1) & ~F.col("full"))
-        new = ranked.select("root", "id", "distance", "rank", "prev", "via", (F.col("rank") <= limit if limit is not None else F.lit(True)).alias("kept"))
-        if level < max_hops or level > 1:
-            new = materialized(new)  # each level is read three times by the next; plans would grow with every one
+        placed = _placed(found.select("*", "order.parent", "order.dir", "order.edge_pos").drop("order"), ["parent", "dir", "edge_pos"])
+        new = placed.join(before, "root").withColumn("rank", F.col("before") + F.col("nth")).filter((F.col("rank") <= limit + 1) & ~F.col("full"))
+        new = new.select("root", "id", "distance", "rank", "prev", "via", (F.col("rank") <= limit).alias("kept"))
+        if level < max_hops:
+            new = materialized(new)  # the next level reads it three times; plans would grow with every one
         seen = seen.unionByName(new)
         frontier = new.filter("kept")
     return seen
 
 
-def walked_edges(kept: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int, direction: str = "both", edge_types: Sequence[str] | None = None) -> DataFrame:
+def _placed(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``rows`` with ``nth``, 1, 2, ... for each root: ordinals over all roots less that of the root's first, so no task holds a whole root."""
+    numbers = numbered(rows, [F.col("root"), *[F.col(c) for c in order]], "nth")
+    first = numbers.groupBy("root").agg(F.min("nth").alias("_first"))
+    return numbers.join(first, "root").withColumn("nth", (F.col("nth") - F.col("_first") + 1).cast("int")).drop("_first")
+
+
+def _whole_walk(roots: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, max_hops: int, direction: str, edge_types: Sequence[str] | None, ranked: bool) -> DataFrame:
+    """A walk without a limit: each row carries its way as a list of steps, whose order is that of a queue, and ranks are given at the end."""
+    pos = (edges.edges if isinstance(edges, Adjacency) else edges).schema["pos"].dataType.simpleString()
+    none = F.array().cast(f"array<struct<dir:int,edge_pos:{pos},prev:string,via:string>>")
+    seen = roots.select("root").distinct().select("root", F.col("root").alias("id"), F.lit(0).alias("distance"), none.alias("way"))
+    frontier = seen
+    for level in range(1, max_hops + 1):
+        steps = moves(frontier.select("root", F.col("id").alias("at"), "way"), edges, nodes, direction, edge_types)
+        way = F.concat("way", F.array(F.struct("dir", "edge_pos", F.col("at").alias("prev"), F.col("edge_id").alias("via"))))
+        best = steps.select("root", F.col("next").alias("id"), way.alias("way")).groupBy("root", "id").agg(F.min("way").alias("way"))
+        frontier = best.join(seen.select("root", "id"), ["root", "id"], "left_anti").select("root", "id", F.lit(level).alias("distance"), "way")
+        if level < max_hops:
+            frontier = materialized(frontier)
+        seen = seen.unionByName(frontier)
+    rank = F.lit(None).cast("int")
+    if ranked:
+        seen, rank = _placed(seen, ["distance", "way"]), F.col("nth") - 1
+    last = F.try_element_at("way", F.lit(-1))
+    return seen.select("root", "id", "distance", rank.alias("rank"), last["prev"].alias("prev"), last["via"].alias("via"), F.lit(True).alias("kept"))
+
+
+def walked_edges(kept: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, max_hops: int, direction: str = "both", edge_types: Sequence[str] | None = None) -> DataFrame:
     """(root, edge_id, edge_pos) of the edges walked over from an expanded node (distance below ``max_hops``) with both ends in ``kept``."""
+    if isinstance(edges, Adjacency):
+        edges = edges.edges  # parallel edges count
     expanded = kept.filter(F.col("distance") < max_hops).select("root", F.col("id").alias("at"))
     ends = kept.select("root", F.col("id").alias("next"))
-    return _moves(expanded, edges, nodes, direction, edge_types).join(ends, ["root", "next"], "left_semi").select("root", "edge_id", "edge_pos").distinct()
+    return moves(expanded, edges, nodes, direction, edge_types).join(ends, ["root", "next"], "left_semi").select("root", "edge_id", "edge_pos").distinct()
 
 
-def neighbors(roots: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = 1, direction: str = "both", edge_types: Sequence[str] | None = None, limit: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+def neighbors(roots: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, max_hops: int = 1, direction: str = "both", edge_types: Sequence[str] | None = None, limit: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges (see :func:`walked_edges`) and truncation flag of each root's neighbourhood.
 
     ``truncated`` is true where a Concept within reach was left out for the limit.
@@ -261,30 +296,6 @@ def backlinks(target: str, nodes: DataFrame, edges: DataFrame, edge_types: Seque
     return page(backlinks_rows(target, nodes, edges, edge_types), [title, F.col("edge_pos")], limit, offset)
 
 
-def find_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = 4, direction: str = "outgoing", edge_types: Sequence[str] | None = None) -> DataFrame:
-    """Shortest paths of the pairs (root, target): (root, target, hop_count, node_ids, edge_ids).
-
-    Of equally short paths the one a queue finds first. A pair of one id is a
-    path of no hop; pairs without a path within ``max_hops`` have null results.
-    """
-    check("path_hops", max_hops)
-    wanted = pairs.select("root", "target").distinct()
-    reached = walk(wanted.select("root"), nodes, edges, max_hops, direction, edge_types)
-    hit = wanted.join(reached.select("root", F.col("id").alias("target"), "distance"), ["root", "target"], "left")
-    state = hit.select("root", "target", F.col("distance").alias("hop_count"), F.when(F.col("distance").isNotNull(), F.array("target")).alias("node_ids"), F.when(F.col("distance").isNotNull(), F.array().cast("array<string>")).alias("edge_ids"), F.col("target").alias("now"))
-    back = reached.filter("distance > 0").select(F.col("root").alias("r"), F.col("id").alias("i"), "prev", "via")
-    for _ in range(max_hops):
-        state = state.join(back, (F.col("root") == F.col("r")) & (F.col("now") == F.col("i")), "left").select(
-            "root",
-            "target",
-            "hop_count",
-            F.when(F.col("prev").isNull(), F.col("node_ids")).otherwise(F.concat(F.array("prev"), F.col("node_ids"))).alias("node_ids"),
-            F.when(F.col("prev").isNull(), F.col("edge_ids")).otherwise(F.concat(F.array("via"), F.col("edge_ids"))).alias("edge_ids"),
-            F.coalesce("prev", "now").alias("now"),
-        )
-    return state.drop("now")
-
-
 def provenance(ids: Sequence[str] | DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """DERIVED_FROM edges of the concepts with their Source nodes: (concept_id, edge_id, source_id, title, resource)."""
     derived = edges.filter(F.col("type") == "DERIVED_FROM")
@@ -327,14 +338,16 @@ def read_concepts(ids: Sequence[str], nodes: DataFrame, documents: DataFrame, ma
     return budgeted(joined.withColumn("order", order), "raw", "order", max_chars, budget).orderBy("order")
 
 
-def typed_walk(focus: DataFrame, nodes: DataFrame, edges: DataFrame, most_hops: int = 2, cap: int = 100) -> tuple[DataFrame, DataFrame]:
+def typed_walk(focus: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, most_hops: int = 2, cap: int = 100) -> tuple[DataFrame, DataFrame]:
     """Evaluation walk for a batch: rows (root, id, distance, candidate, found_from, nth) and the roots it was cut for.
 
     ``focus`` has root (a label), id (where it starts), statuses, types (arrays;
     null types are any) and max_hops (at most ``most_hops``). A node of another
     status is visited but neither a candidate nor expanded; a node of another
     type is expanded but no candidate. Each node passes on its first ``cap``
-    neighbours, outgoing ones first. A level's nodes are found in the order of
+    neighbours, outgoing ones first: they are among its first 2 * (``cap`` + 1)
+    steps, since a neighbour is met in each direction once, and no more are read
+    of an :class:`Adjacency`. A level's nodes are found in the order of
     ``found_from`` and ``nth``.
     """
     rules = focus.select("root", "statuses", "types", "max_hops")
@@ -343,8 +356,8 @@ def typed_walk(focus: DataFrame, nodes: DataFrame, edges: DataFrame, most_hops:
     frontier, cut = focus.select("root", "id", "statuses", "types", "max_hops"), []
     info = concepts(nodes).select("id", "status", "type")
     for level in range(1, most_hops + 1):
-        moves = _moves(frontier.filter(F.col("max_hops") >= level).select("root", F.col("id").alias("at")), edges, nodes, "both", ["LINKS_TO"])
-        met = moves.groupBy("root", "at", "next").agg(F.min(F.struct("dir", "edge_pos")).alias("o"))
+        steps = moves(frontier.filter(F.col("max_hops") >= level).select("root", F.col("id").alias("at")), edges, nodes, "both", ["LINKS_TO"], 2 * (cap + 1))
+        met = steps.groupBy("root", "at", "next").agg(F.min(F.struct("dir", "edge_pos")).alias("o"))
         met = materialized(met.select("root", "at", "next", F.row_number().over(here.orderBy("o.dir", "o.edge_pos")).alias("nth")))
         cut.append(met.filter(F.col("nth") > cap).select("root"))
         first = met.filter(F.col("nth") <= cap).groupBy("root", F.col("next").alias("id")).agg(F.min(F.struct(F.col("at").alias("found_from"), "nth")).alias("o"))
@@ -359,7 +372,7 @@ def typed_walk(focus: DataFrame, nodes: DataFrame, edges: DataFrame, most_hops:
     return seen, reduce(DataFrame.unionByName, cut).distinct()
 
 
-def expand_typed(focus: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = 2, statuses: Sequence[str] = ("stable",), types: Sequence[str] | None = None, cap: int = 100) -> DataFrame:
+def expand_typed(focus: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, max_hops: int = 2, statuses: Sequence[str] = ("stable",), types: Sequence[str] | None = None, cap: int = 100) -> DataFrame:
     """:func:`typed_walk` from each root with one set of rules: (root, id, distance, candidate)."""
     texts = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
     start = focus.select("root", F.col("root").alias("id"), texts(statuses).alias("statuses"), (texts(types) if types is not None else F.lit(None).cast("array<string>")).alias("types"), F.lit(max_hops).alias("max_hops"))

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.sources.shared import is_there, materialized
+from lattica.operators.adjacency import Adjacency, adjacency
+from lattica.sources.shared import dematerialized, is_there, materialized
 
 COMMIT = "0" * 40
 PROJECTION = "urn:lattica:projection:" + "0" * 64
@@ -24,6 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 KINDS = ("region", "nation", "customer", "supplier", "part", "orders")
 #: Snapshots by application and folder: the state of the tables they were made from, and their nodes and edges.
 _held: dict[tuple[str, str], tuple[tuple, DataFrame, DataFrame]] = {}
+_links: dict[tuple[str, str], tuple[tuple, Adjacency]] = {}
 
 
 def _state(spark: SparkSession, sf_dir: str) -> tuple:
@@ -42,10 +44,24 @@ def snapshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     key, state = (spark.sparkContext.applicationId, sf_dir), _state(spark, sf_dir)
     held = _held.get(key)
     if held is None or held[0] != state or not all(map(is_there, held[1:])):
+        for old in held[1:] if held else ():
+            dematerialized(old)
         held = _held[key] = (state, materialized(_nodes(spark, sf_dir)), materialized(_edges(spark, sf_dir)))
     return held[1], held[2]
 
 
+def links(spark: SparkSession, sf_dir: str) -> Adjacency:
+    """The adjacency of the snapshot's LINKS_TO edges (it has no others), written once like the snapshot."""
+    nodes_, edges_ = snapshot(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    state, held = _held[key][0], _links.get(key)
+    if held is None or held[0] != state or not all(map(is_there, (held[1].steps, held[1].degrees))):
+        if held:
+            held[1].release()
+        held = _links[key] = (state, adjacency(nodes_, edges_, ["LINKS_TO"]))
+    return held[1]
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot(spark, sf_dir)[0]
 

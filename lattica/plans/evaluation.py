@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators import bm25, evaluate, graph
+from lattica.operators import bm25, evaluate, graph, paths
 from lattica.operators.project import Projection, concept_fields
 from lattica.sources.shared import materialized
 
@@ -102,7 +102,7 @@ def run(documents: DataFrame, projection: Projection, questions: DataFrame, gold
     many = start.join(edges.filter("type = 'LINKS_TO'").select(F.col("to").alias("id")), "id").groupBy("root").count().filter(F.col("count") > HARD_LIMIT).select("root")
     truncated = cut.unionByName(crowded).unionByName(many).distinct().withColumn("truncated", F.lit(True))
     pairs = top.select(F.col("root").alias("question_id"), F.col("id").alias("target"), "rank").join(start.select(F.col("root").alias("question_id"), F.col("id").alias("root"), "max_hops"), "question_id")
-    paths = graph.find_paths(pairs, nodes, edges, most_hops, "both", ["LINKS_TO"])
+    paths = paths.find_paths(pairs, nodes, edges, most_hops, "both", ["LINKS_TO"])
     uids = info.select("id", "uid")
     steps = pairs.join(paths, ["root", "target"]).filter(F.col("hop_count") <= F.col("max_hops")).select("question_id", "rank", F.posexplode("node_ids").alias("nth", "id")).join(uids, "id")
     proved = steps.groupBy("question_id", "rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "uid"))), lambda x: x.uid).alias("path")).groupBy("question_id").agg(F.collect_list("path").alias("supported_paths"))

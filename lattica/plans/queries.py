@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.functions import text as X
-from lattica.operators import bm25, contract, evaluate, graph, project
+from lattica.operators import bm25, contract, evaluate, graph, paths, project
 from lattica.operators.validate import out_of_order
 from lattica.plans import driver_graph as G
 from lattica.plans import evaluation
@@ -101,13 +101,13 @@ def resolve_all_matches(spark, d):
 
 @query("WITH {graph} SELECT 'orders:7' AS root, dst AS id, 1 AS distance FROM link WHERE src = 'orders:7'")
 def neighbors_1hop_out(spark, d):
-    kept, _, _ = graph.neighbors(_roots(spark, "orders:7"), G.nodes(spark, d), G.edges(spark, d), 1, "outgoing", limit=100)
+    kept, _, _ = graph.neighbors(_roots(spark, "orders:7"), G.nodes(spark, d), G.links(spark, d), 1, "outgoing", limit=100)
     return kept.filter("distance > 0").select("root", "id", "distance")
 
 
 @query("WITH {graph} SELECT 'nation:3' AS root, src AS id, 1 AS distance FROM link WHERE dst = 'nation:3' ORDER BY eid LIMIT 50")
 def neighbors_1hop_in(spark, d):
-    kept, _, _ = graph.neighbors(_roots(spark, "nation:3"), G.nodes(spark, d), G.edges(spark, d), 1, "incoming", limit=50)
+    kept, _, _ = graph.neighbors(_roots(spark, "nation:3"), G.nodes(spark, d), G.links(spark, d), 1, "incoming", limit=50)
     return kept.filter("distance > 0").select("root", "id", "distance")
 
 
@@ -120,20 +120,20 @@ two AS (SELECT DISTINCT one.root, step.b AS id FROM one JOIN step ON step.a = on
 
 @query("WITH {graph} " + TWO_HOP + " SELECT root, id, 1 AS distance FROM one UNION ALL SELECT root, id, 2 FROM two")
 def neighbors_2hop_both(spark, d):
-    reached = graph.walk(_roots(spark, "supplier:5", "customer:11"), G.nodes(spark, d), G.edges(spark, d), 2)
+    reached = graph.walk(_roots(spark, "supplier:5", "customer:11"), G.nodes(spark, d), G.links(spark, d), 2, ranked=False)
     return reached.filter("distance > 0").select("root", "id", "distance")
 
 
 @query("WITH {graph} " + TWO_HOP + ", kept AS (SELECT root, id FROM one UNION ALL SELECT root, id FROM two UNION ALL SELECT DISTINCT root, root FROM one), open AS (SELECT root, id FROM one UNION ALL SELECT DISTINCT root, root FROM one) SELECT open.root, count(DISTINCT step.eid) AS n_edges FROM open JOIN step ON step.a = open.id JOIN kept ON kept.root = open.root AND kept.id = step.b GROUP BY open.root")
 def neighbors_edges_induced(spark, d):
-    nodes, edges = G.nodes(spark, d), G.edges(spark, d)
-    kept = graph.walk(_roots(spark, "supplier:5", "customer:11"), nodes, edges, 2)
-    return graph.walked_edges(kept, nodes, edges, 2).groupBy("root").agg(F.count_distinct("edge_id").alias("n_edges"))
+    nodes, links = G.nodes(spark, d), G.links(spark, d)
+    kept = graph.walk(_roots(spark, "supplier:5", "customer:11"), nodes, links, 2, ranked=False)
+    return graph.walked_edges(kept, nodes, links, 2).groupBy("root").agg(F.count_distinct("edge_id").alias("n_edges"))
 
 
 @query("WITH {graph} SELECT r.id AS root, count(l.src) > 20 AS truncated, least(20, count(l.src)) AS n_kept FROM (VALUES ('nation:3'), ('nation:4'), ('part:1')) r(id) LEFT JOIN link l ON l.dst = r.id GROUP BY r.id")
 def neighbors_truncated(spark, d):
-    kept, _, flags = graph.neighbors(_roots(spark, "nation:3", "nation:4", "part:1"), G.nodes(spark, d), G.edges(spark, d), 1, "incoming", limit=20)
+    kept, _, flags = graph.neighbors(_roots(spark, "nation:3", "nation:4", "part:1"), G.nodes(spark, d), G.links(spark, d), 1, "incoming", limit=20)
     return flags.join(kept.filter("distance > 0").groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root", "left").select("root", "truncated", F.coalesce("n", F.lit(0)).alias("n_kept"))
 
 
@@ -159,13 +159,13 @@ def _paths_sql(direction: str, hops: int) -> str:
 @query(_paths_sql("outgoing", 4))
 def shortest_path_batch(spark, d):
     pairs = spark.createDataFrame(PATH_PAIRS, "root string, target string")
-    return graph.find_paths(pairs, G.nodes(spark, d), G.edges(spark, d), 4, "outgoing").select("root", "target", "hop_count")
+    return paths.find_paths(pairs, G.nodes(spark, d), G.links(spark, d), 4, "outgoing").select("root", "target", "hop_count")
 
 
 @query(_paths_sql("both", 2))
 def shortest_path_both(spark, d):
     pairs = spark.createDataFrame(PATH_PAIRS, "root string, target string")
-    return graph.find_paths(pairs, G.nodes(spark, d), G.edges(spark, d), 2, "both").select("root", "target", "hop_count")
+    return paths.find_paths(pairs, G.nodes(spark, d), G.links(spark, d), 2, "both").select("root", "target", "hop_count")
 
 
 def _path_ids_sql(hops: int) -> str:
@@ -182,22 +182,37 @@ def _path_ids_sql(hops: int) -> str:
 def shortest_path_ids(spark, d):
     """Of equally short paths the queue's first, that is the one whose edges come first one after another."""
     pairs = spark.createDataFrame(PATH_PAIRS, "root string, target string")
-    found = graph.find_paths(pairs, G.nodes(spark, d), G.edges(spark, d), 4, "outgoing")
+    found = paths.find_paths(pairs, G.nodes(spark, d), G.links(spark, d), 4, "outgoing")
     return found.select("root", "target", "hop_count", F.array_join("node_ids", " ").alias("node_ids"), F.array_join("edge_ids", " ").alias("edge_ids"))
 
 
+FAR_PAIRS = [("region:0", "region:3"), ("part:1", "region:2"), ("customer:3", "part:1"), ("orders:7", "orders:1"), ("supplier:1", "customer:2"), ("nation:2", "nation:9"), ("orders:7", "none")]
+
+
+@query(
+    "WITH RECURSIVE {graph}, step AS (SELECT DISTINCT src AS a, dst AS b FROM link UNION SELECT dst, src FROM link), "
+    f"pairs(root, target) AS (VALUES {', '.join(str(p) for p in FAR_PAIRS)}), reach(root, id, n) USING KEY (root, id) AS ("
+    "SELECT DISTINCT root, root, 0 FROM pairs UNION SELECT r.root, step.b, min(r.n + 1) FROM reach r JOIN step ON step.a = r.id LEFT JOIN recurring.reach k ON k.root = r.root AND k.id = step.b WHERE k.id IS NULL AND r.n < 6 GROUP BY r.root, step.b) "
+    "SELECT p.root, p.target, CAST(n AS INTEGER) AS hop_count FROM pairs p LEFT JOIN reach ON reach.root = p.root AND reach.id = p.target"
+)
+def shortest_path_six_hops(spark, d):
+    """Distances over edges in both directions: the two frontiers meet within three levels each."""
+    pairs = spark.createDataFrame(FAR_PAIRS, "root string, target string")
+    return paths.find_paths(pairs, G.nodes(spark, d), G.links(spark, d), 6, "both").select("root", "target", "hop_count")
+
+
 @query("WITH {graph}, a AS (SELECT dst FROM link WHERE src = 'customer:3') SELECT 'customer:3>' || a.dst || '>' || b.dst AS path FROM a JOIN link b ON b.src = a.dst")
 def shortest_path_fixed(spark, d):
-    nodes, edges = G.nodes(spark, d), G.edges(spark, d)
+    nodes, links = G.nodes(spark, d), G.links(spark, d)
     regions = nodes.filter("type = 'Region'").select(F.lit("customer:3").alias("root"), F.col("id").alias("target"))
-    return graph.find_paths(regions, nodes, edges, 2).filter("hop_count is not null").select(F.array_join("node_ids", ">").alias("path"))
+    return paths.find_paths(regions, nodes, links, 2).filter("hop_count is not null").select(F.array_join("node_ids", ">").alias("path"))
 
 
 @query("WITH {graph}, up AS (SELECT c.id AS root, l.dst AS id, 1 AS n FROM concept c JOIN link l ON l.src = c.id WHERE c.type = 'Customer' UNION ALL SELECT c.id, m.dst, 2 FROM concept c JOIN link l ON l.src = c.id JOIN link m ON m.src = l.dst WHERE c.type = 'Customer') SELECT id, n AS distance, count(DISTINCT root) AS n_roots FROM up GROUP BY id, n")
 def reachable_within_k(spark, d):
-    nodes, edges = G.nodes(spark, d), G.edges(spark, d)
+    nodes, links = G.nodes(spark, d), G.links(spark, d)
     roots = nodes.filter("type = 'Customer'").select(F.col("id").alias("root"))
-    return graph.walk(roots, nodes, edges, 2, "outgoing").filter("distance > 0").groupBy("id", "distance").agg(F.count_distinct("root").alias("n_roots"))
+    return graph.walk(roots, nodes, links, 2, "outgoing", ranked=False).filter("distance > 0").groupBy("id", "distance").agg(F.count_distinct("root").alias("n_roots"))
 
 
 EXPANSION = """
@@ -210,7 +225,7 @@ two AS (SELECT DISTINCT c.id, c.status = 'stable' AS allowed, c.type FROM one JO
 
 @query("WITH {graph} " + EXPANSION + " SELECT id, 1 AS distance, allowed AND type = 'Order' AS candidate FROM one UNION ALL SELECT id, 2, allowed AND type = 'Order' FROM two")
 def typed_expansion(spark, d):
-    found = graph.expand_typed(_roots(spark, "customer:11"), G.nodes(spark, d), G.edges(spark, d), 2, ("stable",), ["Order"], cap=100)
+    found = graph.expand_typed(_roots(spark, "customer:11"), G.nodes(spark, d), G.links(spark, d), 2, ("stable",), ["Order"], cap=100)
     return found.filter("distance > 0").select("id", "distance", "candidate")
 
 

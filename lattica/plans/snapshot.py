@@ -7,11 +7,12 @@ import time
 import weakref
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from lattica.operators import graph
+from lattica.operators import graph, paths
+from lattica.operators.adjacency import Adjacency, adjacency
 from lattica.operators.contract import raise_if_any, violations
 from lattica.sources.shared import dematerialized, materialized
 
@@ -24,6 +25,14 @@ class Snapshot:
     edges: DataFrame
     repository: str = ""
     commit_sha: str = ""
+    held: dict = field(default_factory=dict, compare=False, repr=False)
+
+    def links(self, edge_types: Sequence[str] | None = None) -> Adjacency:
+        """The adjacency of these edge types, built when first asked for and kept with the snapshot."""
+        key = tuple(sorted(edge_types)) if edge_types else None
+        if key not in self.held:
+            self.held[key] = adjacency(self.nodes, self.edges, edge_types)
+        return self.held[key]
 
     def pinned(self) -> Snapshot:
         """The same rows written to the shared folder: whatever its sources become, every query of it reads these."""
@@ -33,6 +42,8 @@ class Snapshot:
         """Delete the files of a pinned snapshot."""
         for table in (self.nodes, self.edges):
             dematerialized(table)
+        while self.held:
+            self.held.popitem()[1].release()
 
     def browse_index(self, directory: str = ".", **options) -> DataFrame:
         return graph.browse(self.nodes, directory, **options)
@@ -45,7 +56,7 @@ class Snapshot:
         return self.nodes.sparkSession.createDataFrame([(i,) for i in ids], "root string")
 
     def get_neighbors(self, concept_id: str, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return graph.neighbors(self._roots([concept_id]), self.nodes, self.edges, **options)
+        return graph.neighbors(self._roots([concept_id]), self.nodes, self.links(options.get("edge_types")), **options)
 
     def get_backlinks(self, concept_id: str, **options) -> DataFrame:
         graph.require(self.nodes, [concept_id])
@@ -54,7 +65,7 @@ class Snapshot:
     def find_path(self, start: str, end: str, **options) -> DataFrame:
         graph.require(self.nodes, [start, end])
         pairs = self.nodes.sparkSession.createDataFrame([(start, end)], "root string, target string")
-        return graph.find_paths(pairs, self.nodes, self.edges, **options)
+        return paths.find_paths(pairs, self.nodes, self.links(options.get("edge_types")), **options)
 
     def read_concepts(self, ids: Sequence[str], documents: DataFrame, **options) -> DataFrame:
         return graph.read_concepts(ids, self.nodes, documents, **options)
@@ -93,7 +104,7 @@ class SnapshotManager:
                         new.release()
                         raise
                 # readers hold the handle; its files go with the last of them
-                handle = Snapshot(new.nodes, new.edges, new.repository, new.commit_sha)
+                handle = Snapshot(new.nodes, new.edges, new.repository, new.commit_sha, new.held)
                 weakref.finalize(handle, new.release)
                 self._current, self._until = handle, self._clock() + self._ttl
             return self._current

@@ -5,7 +5,8 @@ from pathlib import Path
 
 import pytest
 
-from lattica.operators import contract, graph
+from lattica.operators import contract, graph, paths
+from lattica.operators.adjacency import adjacency, steps_from
 from lattica.plans.snapshot import Snapshot, SnapshotManager
 
 NODE = "pos int, id string, kind string, title string, type string, path string, summary string, tags array<string>, aliases array<string>, status string"
@@ -103,7 +104,12 @@ def test_walk_equals_a_queue(spark, seed):
         assert {x["id"]: x["distance"] for x in rows if x["root"] == r and x["kept"]} == kept
         assert any(x["root"] == r and not x["kept"] for x in rows) == cut
     pairs = spark.createDataFrame([(r, f"n{k}") for r in roots for k in range(n)], "root string, target string")
-    for x in graph.find_paths(pairs, n_df, e_df, 3, direction).collect():
+    links = adjacency(n_df, e_df, block=3)
+    assert sorted(map(tuple, graph.walk(frame, n_df, links, 2, direction, limit=limit).collect())) == sorted(map(tuple, rows))
+    assert sorted(map(tuple, graph.expand_typed(frame, n_df, links, 2, cap=2).collect())) == sorted(map(tuple, graph.expand_typed(frame, n_df, e_df, 2, cap=2).collect()))
+    found = paths.find_paths(pairs, n_df, links, 3, direction).collect()
+    assert sorted(map(tuple, paths.find_paths(pairs, n_df, e_df, 3, direction).collect()), key=repr) == sorted(map(tuple, found), key=repr)
+    for x in found:
         kept, _, via = queue_walk(nodes, edges, x["root"], 3, direction, None)
         if x["target"] not in kept:
             assert x["hop_count"] is None and x["node_ids"] is None
@@ -116,6 +122,52 @@ def test_walk_equals_a_queue(spark, seed):
         assert (x["hop_count"], x["node_ids"], x["edge_ids"]) == (kept[x["target"]], path, steps)
 
 
+def test_paths_of_six_hops_meet_halfway_and_keep_the_queues_choice(spark):
+    rng = random.Random(11)
+    n = 60
+    nodes = [(k, f"n{k}", "Concept" if k % 9 else "Tag", "t", "T", f"{k}.md", None, [], [], "stable") for k in range(n)]
+    edges = [(k, f"e{k}", f"n{rng.randrange(n)}", f"n{rng.randrange(n)}", "LINKS_TO", None) for k in range(90)]
+    n_df, e_df = tables(spark, nodes, edges)
+    concept = {x[1] for x in nodes if x[2] == "Concept"}
+    some = [e for e in edges if e[3] in concept]
+    ends = [(f"n{a}", f"n{b}") for a in (0, 1, 2) for b in range(0, n, 2)] + [("n1", None), ("lost", "n2"), ("n1", "n4")]
+    rows = paths.find_paths(spark.createDataFrame(ends, "root string, target string"), n_df, adjacency(n_df, e_df), 6).collect()
+    assert len(rows) == len(set(ends)) and max(x["hop_count"] or 0 for x in rows) >= 5
+    for x in rows:
+        kept, _, via = queue_walk(nodes, some, x["root"], 6, "outgoing", None)
+        if x["target"] not in kept:
+            assert (x["hop_count"], x["node_ids"], x["edge_ids"]) == (None, None, None)
+            continue
+        path, steps = [x["target"]], []
+        while path[0] != x["root"]:
+            at, edge = via[path[0]]
+            path.insert(0, at)
+            steps.insert(0, edge)
+        assert (x["hop_count"], x["node_ids"], x["edge_ids"]) == (kept[x["target"]], path, steps)
+
+
+def test_a_hubs_steps_are_spread_over_tasks_and_a_cap_reads_its_first_blocks(spark):
+    from pyspark.sql import functions as F
+
+    n = 6000
+    nodes = spark.range(n).select(F.col("id").cast("int").alias("pos"), F.concat(F.lit("n"), F.col("id")).alias("id"), F.lit("Concept").alias("kind"))
+    edges = spark.range(1, n).select(F.col("id").cast("int").alias("pos"), F.concat(F.lit("e"), F.col("id")).alias("id"), F.lit("n0").alias("from"), F.concat(F.lit("n"), F.col("id")).alias("to"), F.lit("LINKS_TO").alias("type"))
+    links = adjacency(nodes, edges, block=64)
+    hub = spark.createDataFrame([("n0",)], "at string")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        reached = steps_from(hub, links, "both")
+        by_task = sorted(r["count"] for r in reached.groupBy(F.spark_partition_id()).count().collect())
+        assert sum(by_task) == n - 1 and len(by_task) == 4 and by_task[-1] <= 2 * by_task[len(by_task) // 2]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    first = steps_from(hub, links, "outgoing", 100)
+    assert sorted(r["edge_pos"] for r in first.collect()) == list(range(1, 101))
+    assert steps_from(hub, links, "incoming").count() == 0
+
+
 def test_budget(spark):
     rows = spark.createDataFrame([(0, "a" * 700), (1, "b" * 900), (2, "c" * 50), (3, "d")], "pos int, text string")
     got = [(len(r["content"]), r["truncated"]) for r in graph.budgeted(rows, per_document=800, budget=1530).orderBy("pos").collect()]
