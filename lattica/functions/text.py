@@ -76,6 +76,26 @@ def utf16_length(c: Column | str) -> Column:
     return (F.octet_length(F.encode(_col(c), "UTF-16BE")) / 2).cast("int")
 
 
+def utf16_sorted(c: Column | str) -> Column:
+    """A list of texts in the order of UTF-16 code units."""
+    keyed = F.transform(_col(c), lambda x: F.struct(utf16_key(x).alias("k"), x.alias("v")))
+    return F.transform(F.array_sort(keyed), lambda x: x.v)
+
+
+def utf16_min(c: Column | str) -> Column:
+    """Aggregate: the smallest text by UTF-16 code units."""
+    return F.min_by(_col(c), utf16_key(c))
+
+
+def utf16_prefix(c: Column | str, n: Column | int) -> Column:
+    """The first ``n`` UTF-16 code units; half of a surrogate pair at the cut is left out."""
+    c, n = _col(c), n if isinstance(n, Column) else F.lit(n)
+    raw = F.encode(c, "UTF-16BE")
+    top = F.hex(F.substring(raw, 2 * n - 1, F.lit(1)))
+    whole = F.when((n > 0) & top.between("D8", "DB"), n - 1).otherwise(n)
+    return F.when(utf16_length(c) <= n, c).otherwise(F.decode(F.substring(raw, F.lit(1), F.greatest(2 * whole, F.lit(0))), "UTF-16BE"))
+
+
 def iso_datetime_text(value: str) -> bool:
     """:func:`is_iso_datetime` of a driver-side text."""
     m = re.fullmatch(r"(\d{4}-\d{2}-\d{2})T([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)", value)

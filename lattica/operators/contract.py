@@ -28,7 +28,7 @@ def is_relative_path(c: str) -> Column:
 
 def _outside(low: int, high: int):
     """Whether a text's length lies outside these bounds, as a lambda over array items."""
-    return lambda s: ~F.length(s).between(low, high)
+    return lambda s: ~utf16_length(s).between(low, high)
 
 
 def node_rules() -> dict[str, Column]:

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions.text import normalize_query, query_text
+from lattica.functions.text import normalize_query, query_text, utf16_length, utf16_prefix
 from lattica.operators.adjacency import DIRECTIONS, Adjacency, steps_from
 from lattica.operators.ordinals import numbered
 from lattica.sources.shared import materialized
@@ -308,12 +308,16 @@ def provenance(ids: Sequence[str] | DataFrame, nodes: DataFrame, edges: DataFram
 
 
 def budgeted(rows: DataFrame, text: str = "text", pos: str = "pos", per_document: int = 20_000, budget: int = READ_BUDGET, group: str | None = None) -> DataFrame:
-    """Cut each text to what is left of the shared budget, in order: adds content, truncated, total_characters."""
-    n = F.length(text)
+    """Cut each text to what is left of the shared budget, in order: adds content, truncated, total_characters.
+
+    Characters are UTF-16 units. A cut within a surrogate pair leaves out its
+    first half too, which still counts as spent.
+    """
+    n = utf16_length(text)
     own = F.least(n, F.lit(per_document))
     window = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     room = F.greatest(F.lit(0), F.least(own, F.lit(budget) - F.coalesce(F.sum(own).over(window), F.lit(0)))).cast("int")
-    return rows.withColumn("_room", room).withColumns({"content": F.substring(F.col(text), F.lit(1), F.col("_room")), "truncated": F.col("_room") < n, "total_characters": n}).drop("_room")
+    return rows.withColumn("_room", room).withColumns({"content": utf16_prefix(text, F.col("_room")), "truncated": F.col("_room") < n, "total_characters": n}).drop("_room")
 
 
 def verified_documents(nodes: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.text import ID_PREFIX, NUL, concept_identity, derived_title, encoded_path, is_external, is_fragment, is_iso_datetime, iso_datetime_text, nfkc_of, normalize_term, posix_normalized, repository_web_url, sanitized_repository, strip_query_and_fragment, trimmed, uri_decoded, utf16_key
+from lattica.functions.text import ID_PREFIX, NUL, concept_identity, derived_title, encoded_path, is_external, is_fragment, is_iso_datetime, iso_datetime_text, nfkc_of, normalize_term, posix_normalized, repository_web_url, sanitized_repository, strip_query_and_fragment, trimmed, uri_decoded, utf16_key, utf16_length, utf16_min, utf16_sorted
+from lattica.operators.ordinals import numbered, ranged
 from lattica.schema import EDGE, FLAT_EDGE_COLUMNS, FLAT_NODE_COLUMNS, NODE
 
 # Fixed keys of a document's header, in the order in which they count.
@@ -76,45 +80,71 @@ def concept_fields(documents: DataFrame) -> DataFrame:
 
 
 def distinct_values(rows: DataFrame, key: str, column: str, nfkc: bool = True) -> DataFrame:
-    """(key, value, norm) one row for each normalised value of a list column: the smallest spelling."""
+    """(key, value, norm) one row for each normalised value of a list column: the smallest spelling, by UTF-16 units."""
     each = rows.select(key, F.explode(column).alias("value")).withColumn("norm", normalize_term("value", nfkc)).filter("norm <> ''")
-    return each.groupBy(key, "norm").agg(F.min("value").alias("value"))
+    return each.groupBy(key, "norm").agg(utf16_min("value").alias("value"))
 
 
 def group_nodes(values: DataFrame, kind: str, prefix: str = ID_PREFIX) -> DataFrame:
     """Tag or Term nodes of (norm, value): title is the smallest spelling, aliases all of them."""
-    return values.groupBy("norm").agg(F.min("value").alias("title"), F.array_sort(F.collect_set("value")).alias("aliases")).select(F.concat(F.lit(f"{prefix}:{kind.lower()}:"), F.sha2("norm", 256)).alias("id"), F.lit(kind).alias("kind"), "title", F.lit(kind).alias("type"), "aliases", F.col("norm").alias("normalizedValue"))
+    return values.groupBy("norm").agg(utf16_min("value").alias("title"), utf16_sorted(F.collect_set("value")).alias("aliases")).select(F.concat(F.lit(f"{prefix}:{kind.lower()}:"), F.sha2("norm", 256)).alias("id"), F.lit(kind).alias("kind"), "title", F.lit(kind).alias("type"), "aliases", F.col("norm").alias("normalizedValue"))
 
 
 def source_nodes(values: DataFrame, prefix: str = ID_PREFIX) -> DataFrame:
     """Source nodes of (canon, title, source_id, author, usage_count, last_modified), grouped by canonical resource."""
-    title = F.coalesce(F.min("title"), F.when(F.length("canon") > 1024, F.lit("Source")).otherwise(F.col("canon")))
+    title = F.coalesce(utf16_min("title"), F.when(utf16_length("canon") > 1024, F.lit("Source")).otherwise(F.col("canon")))
     return values.groupBy("canon").agg(
         title.alias("title"),
-        F.array_sort(F.collect_set("title")).alias("aliases"),
-        F.array_sort(F.collect_set("source_id")).alias("sourceIds"),
-        F.array_sort(F.collect_set("author")).alias("authors"),
+        utf16_sorted(F.collect_set("title")).alias("aliases"),
+        utf16_sorted(F.collect_set("source_id")).alias("sourceIds"),
+        utf16_sorted(F.collect_set("author")).alias("authors"),
         F.array_sort(F.collect_set("usage_count")).alias("usageCounts"),
         F.max("last_modified").alias("lastModified"),
     ).select(F.concat(F.lit(f"{prefix}:source:"), F.sha2("canon", 256)).alias("id"), F.lit("Source").alias("kind"), "title", F.lit("Source").alias("type"), F.col("canon").alias("resource"), "aliases", "sourceIds", "authors", "usageCounts", "lastModified")
 
 
 def deduped_edges(edges: DataFrame) -> DataFrame:
-    """One edge for each (type, from, to), that of the smallest label; a missing label counts as the empty text, so it wins."""
-    return edges.groupBy("type", "from", "to").agg(F.min_by(F.struct("label", "sourcePath"), F.struct(F.coalesce("label", F.lit("")), F.coalesce("sourcePath", F.lit("")))).alias("e")).select("type", "from", "to", "e.label", "e.sourcePath")
+    """One edge for each (type, from, to), that of the smallest label by UTF-16 units; a missing label counts as the empty text, so it wins."""
+    order = F.struct(utf16_key(F.coalesce("label", F.lit(""))), utf16_key(F.coalesce("sourcePath", F.lit(""))))
+    return edges.groupBy("type", "from", "to").agg(F.min_by(F.struct("label", "sourcePath"), order).alias("e")).select("type", "from", "to", "e.label", "e.sourcePath")
+
+
+def edge_label(c: Column | str) -> Column:
+    """A label without white space around it; none if it is empty or longer than 300 UTF-16 units."""
+    text = trimmed(F.col(c) if isinstance(c, str) else c)
+    return F.when(utf16_length(text).between(1, 300), text)
 
 
 def edge_id(prefix: str = ID_PREFIX) -> Column:
     return F.concat(F.lit(f"{prefix}:edge:"), F.sha2(F.concat_ws(NUL, "type", "from", "to"), 256))
 
 
+#: Documents of a piece of the digest's text.
+DIGEST_LINES = 4096
+
+
 def content_digest(documents: DataFrame) -> DataFrame:
     """One row ``digest``: SHA-256 over the lines path NUL hash, by UTF-16 order of the paths.
 
-    One hash over all lines needs them in one place: they are gathered as text of 100 bytes a document.
+    The lines are sorted by ranges and joined to pieces range by range; the one
+    hash over all of them then reads the pieces as a stream. Without documents
+    it is the hash of the empty text.
     """
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(utf16_key("path").alias("key"), "path", "contentHash"))), lambda x: F.concat(x.path, F.lit(NUL), x.contentHash)), "\n")
-    return documents.agg(F.sha2(lines, 256).alias("digest"))
+    rows = ranged(documents.select("path", "contentHash"), [utf16_key("path"), F.col("contentHash")])
+    line = F.concat("path", F.lit(NUL), "contentHash")
+    pieces = rows.groupBy("part", F.expr(f"row div {DIGEST_LINES}").alias("piece")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", line.alias("line")))), lambda x: x.line), "\n").alias("text"))
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, begun = hashlib.sha256(), False
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                state.update((b"\n" if begun else b"") + text.encode())
+                begun = True
+        if begun:
+            yield pa.RecordBatch.from_pydict({"digest": [state.hexdigest()]})
+
+    whole = pieces.repartition(1).sortWithinPartitions("part", "piece").select("text").mapInArrow(streamed, "digest string")
+    return whole.agg(F.coalesce(F.max("digest"), F.lit(hashlib.sha256(b"").hexdigest())).alias("digest"))
 
 
 def resolve_links(documents: DataFrame) -> DataFrame:
@@ -158,27 +188,30 @@ def project(documents: DataFrame, options: Options, nfkc: bool = True) -> Projec
     keyed = fields.join(uses, F.col("uid") == F.col("u"), "left").drop("u")
     concepts = keyed.withColumn("id", F.concat(F.lit(f"{p}:concept:"), F.sha2(concept_identity(F.col("conceptId"), F.col("uid"), F.coalesce("uid_count", F.lit(0))), 256)))
     tags, terms = distinct_values(concepts, "id", "tags", nfkc), distinct_values(concepts, "id", "aliases", nfkc)
-    listed = lambda values, name: values.groupBy(F.col("id").alias(f"{name}_id")).agg(F.array_sort(F.collect_list("value")).alias(name))
-    each = concepts.select("id", F.explode("sources").alias("s")).select(
+    listed = lambda values, name: values.groupBy(F.col("id").alias(f"{name}_id")).agg(utf16_sorted(F.collect_list("value")).alias(name))
+    value = lambda name: F.nullif(trimmed(F.when(F.schema_of_variant(F.try_variant_get("s", f"$.{name}", "variant")) == "STRING", F.try_variant_get("s", f"$.{name}", "string"))), F.lit(""))
+    each = concepts.select("id", "path", F.explode("sources").alias("s")).select(
         "id",
-        trimmed(nfkc_of(F.try_variant_get("s", "$.resource", "string"), nfkc)).alias("canon"),
-        F.try_variant_get("s", "$.title", "string").alias("title"),
-        F.try_variant_get("s", "$.id", "string").alias("source_id"),
-        F.try_variant_get("s", "$.author", "string").alias("author"),
+        "path",
+        value("resource").alias("resource"),
+        trimmed(nfkc_of(value("resource"), nfkc)).alias("canon"),
+        value("title").alias("title"),
+        value("id").alias("source_id"),
+        value("author").alias("author"),
         F.try_variant_get("s", "$.usage_count", "bigint").alias("usage_count"),
-        F.try_variant_get("s", "$.last_modified", "string").alias("last_modified"),
+        value("last_modified").alias("last_modified"),
     )
     each = each.filter(F.coalesce(F.col("canon"), F.lit("")) != "").withColumns({"usage_count": F.when(F.col("usage_count") >= 0, F.col("usage_count")), "last_modified": F.when(is_iso_datetime("last_modified"), F.col("last_modified"))})
     by_path = concepts.select(F.col("path").alias("target_path"), F.col("id").alias("to"))
     linked = resolve_links(documents).filter("result = 'concept'").join(by_path, "target_path").join(concepts.select("path", F.col("id").alias("from")), "path")
     to_id = lambda kind, c: F.concat(F.lit(f"{p}:{kind}:"), F.sha2(c, 256))
-    none = F.lit(None).cast("string")
-    of = lambda rows, kind, name, c: rows.select(F.lit(name).alias("type"), F.col("id").alias("from"), to_id(kind, c).alias("to"), none.alias("label"), none.alias("sourcePath"))
+    placed = lambda values: values.join(concepts.select("id", "path"), "id")
+    of = lambda rows, kind, name, c, label: rows.select(F.lit(name).alias("type"), F.col("id").alias("from"), to_id(kind, c).alias("to"), edge_label(label).alias("label"), F.col("path").alias("sourcePath"))
     raw_edges = (
-        linked.select(F.lit("LINKS_TO").alias("type"), "from", "to", F.nullif(F.substring(F.col("label"), 1, 300), F.lit("")).alias("label"), F.col("path").alias("sourcePath"))
-        .unionByName(of(tags, "tag", "HAS_TAG", F.col("norm")))
-        .unionByName(of(terms, "term", "ALIASED_AS", F.col("norm")))
-        .unionByName(of(each, "source", "DERIVED_FROM", F.col("canon")))
+        linked.select(F.lit("LINKS_TO").alias("type"), "from", "to", edge_label("label").alias("label"), F.col("path").alias("sourcePath"))
+        .unionByName(of(placed(tags), "tag", "HAS_TAG", F.col("norm"), "value"))
+        .unionByName(of(placed(terms), "term", "ALIASED_AS", F.col("norm"), "value"))
+        .unionByName(of(each, "source", "DERIVED_FROM", F.col("canon"), F.coalesce("title", "source_id", "resource")))
     )
     digest = content_digest(documents)
     where = options.path_in_repository.strip("/") or "."
@@ -188,15 +221,13 @@ def project(documents: DataFrame, options: Options, nfkc: bool = True) -> Projec
     in_repo = F.col("path") if where == "." else F.concat(F.lit(where + "/"), F.col("path"))
     concept_nodes = concepts.join(listed(tags, "tag_list"), F.col("id") == F.col("tag_list_id"), "left").join(listed(terms, "term_list"), F.col("id") == F.col("term_list_id"), "left")
     empty = F.array().cast("array<string>")
-    concept_nodes = concept_nodes.select("id", F.lit("Concept").alias("kind"), "title", "type", F.coalesce("tag_list", empty).alias("tags"), F.coalesce("term_list", empty).alias("aliases"), "path", in_repo.alias("repositoryPath"), "conceptId", F.substring("summary", 1, 4000).alias("summary"), "resource", "status", "contentHash", F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), encoded_path(in_repo)).alias("sourceUrl"))
+    concept_nodes = concept_nodes.select("id", F.lit("Concept").alias("kind"), "title", "type", F.coalesce("tag_list", empty).alias("tags"), F.coalesce("term_list", empty).alias("aliases"), "path", in_repo.alias("repositoryPath"), "conceptId", "summary", "resource", "status", "contentHash", F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), encoded_path(in_repo)).alias("sourceUrl"))
     families = concept_nodes.unionByName(group_nodes(tags, "Tag", p), allowMissingColumns=True).unionByName(source_nodes(each, p), allowMissingColumns=True).unionByName(group_nodes(terms, "Term", p), allowMissingColumns=True)
-    # ordinals: the fixed kind order and ids; a snapshot is bounded by its contract, and the sort is the only global one
+    # ordinals: the fixed kind order and ids
     order = F.array_position(F.array(*[F.lit(k) for k in ("Concept", "Tag", "Source", "Term")]), F.col("kind"))
-    from pyspark.sql import Window
-
     one = projection.select("projectionId", F.lit(options.commit_sha).alias("commitSha"))
-    nodes = families.withColumn("tags", F.coalesce("tags", empty)).crossJoin(F.broadcast(one)).withColumn("pos", F.row_number().over(Window.orderBy(order, utf16_key("id"))) - 1).select("pos", *[F.col(c) if c in {*families.columns, "projectionId", "commitSha"} else F.lit(None).cast(NODE[c].dataType).alias(c) for c in NODE.names])
-    edges = deduped_edges(raw_edges).withColumn("id", edge_id(p)).crossJoin(F.broadcast(one)).withColumn("pos", F.row_number().over(Window.orderBy(utf16_key("type"), utf16_key("from"), utf16_key("to"))) - 1).select("pos", *[F.col(c) for c in EDGE.names])
+    nodes = numbered(families.withColumn("tags", F.coalesce("tags", empty)).crossJoin(F.broadcast(one)), [order, utf16_key("id")]).select("pos", *[F.col(c) if c in {*families.columns, "projectionId", "commitSha"} else F.lit(None).cast(NODE[c].dataType).alias(c) for c in NODE.names])
+    edges = numbered(deduped_edges(raw_edges).withColumn("id", edge_id(p)).crossJoin(F.broadcast(one)), [utf16_key("type"), utf16_key("from"), utf16_key("to")]).select("pos", *[F.col(c) for c in EDGE.names])
     counts = documents.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("kind") == "concept").alias("concepts"))
     manifest = projection.crossJoin(counts).crossJoin(nodes.agg(F.count(F.lit(1)).alias("nodes"))).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))
     manifest = manifest.withColumns({"repository": repo, "commitSha": F.lit(options.commit_sha), "generatedAt": F.lit(options.generated_at), "pathInRepository": F.lit(where), "schemaVersion": F.lit(options.schema_version), "okfVersion": F.lit(options.okf_version)})

@@ -306,6 +306,28 @@ def edge_dedupe_label(spark, d):
     return project.deduped_edges(rows).select("from", "to", "label")
 
 
+LABEL_SQL = """
+    WITH made AS (
+        SELECT l_orderkey, l_partkey, CASE l_linenumber % 4 WHEN 0 THEN '  ' || l_returnflag || ' '
+            WHEN 1 THEN repeat('x', CAST(l_orderkey % 4 + 298 AS INTEGER)) WHEN 2 THEN repeat(chr(128512), CAST(l_orderkey % 4 + 148 AS INTEGER)) ELSE chr(9) || chr(10) END AS label FROM lineitem
+    ), kept AS (
+        SELECT l_orderkey, l_partkey, trim(label, ' ' || chr(9) || chr(10)) AS t FROM made
+    ), sized AS (
+        SELECT l_orderkey, l_partkey, CASE WHEN t <> '' AND length(t) + (CASE WHEN starts_with(t, chr(128512)) THEN length(t) ELSE 0 END) <= 300 THEN t ELSE '' END AS t FROM kept
+    )
+    SELECT 'orders:' || l_orderkey AS "from", 'part:' || l_partkey AS "to", nullif(min(t), '') AS label FROM sized GROUP BY l_orderkey, l_partkey
+"""
+
+
+@query(LABEL_SQL)
+def edge_labels(spark, d):
+    """Labels that are padded, empty, of 298 to 301 letters, or of 148 to 151 signs of two UTF-16 units: trimmed, and none beyond 300 units."""
+    key, size = F.col("l_linenumber") % 4, (F.col("l_orderkey") % 4).cast("int")
+    label = F.when(key == 0, F.concat(F.lit("  "), "l_returnflag", F.lit(" "))).when(key == 1, F.repeat(F.lit("x"), size + 298)).when(key == 2, F.repeat(F.lit("\U0001f600"), size + 148)).otherwise("\t\n")
+    rows = G.table(spark, d, "lineitem").select(F.lit("LINKS_TO").alias("type"), F.concat(F.lit("orders:"), F.col("l_orderkey").cast("string")).alias("from"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("to"), project.edge_label(label).alias("label"), F.lit(None).cast("string").alias("sourcePath"))
+    return project.deduped_edges(rows).select("from", "to", "label")
+
+
 @query("SELECT p_partkey, 'urn:lattica:concept:' || sha256(CASE WHEN p_partkey % 3 = 0 THEN 'path' || chr(0) || 'part/' || p_partkey WHEN p_partkey % 3 = 1 THEN 'uid' || chr(0) || 'u' || p_partkey ELSE 'duplicate-uid' || chr(0) || 'u' || chr(0) || 'part/' || p_partkey END) AS id FROM part")
 def stable_ids(spark, d):
     parts = G.table(spark, d, "part")

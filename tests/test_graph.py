@@ -172,6 +172,10 @@ def test_budget(spark):
     rows = spark.createDataFrame([(0, "a" * 700), (1, "b" * 900), (2, "c" * 50), (3, "d")], "pos int, text string")
     got = [(len(r["content"]), r["truncated"]) for r in graph.budgeted(rows, per_document=800, budget=1530).orderBy("pos").collect()]
     assert got == [(700, False), (800, True), (30, True), (0, True)]
+    astral = spark.createDataFrame([(0, "😀" * 3), (1, "a😀b"), (2, "é")], "pos int, text string")
+    cut = lambda budget: [(r["content"], r["truncated"], r["total_characters"]) for r in graph.budgeted(astral, per_document=5, budget=budget).orderBy("pos").collect()]
+    assert cut(100) == [("😀😀", True, 6), ("a😀b", False, 4), ("é", False, 1)]
+    assert cut(7) == [("😀😀", True, 6), ("a", True, 4), ("", True, 1)]
 
 
 def test_contract(small):
