@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators import bm25, evaluate, graph, paths
+from lattica.operators import bm25, evaluate, graph, paths, term_match
+from lattica.operators.adjacency import adjacency
 from lattica.operators.project import Projection, concept_fields
 from lattica.sources.shared import materialized
 
@@ -44,18 +45,25 @@ def metadata(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     return some.join(fields, "path")
 
 
-def relevance(nodes: DataFrame, questions: list) -> tuple[DataFrame, DataFrame]:
-    """The focus of each question, and the concepts that its terms match: (question_id, id), (question_id, id, score, n_matched).
+def unique_uids(info: DataFrame) -> None:
+    """Every uid names one concept, or ``ValueError``."""
+    if twice := info.groupBy("uid").count().filter("count > 1").orderBy("uid").limit(1).collect():
+        raise ValueError(f"several concepts have the uid {twice[0]['uid']}")
 
-    The first term names the focus: the best match of an allowed status among the first 20.
+
+def relevance(nodes: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The focus of each question (id, terms, statuses), and the concepts that its terms match: (question_id, id), (question_id, id, score, n_matched).
+
+    The first term names the focus: the best match of an allowed status among
+    the first 20. All questions, and both their lists, are resolved in one pass.
     """
-    spark = nodes.sparkSession
-    focus, matched = [], []
-    for q in questions:
-        named = graph.resolve(nodes, [q["terms"][0]], limit=20).select("id", "status").collect()
-        focus += [(q["id"], r["id"]) for r in [r for r in named if r["status"] in q["allowed_statuses"]][:1]]
-        matched += [(q["id"], r["id"], r["score"], r["n_matched"]) for r in graph.resolve(nodes, q["terms"], limit=100).select("id", "score", "n_matched").collect()]
-    return spark.createDataFrame(focus, "question_id string, id string"), spark.createDataFrame(matched, "question_id string, id string, score int, n_matched int")
+    whole = questions.select(F.struct("id", F.lit(False).alias("focus")).alias("question_id"), "terms")
+    first = questions.select(F.struct("id", F.lit(True).alias("focus")).alias("question_id"), F.slice("terms", 1, 1).alias("terms"))
+    matches = materialized(term_match.best_matches(term_match.resolve_batch(nodes, whole.unionByName(first)), 100).select("question_id.*", F.col("id").alias("concept"), "score", "n_matched", "rank"))
+    named = matches.filter(F.col("focus") & (F.col("rank") <= 20)).join(graph.concepts(nodes).select(F.col("id").alias("concept"), "status"), "concept")
+    allowed = named.join(questions.select("id", "statuses"), "id").filter(F.array_contains("statuses", F.col("status")))
+    focus = allowed.groupBy(F.col("id").alias("question_id")).agg(F.min_by("concept", "rank").alias("id"))
+    return focus, matches.filter("not focus").select(F.col("id").alias("question_id"), F.col("concept").alias("id"), "score", "n_matched")
 
 
 def top_of_walk(found: DataFrame, info: DataFrame, matched: DataFrame, questions: DataFrame) -> DataFrame:
@@ -81,9 +89,10 @@ def run(documents: DataFrame, projection: Projection, questions: DataFrame, gold
     if len(asked) > MOST_QUESTIONS:
         raise ValueError(f"at most {MOST_QUESTIONS} questions")
     types = {q["id"]: evaluate.requested_types(q["query"], list(q["terms"]), rules) for q in asked}
-    wanted = spark.createDataFrame([(q["id"], "\n".join(q["terms"]), types[q["id"]], list(q["allowed_statuses"]), q["focus_concept_uid"], q["top_k"], q["max_hops"]) for q in asked], "id string, query string, types array<string>, statuses array<string>, focus_uid string, top_k int, max_hops int")
+    wanted = spark.createDataFrame([(q["id"], "\n".join(q["terms"]), list(q["terms"]), types[q["id"]], list(q["allowed_statuses"]), q["focus_concept_uid"], q["top_k"], q["max_hops"]) for q in asked], "id string, query string, terms array<string>, types array<string>, statuses array<string>, focus_uid string, top_k int, max_hops int")
     nodes, edges = materialized(projection.nodes), materialized(projection.edges)
     info = materialized(metadata(documents, nodes))
+    unique_uids(info)
 
     # the lexical arm: chunks by BM25, the best of each concept
     chunks = materialized(bm25.chunk(info))
@@ -93,7 +102,7 @@ def run(documents: DataFrame, projection: Projection, questions: DataFrame, gold
     lexical = best.select(F.col("query_id").alias("question_id"), "rank", "uid")
 
     # the graph arm: resolve the focus, walk, rank by relevance, prove each candidate by a path
-    focus, matched = relevance(nodes, asked)
+    focus, matched = relevance(nodes, wanted)
     start = focus.join(wanted.select(F.col("id").alias("question_id"), "statuses", "types", "max_hops"), "question_id").withColumnRenamed("question_id", "root")
     most_hops = max((q["max_hops"] for q in asked), default=1)
     found, cut = graph.typed_walk(start.select("root", "id", "statuses", "types", "max_hops"), nodes, edges, most_hops, HARD_LIMIT)
@@ -102,9 +111,10 @@ def run(documents: DataFrame, projection: Projection, questions: DataFrame, gold
     many = start.join(edges.filter("type = 'LINKS_TO'").select(F.col("to").alias("id")), "id").groupBy("root").count().filter(F.col("count") > HARD_LIMIT).select("root")
     truncated = cut.unionByName(crowded).unionByName(many).distinct().withColumn("truncated", F.lit(True))
     pairs = top.select(F.col("root").alias("question_id"), F.col("id").alias("target"), "rank").join(start.select(F.col("root").alias("question_id"), F.col("id").alias("root"), "max_hops"), "question_id")
-    paths = paths.find_paths(pairs, nodes, edges, most_hops, "both", ["LINKS_TO"])
+    links = adjacency(nodes, edges, ["LINKS_TO"])
+    ways = paths.find_paths(pairs, nodes, links, most_hops, "both", ["LINKS_TO"])
     uids = info.select("id", "uid")
-    steps = pairs.join(paths, ["root", "target"]).filter(F.col("hop_count") <= F.col("max_hops")).select("question_id", "rank", F.posexplode("node_ids").alias("nth", "id")).join(uids, "id")
+    steps = pairs.join(ways, ["root", "target"]).filter(F.col("hop_count") <= F.col("max_hops")).select("question_id", "rank", F.posexplode("node_ids").alias("nth", "id")).join(uids, "id")
     proved = steps.groupBy("question_id", "rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "uid"))), lambda x: x.uid).alias("path")).groupBy("question_id").agg(F.collect_list("path").alias("supported_paths"))
     resolved = focus.join(uids, "id").select("question_id", F.col("uid").alias("resolved_uid"))
 
@@ -113,10 +123,11 @@ def run(documents: DataFrame, projection: Projection, questions: DataFrame, gold
     graph_rows = top.select(F.col("root").alias("question_id"), "rank", "uid")
     arms = listed(lexical, LEXICAL).unionByName(listed(graph_rows, GRAPH))
     each = wanted.select(F.col("id").alias("question_id"), "focus_uid").withColumn("arm", F.explode(F.array(F.lit(LEXICAL), F.lit(GRAPH))))
-    statuses = info.agg(F.map_from_entries(F.collect_list(F.struct("uid", "status"))).alias("every_status"))  # of a bundle's concepts
+    checked = gold.select("question_id", F.explode(F.map_keys("required_statuses")).alias("uid")).distinct().join(info.select("uid", "status"), "uid")
+    statuses = checked.groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("uid", "status"))).alias("every_status"))  # of a case's own concepts
     none = F.array().cast("array<string>")
     cases = each.join(arms, ["question_id", "arm"], "left").join(gold.drop("pos", "expected_commit_sha"), "question_id").join(proved, "question_id", "left").join(resolved, "question_id", "left")
-    cases = cases.join(truncated.withColumnRenamed("root", "question_id"), "question_id", "left").withColumn("_one", F.lit(1)).join(F.broadcast(statuses.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    cases = cases.join(truncated.withColumnRenamed("root", "question_id"), "question_id", "left").join(statuses, "question_id", "left")
     of_graph = F.col("arm") == GRAPH
     cases = cases.select(
         "question_id",
@@ -125,7 +136,7 @@ def run(documents: DataFrame, projection: Projection, questions: DataFrame, gold
         F.coalesce("required_concept_uids", none).alias("required"),
         F.coalesce("excluded_concept_uids", none).alias("excluded"),
         F.coalesce("required_statuses", F.create_map().cast("map<string,string>")).alias("required_statuses"),
-        F.col("every_status").alias("actual_statuses"),
+        F.coalesce("every_status", F.create_map().cast("map<string,string>")).alias("actual_statuses"),
         F.coalesce("required_paths", F.array().cast("array<array<string>>")).alias("required_paths"),
         F.when(of_graph, F.coalesce("supported_paths", F.array().cast("array<array<string>>"))).alias("supported_paths"),
         F.col("resolved_uid").eqNullSafe(F.col("focus_uid")).alias("focus_matched"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.functions import text as X
-from lattica.operators import bm25, contract, evaluate, graph, paths, project
+from lattica.operators import bm25, contract, evaluate, graph, paths, project, term_match
 from lattica.operators.validate import out_of_order
 from lattica.plans import driver_graph as G
 from lattica.plans import evaluation
@@ -96,6 +96,33 @@ def resolve_all_matches(spark, d):
     return _resolved(graph.resolve_rows(G.nodes(spark, d), ["red", "brand#17", "nation_1"], nfkc=False))
 
 
+BATCH_SQL = """
+    WITH {graph}, asked AS (
+        SELECT DISTINCT split_part(lower(p_name), ' ', 1) AS word, lower(p_brand) AS brand, lower(p_type) AS kind FROM part
+    ), q AS (
+        SELECT word || '/' || brand || '/' || kind AS question_id, unnest([word, brand, kind, brand]) AS term, unnest([0, 1, 2, 3]) AS nth FROM asked
+    ), hits AS (
+    """ + LADDER.replace("(VALUES {terms}) t(nth, term)", "(SELECT DISTINCT term, 0 AS nth FROM q) t") + """
+    ), s AS (
+        SELECT q.question_id, h.id, any_value(h.title) AS title, CAST(sum(w) AS INTEGER) AS score, CAST(count(*) AS INTEGER) AS n_matched, string_agg(h.term, ',' ORDER BY q.nth) AS terms
+        FROM q JOIN hits h ON h.term = q.term AND w > 0 GROUP BY q.question_id, h.id
+    ), ranked AS (
+        SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY n_matched DESC, score DESC, title, id) AS INTEGER) AS rank FROM s
+    )
+    SELECT question_id, rank, id, score, n_matched, terms FROM ranked WHERE rank <= 5
+"""
+
+
+@query(BATCH_SQL)
+def resolve_batch(spark, d):
+    """The five best concepts of each term list: every word, brand (twice) and type that parts have together."""
+    word = F.split(F.lower("p_name"), " ")[0]
+    asked = G.table(spark, d, "part").select(word.alias("word"), F.lower("p_brand").alias("brand"), F.lower("p_type").alias("kind")).distinct()
+    lists = asked.select(F.concat_ws("/", "word", "brand", "kind").alias("question_id"), F.array("word", "brand", "kind", "brand").alias("terms"))
+    best = term_match.best_matches(term_match.resolve_batch(G.nodes(spark, d), lists, nfkc=False), 5)
+    return best.select("question_id", "rank", "id", "score", "n_matched", F.array_join("matched_terms", ",").alias("terms"))
+
+
 # ------------------------------------------------------------------ traversal
 
 
