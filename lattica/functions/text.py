@@ -108,14 +108,14 @@ def iso_datetime_text(value: str) -> bool:
 def is_iso_datetime(c: Column | str) -> Column:
     """An ISO datetime with offset: a real calendar day, times to 23:59:59, offset to 23:59; seconds may be missing."""
     c = _col(c)
-    shape = r"^(\d{4})-(\d{2})-(\d{2})T([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)$"
+    shape = r"^(\d{4})-(\d{2})-(\d{2})T([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)\z"
     return F.coalesce(c.rlike(shape) & is_calendar_day(F.substring(c, 1, 10)), F.lit(False))
 
 
 def is_calendar_day(c: Column | str) -> Column:
     """A strict ``YYYY-MM-DD`` of the proleptic calendar, years from 100."""
     c = _col(c)
-    return F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.substring(c, 1, 4) >= "0100") & F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
+    return F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}\z") & (F.substring(c, 1, 4) >= "0100") & F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
 
 
 def derived_title(path: Column | str) -> Column:
@@ -167,7 +167,7 @@ def is_fragment(c: Column | str) -> Column:
 
 def is_actor(c: Column | str) -> Column:
     """``human:name``, ``process:name``, or two names parted by a slash, without white space."""
-    return _col(c).rlike(r"(?U)^(?:human:\S+|process:\S+|\S+/\S+)$")
+    return _col(c).rlike(r"(?U)^(?:human:\S+|process:\S+|\S+/\S+)\z")
 
 
 TOKEN = r"[\p{L}\p{N}]+(?:[-_.:/][\p{L}\p{N}]+)*"

@@ -1,5 +1,6 @@
 import json
 
+import brute_rules
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,8 +59,13 @@ def test_links_and_diagnostics(docs):
     assert not total["valid"] and total["errors"] == 5
 
 
-def codes(header, body="", kind="concept", path="x.md", has=True):
-    return sorted(c for c, _ in validate.document_rules(path, kind, header, has, body))
+def codes(spark, header, body="", kind="concept", path="x.md", has=True):
+    """Codes of the expressions, which are those of the rules said one document at a time."""
+    row = spark.createDataFrame([(path, kind, json.dumps(header), has, body)], "path string, kind string, header string, hasFrontmatter boolean, body string")
+    got = validate.per_document(row.withColumn("frontmatter", F.parse_json("header")).withColumn("problems", F.lit(None).cast("array<struct<code:string,message:string,line:int,column:int>>")))
+    found = sorted(r["code"] for r in got.collect())
+    assert found == sorted(c for c, _ in brute_rules.document_rules(path, kind, header, has, body))
+    return found
 
 
 @pytest.mark.parametrize(
@@ -75,19 +81,19 @@ def codes(header, body="", kind="concept", path="x.md", has=True):
         ({"type": "Attested Computation", "parameters": 1, "executor": {}}, ["ATTESTED_RUNTIME_REQUIRED", "COMPUTATION_REQUIRED", "INVALID_COMPUTATION_FIELD", "INVALID_PARAMETERS"]),
     ],
 )
-def test_concept_rules(header, expected):
-    assert codes(header) == expected
+def test_concept_rules(spark, header, expected):
+    assert codes(spark, header) == expected
 
 
-def test_other_rules():
+def test_other_rules(spark):
     fence = "# Computation\n```\nx\n```\n"
-    assert codes({"type": "Attested Computation", "runtime": "r", "computation": "p"}, fence) == ["AMBIGUOUS_COMPUTATION"]
-    assert codes({"type": "Attested Computation", "runtime": "r", "parameters": [{}]}, fence + "```\ny\n```") == ["INVALID_PARAMETER", "MULTIPLE_COMPUTATIONS"]
-    assert codes({"okf_version": "9"}, "# A\n- [x](y)", "index", "index.md") == ["UNSUPPORTED_OKF_VERSION"]
-    assert codes({"okf_version": 1, "z": 2}, "", "index", "index.md") == ["INDEX_HAS_NO_ENTRIES", "INDEX_SECTION_REQUIRED", "INVALID_INDEX_FRONTMATTER", "INVALID_OKF_VERSION"]
-    assert codes({}, "# A\n* [x](y)", "index", "a/index.md") == ["INDEX_FRONTMATTER_NOT_ALLOWED"]
-    assert codes({}, "", "log", has=True) == ["LOG_DATE_REQUIRED", "LOG_FRONTMATTER_NOT_ALLOWED", "LOG_TITLE_REQUIRED"]
-    assert codes({}, "# L\n## 2024-01-01\n## 2024-01-02", "log", has=False) == ["LOG_NOT_NEWEST_FIRST"]
+    assert codes(spark, {"type": "Attested Computation", "runtime": "r", "computation": "p"}, fence) == ["AMBIGUOUS_COMPUTATION"]
+    assert codes(spark, {"type": "Attested Computation", "runtime": "r", "parameters": [{}]}, fence + "```\ny\n```") == ["INVALID_PARAMETER", "MULTIPLE_COMPUTATIONS"]
+    assert codes(spark, {"okf_version": "9"}, "# A\n- [x](y)", "index", "index.md") == ["UNSUPPORTED_OKF_VERSION"]
+    assert codes(spark, {"okf_version": 1, "z": 2}, "", "index", "index.md") == ["INDEX_HAS_NO_ENTRIES", "INDEX_SECTION_REQUIRED", "INVALID_INDEX_FRONTMATTER", "INVALID_OKF_VERSION"]
+    assert codes(spark, {}, "# A\n* [x](y)", "index", "a/index.md") == ["INDEX_FRONTMATTER_NOT_ALLOWED"]
+    assert codes(spark, {}, "", "log", has=True) == ["LOG_DATE_REQUIRED", "LOG_FRONTMATTER_NOT_ALLOWED", "LOG_TITLE_REQUIRED"]
+    assert codes(spark, {}, "# L\n## 2024-01-01\n## 2024-01-02", "log", has=False) == ["LOG_NOT_NEWEST_FIRST"]
 
 
 def test_projection_and_flat_rows(docs, spark, tmp_path):
