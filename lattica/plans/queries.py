@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.functions import text as X
-from lattica.operators import bm25, contract, evaluate, graph, paths, project, term_match
+from lattica.operators import bm25, contract, evaluate, graph, paths, project, term_match, validate
 from lattica.operators.validate import out_of_order
 from lattica.plans import driver_graph as G
 from lattica.plans import evaluation
@@ -449,6 +449,98 @@ def contract_patterns(spark, d):
     return G.table(spark, d, "part").select("p_partkey", F.col("p_name").rlike(ID_PATTERN).alias("id_ok"), F.sha2("p_name", 256).rlike(HASH_PATTERN).alias("hash_ok"), X.utf16_length("p_name").between(1, 9).alias("length_ok"))
 
 
+def _judged(rows: DataFrame) -> DataFrame:
+    """(path, code, n) of the rules' findings on ``rows`` (path, kind, header, hasFrontmatter, body)."""
+    problems = F.lit(None).cast("array<struct<code:string,message:string,line:int,column:int>>")
+    found = validate.per_document(rows.withColumns({"frontmatter": F.parse_json("header"), "problems": problems}))
+    return found.groupBy("path", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey AS k, o_orderkey || '.md' AS path FROM orders), f AS (
+        SELECT path, unnest([
+            CASE WHEN k % 5 < 2 THEN 'TYPE_REQUIRED' END, CASE WHEN k % 3 = 0 THEN 'INVALID_RECOMMENDED_FIELD' END, CASE WHEN k % 4 = 0 THEN 'INVALID_TAGS' END,
+            CASE WHEN k % 7 = 0 THEN 'INVALID_STATUS' END, CASE WHEN k % 2 = 1 THEN 'INVALID_TIMESTAMP' END, CASE WHEN k % 6 = 0 THEN 'SOURCE_RESOURCE_REQUIRED' END,
+            CASE WHEN k % 3 = k % 2 THEN 'DUPLICATE_SOURCE_ID' END, CASE WHEN k % 9 = 0 THEN 'INVALID_USAGE_COUNT' END, CASE WHEN k % 8 = 0 THEN 'INVALID_ACTOR' END,
+            CASE WHEN k % 10 = 0 THEN 'INVALID_VERIFIED' WHEN k % 10 = 9 THEN 'INVALID_VERIFICATION_EVENT' END, CASE WHEN k % 11 = 0 THEN 'INVALID_USAGE_WINDOW' WHEN k % 11 = 1 THEN 'INVALID_TIMESTAMP' END
+        ]) AS code FROM o
+    ) SELECT path, code, count(*) AS n FROM f WHERE code IS NOT NULL GROUP BY path, code
+""")
+def concept_rules(spark, d):
+    """A header for each order, with faults of every kind: type, fields, tags, status, times, sources, actors, verification, windows."""
+    k, date = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    pick = lambda n, faults, good: _case(k % n, faults, good)
+    header = F.concat(
+        F.lit('{"type": '), pick(5, {0: '" "', 1: "3"}, '"T"'),
+        F.lit(', "title": '), pick(3, {0: '""'}, '"x"'),
+        F.lit(', "tags": '), pick(4, {0: '["a", 1]'}, '["a"]'),
+        F.lit(', "status": '), pick(7, {0: '"old"'}, '"draft"'),
+        F.lit(', "stale_after": "'), date, F.when(k % 2 == 0, "T00:00Z").otherwise(""),
+        F.lit('", "sources": [{"id": "s'), (k % 3).cast("string"), F.lit('", "resource": '), pick(6, {0: "null"}, '"r"'),
+        F.lit('}, {"id": "s'), (k % 2).cast("string"), F.lit('", "resource": "r", "usage_count": '), (k % 9 - 1).cast("string"),
+        F.lit('}], "generated": {"by": '), pick(8, {0: '"me"'}, '"human:me"'),
+        F.lit('}, "verified": '), pick(10, {0: "[]", 9: "[1]"}, '{"by": "a/b", "at": "2024-02-29T23:59:59.5+01:00"}'),
+        F.lit(', "usage_window": '), pick(11, {0: "[]", 1: '{"from": "2024-01-01T00:00Z", "to": "2023-02-29T00:00Z"}'}, '{"from": "2024-01-01T00:00Z", "to": "2024-01-02T00:00Z"}'),
+        F.lit("}"),
+    )
+    rows = G.table(spark, d, "orders").select(F.concat(k.cast("string"), F.lit(".md")).alias("path"), F.lit("concept").alias("kind"), header.alias("header"), F.lit(True).alias("hasFrontmatter"), F.lit("").alias("body"))
+    return _judged(rows)
+
+
+def _case(value: Column, cases: dict[int, str], other: str):
+    out = F
+    for k, x in cases.items():
+        out = out.when(value == k, x)
+    return out.otherwise(other)
+
+
+@query("""
+    WITH p AS (SELECT p_partkey AS k, p_partkey || '.md' AS path FROM part), f AS (
+        SELECT path, unnest([
+            CASE WHEN k % 5 = 0 THEN 'ATTESTED_RUNTIME_REQUIRED' END, CASE WHEN k % 7 = 0 THEN 'INVALID_COMPUTATION_FIELD' END,
+            CASE WHEN k % 6 = 0 THEN 'INVALID_PARAMETERS' WHEN k % 6 = 1 THEN 'INVALID_PARAMETER' END,
+            CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 'COMPUTATION_REQUIRED' WHEN k % 2 = 0 AND k % 3 = 2 THEN 'MULTIPLE_COMPUTATIONS' WHEN k % 2 = 1 AND k % 3 > 0 THEN 'AMBIGUOUS_COMPUTATION' END
+        ]) AS code FROM p
+    ) SELECT path, code, count(*) AS n FROM f WHERE code IS NOT NULL GROUP BY path, code
+""")
+def computation_rules(spark, d):
+    """An attested computation for each part: with or without a path, and none to two fenced blocks in its section (one more stands outside)."""
+    k = F.col("p_partkey")
+    header = F.concat(
+        F.lit('{"type": "Attested Computation", "runtime": '), _case(k % 5, {0: '""'}, '"r"'),
+        F.when(k % 2 == 1, ', "computation": "c.py"').otherwise(""),
+        F.lit(', "executor": '), _case(k % 7, {0: "{}"}, '{"resource": "e"}'),
+        F.lit(', "parameters": '), _case(k % 6, {0: '"p"', 1: '[{"name": "n", "type": "t", "required": 1}]'}, '[{"name": "n", "type": "t", "required": false}]'),
+        F.lit("}"),
+    )
+    body = F.concat(F.lit("```\nfirst\n```\n# Computation\n"), F.repeat(F.lit("  ~~~\ncode\n~~~\n"), (k % 3).cast("int")), F.lit("# After\n```\nlast\n```\n"))
+    rows = G.table(spark, d, "part").select(F.concat(k.cast("string"), F.lit(".md")).alias("path"), F.lit("concept").alias("kind"), header.alias("header"), F.lit(True).alias("hasFrontmatter"), body.alias("body"))
+    return _judged(rows)
+
+
+@query("""
+    WITH c AS (SELECT c_custkey AS k FROM customer), f AS (
+        SELECT k || '/log.md' AS path, unnest([
+            CASE WHEN k % 4 = 0 THEN 'LOG_FRONTMATTER_NOT_ALLOWED' END, CASE WHEN k % 5 = 0 THEN 'LOG_TITLE_REQUIRED' END, CASE WHEN k % 6 = 0 THEN 'LOG_DATE_REQUIRED' END,
+            CASE WHEN k % 6 > 0 AND k % 31 = 30 THEN 'INVALID_LOG_DATE' END, CASE WHEN k % 6 > 0 AND k % 31 <> 30 AND k % 31 + 1 < k % 29 + 1 THEN 'LOG_NOT_NEWEST_FIRST' END
+        ]) AS code FROM c
+        UNION ALL SELECT k || '/index.md', unnest([
+            CASE WHEN k % 4 = 0 THEN 'INDEX_FRONTMATTER_NOT_ALLOWED' END, CASE WHEN k % 5 = 0 THEN 'INDEX_SECTION_REQUIRED' END, CASE WHEN k % 6 = 0 THEN 'INDEX_HAS_NO_ENTRIES' END
+        ]) FROM c
+    ) SELECT path, code, count(*) AS n FROM f WHERE code IS NOT NULL GROUP BY path, code
+""")
+def log_and_index_rules(spark, d):
+    """A log of two days and an index for each customer: April has no 31st, and the later day comes first."""
+    k = F.col("c_custkey")
+    day = lambda n: F.concat(F.lit("## 2024-04-"), F.lpad((k % n + 1).cast("string"), 2, "0"), F.lit("\n\ntext\n"))
+    title = F.when(k % 5 == 0, "Title\n").otherwise("# Title\n")
+    log = F.concat(title, F.when(k % 6 > 0, F.concat(day(31), day(29))).otherwise(""))
+    index = F.concat(title, F.when(k % 6 > 0, "  - [one](one.md)\n").otherwise("[one](one.md)\n"))
+    table = G.table(spark, d, "customer").withColumn("doc", F.explode(F.array(F.struct(F.lit("log").alias("kind"), log.alias("body")), F.struct(F.lit("index").alias("kind"), index.alias("body")))))
+    rows = table.select(F.concat(k.cast("string"), F.lit("/"), F.col("doc.kind"), F.lit(".md")).alias("path"), "doc.kind", F.lit('{"a": 1}').alias("header"), (k % 4 == 0).alias("hasFrontmatter"), "doc.body")
+    return _judged(rows)
+
+
 @query("SELECT count(*) FILTER (l_returnflag = 'R') AS errors, count(*) FILTER (l_returnflag = 'A') AS warnings, count(*) FILTER (l_returnflag = 'N') AS infos, count(*) FILTER (l_returnflag = 'R') = 0 AS valid, count(*) FILTER (l_returnflag IN ('R', 'A')) = 0 AS strict_valid FROM lineitem")
 def diagnostics_summary(spark, d):
     from lattica.operators.validate import summary

@@ -30,9 +30,32 @@ SNAPSHOT = T.StructType([T.StructField("schemaVersion", T.StringType()), T.Struc
 
 # Fixed order of the flat row's columns.
 FLAT_NODE_COLUMNS = (
-    "id kind title type path repositoryPath conceptId tagsJson aliasesJson projectionId commitSha repository projectionGeneratedAt okfVersion summary resource status contentHash sourceUrl normalizedValue sourceIdsJson authorsJson usageCountsJson lastModified"
-).split()
-FLAT_EDGE_COLUMNS = "id from to type projectionId commitSha label sourcePath".split()
+    "id",
+    "kind",
+    "title",
+    "type",
+    "path",
+    "repositoryPath",
+    "conceptId",
+    "tagsJson",
+    "aliasesJson",
+    "projectionId",
+    "commitSha",
+    "repository",
+    "projectionGeneratedAt",
+    "okfVersion",
+    "summary",
+    "resource",
+    "status",
+    "contentHash",
+    "sourceUrl",
+    "normalizedValue",
+    "sourceIdsJson",
+    "authorsJson",
+    "usageCountsJson",
+    "lastModified",
+)
+FLAT_EDGE_COLUMNS = ("id", "from", "to", "type", "projectionId", "commitSha", "label", "sourcePath")
 FLAT_NODE = T.StructType([T.StructField(n, T.StringType()) for n in FLAT_NODE_COLUMNS])
 FLAT_EDGE = T.StructType([T.StructField(n, T.StringType()) for n in FLAT_EDGE_COLUMNS])
 
