@@ -13,7 +13,7 @@ from lattica.operators import bm25, contract, evaluate, graph, paths, project, t
 from lattica.operators.validate import out_of_order
 from lattica.plans import driver_graph as G
 from lattica.plans import evaluation
-from lattica.sources import bundle
+from lattica.sources import bundle, store_rows
 from lattica.sources.shared import materialized
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -548,6 +548,39 @@ def diagnostics_summary(spark, d):
     return summary(G.table(spark, d, "lineitem").select(F.when(F.col("l_returnflag") == "R", "error").when(F.col("l_returnflag") == "A", "warning").otherwise("info").alias("severity")))
 
 
+# ----------------------------------------------------------------- store rows
+
+
+@query("""
+    WITH r AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'Concept' WHEN 1 THEN 'Tag' WHEN 2 THEN 'Source' ELSE 'Other' END AS kind FROM part), f AS (
+        SELECT k, kind, unnest([
+            CASE WHEN kind = 'Other' THEN 'kind' END, CASE WHEN k % 5 = 0 THEN 'title' END, CASE WHEN k % 7 < 3 THEN 'tagsJson' END, CASE WHEN k % 6 = 0 THEN 'aliasesJson' END,
+            CASE WHEN kind = 'Concept' THEN 'path' END, CASE WHEN kind = 'Source' AND k % 3 < 2 THEN 'resource' END, CASE WHEN kind = 'Concept' AND k % 3 = 1 THEN 'resource' END,
+            CASE WHEN kind = 'Source' AND k % 11 < 3 THEN 'usageCountsJson' END
+        ]) AS field FROM r
+    )
+    SELECT r.k AS p_partkey, CASE WHEN r.k % 13 = 0 THEN NULL ELSE 'part:' || r.k END AS id, CASE WHEN r.k % 13 = 0 OR r.k % 7 < 3 THEN 0 ELSE 2 END AS n_tags,
+           CASE WHEN r.k % 13 = 0 THEN 'row' ELSE coalesce(e.errors, '') END AS errors
+    FROM r LEFT JOIN (SELECT k, string_agg(field, ',' ORDER BY field) AS errors FROM f WHERE field IS NOT NULL GROUP BY k) e USING (k)
+""")
+def store_rows_decoded(spark, d):
+    """A store's answer with a row for each part, plain and wrapped values, and faults of every kind in its fields."""
+    k = F.col("p_partkey")
+    value = F.concat(
+        F.lit('{"id": {"gqlType": "STRING", "value": "part:'), k.cast("string"),
+        F.lit('"}, "kind": '), _case(k % 4, {0: '"Concept"', 1: '{"gqlType": "STRING", "value": "Tag"}', 2: '"Source"'}, '"Other"'),
+        F.lit(', "title": '), _case(k % 5, {0: '" "'}, '"t"'),
+        F.lit(', "type": "x", "commitSha": "c", "projectionId": {"value": "p", "gqlType": 1}, "tagsJson": '),
+        _case(k % 7, {0: '"[1]"', 1: '["a"]', 2: '"[\\"\\"]"'}, '"[\\"a\\", \\"b\\"]"'),
+        F.lit(', "aliasesJson": '), F.when(k % 6 == 0, F.concat(F.lit('"[\\"'), F.repeat(F.lit("\U0001f600"), 513), F.lit('\\"]"'))).otherwise(F.concat(F.lit('"[\\"'), F.repeat(F.lit("\U0001f600"), 512), F.lit('\\"]"'))),
+        F.lit(', "repositoryPath": "r", "conceptId": "i", "status": "stable", "contentHash": "h", "normalizedValue": "n", "resource": '), _case(k % 3, {0: "null", 1: '{"gqlType": "X"}'}, '"r"'),
+        F.lit(', "usageCountsJson": '), _case(k % 11, {0: '"[-1]"', 1: '"[1.5]"', 2: '"{}"', 3: '""'}, '"[1, 2.0]"'),
+        F.when(k % 13 == 0, "").otherwise("}"),
+    )
+    rows = store_rows.decode_nodes(G.table(spark, d, "part").select("p_partkey", value.alias("value")))
+    return rows.select("p_partkey", "id", F.coalesce(F.size("tags"), F.lit(0)).alias("n_tags"), F.array_join(F.array_sort("errors"), ",").alias("errors"))
+
+
 # ---------------------------------------------------------------------- text
 
 
