@@ -37,12 +37,6 @@ def sha256(c: Column | str) -> Column:
     return F.sha2(_col(c), 256)
 
 
-def stable_id(kind: str, *parts: Column | str, prefix: str = ID_PREFIX) -> Column:
-    """``prefix:kind:`` and the SHA-256 of the parts joined by NUL; parts that are str are literals."""
-    joined = F.concat_ws(NUL, *[F.lit(p) if isinstance(p, str) else p for p in parts])
-    return F.concat(F.lit(f"{prefix}:{kind}:"), F.sha2(joined, 256))
-
-
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -57,11 +51,6 @@ def normalize_query(c: Column | str, nfkc: bool = True) -> Column:
     return trimmed(F.lower(nfkc_of(c, nfkc)))
 
 
-def normalize_question(c: Column | str, nfkc: bool = True) -> Column:
-    """For questions: NFKC, lower case, anything but letters and digits to one space."""
-    return F.trim(F.regexp_replace(F.lower(nfkc_of(c, nfkc)), r"[^\p{L}\p{N}]+", " "))
-
-
 def query_text(value: str) -> str:
     """:func:`normalize_query` of a driver-side argument."""
     return unicodedata.normalize("NFKC", value).lower().strip()
@@ -179,20 +168,30 @@ def tokens(c: Column | str, nfkc: bool = True) -> Column:
     return F.filter(found, lambda t: F.length(t) > 1)
 
 
-def markdown_blocks(c: Column | str) -> Column:
-    """Blocks of a body: cut before headings and at blank lines, trimmed, none empty."""
-    return F.filter(F.transform(F.split(_col(c), r"\n(?=#{1,6}\s)|\n{2,}"), lambda b: trimmed(b)), lambda b: b != "")
-
-
-def tail(c: Column | str, n: int) -> Column:
-    """The last n characters, from the first white space on if the text is longer."""
-    c = _col(c)
-    return F.when(F.length(c) <= n, c).otherwise(F.regexp_replace(F.substring(c, -n, n), r"(?U)^\S*?\s", ""))
-
-
 def fixed(c: Column | str, digits: int) -> Column:
-    """Rounding by exact binary value, as a number."""
-    return F.format_number(_col(c), "0." + "0" * digits).cast("double")
+    """A double rounded to ``digits`` (at most 9) decimals by its exact binary value; an exact half goes away from zero.
+
+    Of the decimals next to the value, each half between two is compared with it
+    exactly: as doubles where they differ, else by the exact product of the half
+    (a double) and the scale, as a rounded product and its error.
+    """
+    x, scale = _col(c).cast("double"), float(10**digits)
+    a, q = F.abs(x), 2 * scale
+    split = lambda v: F.lit(134217729.0) * v - (F.lit(134217729.0) * v - v)
+    q_high = 134217729.0 * q - (134217729.0 * q - q)
+
+    def reaches(n: Column) -> Column:
+        """Whether the value is at least (n + 1/2) / scale."""
+        odd = 2 * n + 1
+        half = odd / F.lit(q)
+        high, product = split(half), half * q
+        low = half - high
+        error = ((high * q_high - product) + high * (q - q_high) + low * q_high) + low * (q - q_high)
+        return F.when(a != half, a > half).otherwise((product - odd) + error >= 0)
+
+    least = F.floor(a * scale).cast("double") - 1
+    n = least + sum((reaches(least + k).cast("double") for k in range(3)), F.lit(0.0))
+    return F.when(a * scale < F.lit(float(1 << 50)), F.signum(x) * n / F.lit(scale)).otherwise(x)
 
 
 def concept_identity(path: Column, uid: Column, uid_count: Column) -> Column:

@@ -8,6 +8,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.functions.text import fixed
+
 MINIMUM_PRECISION = 0.8
 #: Result types and the patterns of normalised terms that ask for them.
 Rules = tuple[tuple[str, tuple[str, ...]], ...]
@@ -30,13 +32,6 @@ def requested_types(query: str, terms: list[str], rules: Rules) -> list[str]:
     return found
 
 
-def requested_types_column(terms: Column, rules: Rules) -> Column:
-    """The same rules over an array column of normalised terms."""
-    matches = lambda pattern: lambda t: F.rlike(t, F.lit(pattern))
-    hits = [F.when(F.exists(terms, matches("|".join(f"(?:{p})" for p in patterns))), F.lit(name)) for name, patterns in rules]
-    return F.array_compact(F.array(*hits))
-
-
 def _share(part: Column, whole: Column, if_none: float) -> Column:
     return F.when(F.size(whole) == 0, F.lit(if_none)).otherwise(F.size(part) / F.size(whole))
 
@@ -57,7 +52,7 @@ def metrics(cases: DataFrame, digits: int = 6) -> DataFrame:
     status = F.forall(checks, lambda e: F.coalesce(F.element_at("actual_statuses", e.key) == e.value, F.lit(False)) & F.array_contains(F.col("retrieved"), e.key))
     hit = F.filter("required_paths", lambda p: F.coalesce(F.array_contains(F.col("supported_paths"), p), F.lit(False)))
     paths = F.when(F.col("supported_paths").isNull(), F.lit(None).cast("double")).otherwise(_share(hit, F.col("required_paths"), 1.0))
-    return rows.withColumns({"recall": F.round(recall, digits), "precision": F.round(precision, digits), "f1": F.round(f1, digits), "status_passed": status, "path_recall": F.round(paths, digits)})
+    return rows.withColumns({"recall": fixed(recall, digits), "precision": fixed(precision, digits), "f1": fixed(f1, digits), "status_passed": status, "path_recall": fixed(paths, digits)})
 
 
 def acceptance(cases: DataFrame, minimum_precision: float = MINIMUM_PRECISION) -> DataFrame:
@@ -84,14 +79,14 @@ def roll_up(cases: DataFrame, commits_consistent: bool = True, commit_expected:
 
 def macro_averages(cases: DataFrame, digits: int = 6) -> DataFrame:
     """Mean metrics and excluded hits of each arm."""
-    mean = lambda c: F.coalesce(F.round(F.avg(c), digits), F.lit(0.0)).alias(f"mean_{c}")
-    return cases.groupBy("arm").agg(mean("recall"), mean("precision"), F.round(F.avg("path_recall"), digits).alias("mean_path_recall"), F.sum(F.size("excluded_hits")).alias("excluded_hits"))
+    mean = lambda c: F.coalesce(fixed(F.avg(c), digits), F.lit(0.0)).alias(f"mean_{c}")
+    return cases.groupBy("arm").agg(mean("recall"), mean("precision"), fixed(F.avg("path_recall"), digits).alias("mean_path_recall"), F.sum(F.size("excluded_hits")).alias("excluded_hits"))
 
 
 def deltas(means: DataFrame, arm: str, against: str, digits: int = 6) -> DataFrame:
     """Differences of the rounded means of two arms, as one row."""
     of = lambda name, c: F.max(F.when(F.col("arm") == name, F.col(c)))
-    return means.agg(*[F.round(of(arm, c) - of(against, c), digits).alias(f"delta_{c.removeprefix('mean_')}") for c in ("mean_recall", "mean_precision")])
+    return means.agg(*[fixed(of(arm, c) - of(against, c), digits).alias(f"delta_{c.removeprefix('mean_')}") for c in ("mean_recall", "mean_precision")])
 
 
 def commit_integrity(references: DataFrame, commit: str) -> DataFrame:

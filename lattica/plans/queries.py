@@ -643,6 +643,13 @@ def chunk_blocks(spark, d):
     return bm25.chunk(docs).groupBy("uid").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("characters").alias("characters"))
 
 
+@query("SELECT l_orderkey, l_linenumber, CAST(round(CAST(l_orderkey * 8 + l_linenumber AS DECIMAL(18, 0)) * CAST(0.0078125 AS DECIMAL(8, 7)), 2) AS DOUBLE) AS hundredths, CAST(round(CAST(l_orderkey * 8 + l_linenumber AS DECIMAL(18, 0)) * CAST(0.0078125 AS DECIMAL(8, 7)), 6) AS DOUBLE) AS millionths FROM lineitem")
+def fixed_halves(spark, d):
+    """Multiples of 1/128, among them exact halves at two and at six decimals."""
+    x = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) / F.lit(128.0)
+    return G.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.fixed(x, 2).alias("hundredths"), X.fixed(x, 6).alias("millionths"))
+
+
 def _bm25(spark, d, types=None):
     docs = G.table(spark, d, "documents")
     chunks = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 300).cast("string").alias("uid"), F.col("doc_id").cast("string").alias("path"), F.lit(0).alias("ordinal"), F.lit("t").alias("title"), F.col("lang").alias("type"), F.lit("stable").alias("status"), "text")
