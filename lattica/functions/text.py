@@ -173,9 +173,14 @@ def fixed(c: Column | str, digits: int) -> Column:
 
     Of the decimals next to the value, each half between two is compared with it
     exactly: as doubles where they differ, else by the exact product of the half
-    (a double) and the scale, as a rounded product and its error.
+    (a double) and the scale, as a rounded product and its error. The value is
+    bound to a variable, so it is computed once.
     """
-    x, scale = _col(c).cast("double"), float(10**digits)
+    return F.get(F.transform(F.array(_col(c).cast("double")), lambda x: _fixed(x, digits)), F.lit(0))
+
+
+def _fixed(x: Column, digits: int) -> Column:
+    scale = float(10**digits)
     a, q = F.abs(x), 2 * scale
     split = lambda v: F.lit(134217729.0) * v - (F.lit(134217729.0) * v - v)
     q_high = 134217729.0 * q - (134217729.0 * q - q)
