@@ -87,13 +87,18 @@ def within_limit(rows: DataFrame, limit: int, name: str) -> None:
         raise ContractError(f"{name}: {limit} rows or more, the result may be incomplete")
 
 
-def violations(nodes: DataFrame, edges: DataFrame, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> DataFrame:
-    """(rule, subject) of everything that breaks the contract."""
+def violations(nodes: DataFrame, edges: DataFrame, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES, expected: dict[str, str] | None = None) -> DataFrame:
+    """(rule, subject) of everything that breaks the contract.
+
+    ``expected`` names the projectionId or commitSha that all rows must have,
+    say those of the snapshot's source; its rule's subjects are the other values.
+    """
     named = lambda rows, rule, subject: rows.select(F.lit(rule).alias("rule"), F.col(subject).cast("string").alias("subject"))
     edge_rules = {"edge_type": ~F.coalesce(F.col("type").isin(*EDGE_KINDS), F.lit(False)), "edge_id_length": ~F.coalesce(utf16_length("id").between(1, 512), F.lit(False)), "edge_label_length": F.col("label").isNotNull() & ~utf16_length("label").between(1, 300)}
     same = lambda column: nodes.select(column).unionByName(edges.select(column)).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     several = [named(same(c).agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("v")).filter("n > 1"), f"several_{c}", "v") for c in ("projectionId", "commitSha")]
     counts = [named(rows.agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > most) | (F.col("n") < least)), rule, "n") for rows, rule, least, most in ((nodes, "node_count", 1, max_nodes), (edges, "edge_count", 0, max_edges))]
+    several += [named(same(c).filter(~F.col(c).eqNullSafe(F.lit(value))), f"unexpected_{c}", c) for c, value in (expected or {}).items()]
     repeats = [named(repeated(nodes), "repeated_node", "id"), named(repeated(edges), "repeated_edge", "id"), named(repeated(nodes.filter("kind = 'Concept'"), "path"), "repeated_path", "path")]
     ends = edges.groupBy("type", "from", "to").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n > 1")
     return reduce(DataFrame.unionByName, [_violations(nodes, node_rules()), _violations(edges, edge_rules), *several, *counts, *repeats, named(ends, "repeated_ends", "id"), named(dangling(nodes, edges), "dangling", "edge_id"), named(kind_mismatches(nodes, edges), "kind_matrix", "edge_id")])

@@ -21,7 +21,7 @@ from lattica.operators.adjacency import DIRECTIONS, Adjacency, steps_from
 from lattica.operators.ordinals import numbered
 from lattica.sources.shared import materialized
 
-BOUNDS = {"limit": (1, 100), "offset": (0, 1_000_000), "terms": (1, 20), "term_length": (2, 200), "neighbor_hops": (1, 2), "path_hops": (1, 6), "reads": (1, 10), "read_chars": (1_000, 50_000)}
+BOUNDS = {"limit": (1, 100), "offset": (0, 1_000_000), "terms": (1, 20), "term_length": (2, 200), "types": (0, 20), "tags": (0, 20), "edge_types": (0, 20), "neighbor_hops": (1, 2), "path_hops": (1, 6), "reads": (1, 10), "read_chars": (1_000, 50_000)}
 READ_BUDGET = 100_000
 
 
@@ -58,6 +58,7 @@ def of_types(types: Sequence[str] | None, nfkc: bool = True) -> Column:
     """Any of the types; None is no filter, an empty list matches nothing."""
     if types is None:
         return F.lit(True)
+    check("types", len(types))
     return normalize_query("type", nfkc).isin([query_text(t) for t in types]) if types else F.lit(False)
 
 
@@ -65,12 +66,14 @@ def with_tags(tags: Sequence[str] | None, nfkc: bool = True) -> Column:
     """All of the tags; None and an empty list are no filter."""
     if not tags:
         return F.lit(True)
+    check("tags", len(tags))
     wanted = F.array(*[F.lit(query_text(t)) for t in tags])
     have = F.array_distinct(F.transform("tags", lambda t: F.trim(F.lower(t)))) if not nfkc else F.split(normalize_query(F.array_join("tags", "\x1f"), True), r"\s*\x1f\s*")
     return F.size(F.array_except(wanted, have)) == 0
 
 
 def of_edge_types(types: Sequence[str] | None) -> Column:
+    check("edge_types", len(types or ()))
     return F.col("type").isin(list(types)) if types else F.lit(True)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.schema import DIAGNOSTIC, LINK
+from lattica.sources.data_sources import local_path, read_tree
 
 PROBLEM = T.StructType([T.StructField("code", T.StringType()), T.StructField("message", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType())])
 PARSED = T.StructType(
@@ -248,6 +249,16 @@ def document_kind(path: Column | str) -> Column:
 
 
 def read_bundle(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Parsed documents of a directory, and the diagnostics of reading it."""
-    good, bad = decode_files(read_files(spark, root))
-    return parse(good), spark.createDataFrame([], DIAGNOSTIC).unionByName(bad)
+    """Parsed documents of a directory, and the diagnostics of reading it.
+
+    A local folder's symbolic links are not followed but reported; other stores have none.
+    """
+    none = spark.createDataFrame([], DIAGNOSTIC)
+    if (local := local_path(root)) is None:
+        files, links = read_files(spark, root), none
+    else:
+        tree = read_tree(spark, local)
+        files = tree.filter("not is_link").select("path", "content")
+        links = tree.filter("is_link").select(F.lit("info").alias("severity"), F.lit("SYMLINK_SKIPPED").alias("code"), F.lit("Symbolic links are not followed.").alias("message"), "path", F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column"))
+    good, bad = decode_files(files)
+    return parse(good), none.unionByName(bad).unionByName(links)
