@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,17 @@ def node_rules() -> dict[str, Column]:
     return rules
 
 
+# Fixed columns of flat rows that hold a value in every row.
+POPULATED_NODES = ("id", "kind", "projectionId", "commitSha", "repository", "projectionGeneratedAt", "okfVersion")
+POPULATED_EDGES = ("id", "from", "to", "type", "projectionId", "commitSha")
+
+
+def unpopulated(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, n) of the columns that are null or empty in some of the flat ``rows``, and in how many; one pass."""
+    empty = F.array_compact(F.array(*[F.when(F.col(c).isNull() | (F.length(c) == 0), F.lit(c)) for c in columns]))
+    return rows.select(F.explode(empty).alias("column")).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+
+
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(edge_id, missing) of edge ends that no node has."""
     ends = edges.select(F.col("id").alias("edge_id"), F.col("from").alias("missing")).unionByName(edges.select(F.col("id").alias("edge_id"), F.col("to").alias("missing")))

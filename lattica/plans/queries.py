@@ -650,6 +650,17 @@ def fixed_halves(spark, d):
     return G.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.fixed(x, 2).alias("hundredths"), X.fixed(x, 6).alias("millionths"))
 
 
+@query("WITH {graph} SELECT 'repository' AS \"column\", count(*) AS n FROM concept WHERE type IN ('Region', 'Nation') UNION ALL SELECT 'from', count(*) FROM link WHERE starts_with(src, 'supplier:') UNION ALL SELECT 'to', count(*) FROM link WHERE starts_with(dst, 'region:')")
+def contract_population(spark, d):
+    """Flat rows of the whole graph of which some lack a repository, a start or an end."""
+    rows = G.nodes(spark, d)
+    filled = {c: F.lit("x") for c in ("projectionId", "commitSha", "projectionGeneratedAt", "okfVersion")}
+    nodes = rows.withColumns(filled | {"repository": F.when(~F.col("type").isin("Region", "Nation"), "r")})
+    lacking = {"from": F.when(~F.startswith("from", F.lit("supplier:")), F.col("from")), "to": F.when(F.startswith("to", F.lit("region:")), "").otherwise(F.col("to"))}
+    edges = G.edges(spark, d).withColumns({"projectionId": F.lit("x"), "commitSha": F.lit("x")} | lacking)
+    return contract.unpopulated(nodes, contract.POPULATED_NODES).unionByName(contract.unpopulated(edges, contract.POPULATED_EDGES))
+
+
 def _bm25(spark, d, types=None):
     docs = G.table(spark, d, "documents")
     chunks = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 300).cast("string").alias("uid"), F.col("doc_id").cast("string").alias("path"), F.lit(0).alias("ordinal"), F.lit("t").alias("title"), F.col("lang").alias("type"), F.lit("stable").alias("status"), "text")
