@@ -12,7 +12,7 @@ from lattica.functions import text as X
 from lattica.operators import bm25, contract, evaluate, graph, paths, project, term_match, validate
 from lattica.operators.validate import out_of_order
 from lattica.plans import driver_graph as G
-from lattica.plans import evaluation
+from lattica.plans import evaluation, report
 from lattica.sources import bundle, store_rows
 from lattica.sources.shared import materialized
 
@@ -661,6 +661,23 @@ def contract_population(spark, d):
     return contract.unpopulated(nodes, contract.POPULATED_NODES).unionByName(contract.unpopulated(edges, contract.POPULATED_EDGES))
 
 
+@query("""
+    WITH p AS (SELECT p_partkey, p_partkey % 13 AS k, (p_partkey % 401 - 200) / 128.0 AS x FROM part)
+    SELECT p_partkey, CAST(floor(x * 100 + 0.5) AS BIGINT) || '%' AS share, CASE WHEN floor(x * 100 + 0.5) = 0 THEN '±' WHEN floor(x * 100 + 0.5) > 0 THEN '+' ELSE '' END || CAST(floor(x * 100 + 0.5) AS BIGINT) || ' pp' AS points,
+           CAST(round(CAST(p_partkey % 401 - 200 AS DECIMAL(9, 0)) * CAST(0.0078125 AS DECIMAL(8, 7)), 3) AS VARCHAR) AS number,
+           CASE k WHEN 0 THEN 'FAT-x' WHEN 1 THEN 'V12-M8S' WHEN 2 THEN 'fat1-b' WHEN 3 THEN 'unresolved' ELSE 'c' || k END AS short,
+           CASE WHEN k = 4 THEN 'Component' WHEN k = 5 THEN 'FAT / SAT evidence' WHEN k = 1 THEN 'PLC diagnostic' ELSE 'Knowledge concept' END AS kind
+    FROM p
+""")
+def report_formats(spark, d):
+    """Shares, differences, decimals and uids as a report shows them, exact halves among them."""
+    k, x = F.col("p_partkey") % 13, (F.col("p_partkey") % 401 - 200) / F.lit(128.0)
+    none = F.lit(None).cast("string")
+    uid = _case(k, {0: F.lit("a:b:fat-x"), 1: F.lit("a:plc:v12-m8s"), 2: F.lit("fat1-b"), 3: none, 4: F.lit("a:component:c4"), 5: F.lit("a:test:c5")}, F.concat(F.lit("a:other:c"), k.cast("string")))
+    rows = G.table(spark, d, "part").select("p_partkey", x.alias("x"), uid.alias("uid"))
+    return rows.select("p_partkey", report.percent("x").alias("share"), report.points("x").alias("points"), report.decimal("x").alias("number"), report.short_uid("uid").alias("short"), report.uid_kind("uid").alias("kind"))
+
+
 def _bm25(spark, d, types=None):
     docs = G.table(spark, d, "documents")
     chunks = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 300).cast("string").alias("uid"), F.col("doc_id").cast("string").alias("path"), F.lit(0).alias("ordinal"), F.lit("t").alias("title"), F.col("lang").alias("type"), F.lit("stable").alias("status"), "text")
