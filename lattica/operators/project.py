@@ -234,13 +234,13 @@ def project(documents: DataFrame, options: Options, nfkc: bool = True) -> Projec
     return Projection(nodes, edges, manifest)
 
 
-def flat_nodes(nodes: DataFrame, source: DataFrame) -> DataFrame:
-    """The 24 scalar columns of nodes; ``source`` is one row (repository, generatedAt, okfVersion)."""
+def flat_nodes(nodes: DataFrame, source: DataFrame, ordered: bool = False) -> DataFrame:
+    """The 24 scalar columns of nodes, by ``pos`` if ``ordered``; ``source`` is one row (repository, generatedAt, okfVersion)."""
     text = lambda c: F.to_json(F.coalesce(F.col(c), F.array().cast(nodes.schema[c].dataType)))
     one = source.select("repository", F.col("generatedAt").alias("projectionGeneratedAt"), "okfVersion").limit(1)
     wide = nodes.crossJoin(F.broadcast(one)).withColumns({"tagsJson": text("tags"), "aliasesJson": text("aliases"), "sourceIdsJson": text("sourceIds"), "authorsJson": text("authors"), "usageCountsJson": text("usageCounts")})
-    return wide.select(*[F.col(c).cast("string").alias(c) for c in FLAT_NODE_COLUMNS])
+    return (wide.orderBy("pos") if ordered else wide).select(*[F.col(c).cast("string").alias(c) for c in FLAT_NODE_COLUMNS])
 
 
-def flat_edges(edges: DataFrame) -> DataFrame:
-    return edges.select(*[F.col(c).cast("string").alias(c) for c in FLAT_EDGE_COLUMNS])
+def flat_edges(edges: DataFrame, ordered: bool = False) -> DataFrame:
+    return (edges.orderBy("pos") if ordered else edges).select(*[F.col(c).cast("string").alias(c) for c in FLAT_EDGE_COLUMNS])

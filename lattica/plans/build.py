@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lattica.operators import sinks
 from lattica.operators.contract import raise_if_any, violations
-from lattica.operators.project import Options, Projection, project
+from lattica.operators.project import Options, Projection, flat_edges, flat_nodes, project
 from lattica.operators.validate import ordered, summary, validate
 from lattica.sources.bundle import read_bundle
 from lattica.sources.shared import materialized
@@ -42,3 +42,17 @@ def export(made: Projection, base: str) -> str:
     raise_if_any(violations(made.nodes, made.edges))
     one = made.manifest.select("projectionId", "commitSha").first()
     return sinks.publish(made.nodes.drop("pos"), made.edges.drop("pos"), base, one["projectionId"], one["commitSha"])
+
+
+def export_files(made: Projection, path: str) -> None:
+    """The projection as JSON lines below ``path``, the contract checked first.
+
+    ``nodes`` and ``edges`` are the typed rows, ``flat_nodes`` and ``flat_edges``
+    the scalar ones, all in the order of their positions over the part files;
+    ``manifest`` is one line. A later part file's rows come after an earlier one's.
+    """
+    raise_if_any(violations(made.nodes, made.edges))
+    base = path.rstrip("/")
+    tables = {"nodes": made.nodes.orderBy("pos").drop("pos"), "edges": made.edges.orderBy("pos").drop("pos"), "flat_nodes": flat_nodes(made.nodes, made.manifest, True), "flat_edges": flat_edges(made.edges, True), "manifest": made.manifest}
+    for name, rows in tables.items():
+        sinks.write_ndjson(rows, f"{base}/{name}")

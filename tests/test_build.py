@@ -1,3 +1,4 @@
+import json
 import os
 
 import pytest
@@ -21,6 +22,11 @@ def test_only_valid_bundles_are_projected(spark, tmp_path):
     made, parsed = build.build(spark, bundle_at(tmp_path / "good"), OPTIONS)
     assert parsed.count() == 2 and [r["title"] for r in made.nodes.filter("kind = 'Concept'").collect()] == ["One"]
     assert build.export(made, str(tmp_path / "out")) == build.export(made, str(tmp_path / "out"))
+    build.export_files(made, str(tmp_path / "json"))
+    lines = lambda name: [json.loads(x) for f in sorted((tmp_path / "json" / name).glob("part-*")) for x in f.read_text().splitlines()]
+    assert [n["id"] for n in lines("nodes")] == [r["id"] for r in made.nodes.orderBy("pos").collect()] == [n["id"] for n in lines("flat_nodes")]
+    assert [e["id"] for e in lines("edges")] == [r["id"] for r in made.edges.orderBy("pos").collect()] == [e["id"] for e in lines("flat_edges")]
+    assert len(lines("flat_nodes")[0]) == 24 and lines("flat_nodes")[0]["repository"] == "git@host:me/repo.git" and [m["nodes"] for m in lines("manifest")] == [2]
     with pytest.raises(build.InvalidBundle, match="TYPE_REQUIRED"):
         build.build(spark, bundle_at(tmp_path / "bad", "title: One\n"), OPTIONS)
     warned = bundle_at(tmp_path / "warned", "type: T\nstatus: old\n")
