@@ -15,11 +15,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.adjacency import Adjacency
-from lattica.operators.graph import check, moves
+from lattica.operators.graph import check, moves, of_ids, only_concepts, served
 from lattica.sources.shared import dematerialized, materialized
 
 STEPS = "array<struct<dir:int,edge_pos:{pos},id:string,via:string>>"
@@ -27,14 +27,17 @@ _AGAINST = {"outgoing": "incoming", "incoming": "outgoing", "both": "both"}
 
 
 def _grown(frontier: DataFrame, seen: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, direction: str, edge_types: Sequence[str] | None, back: bool) -> DataFrame:
-    """The next level (end, id, way) of a frontier: its nodes' first discoveries, each with its smallest way."""
-    rows = moves(frontier.select("end", F.col("id").alias("at"), "way"), edges, nodes, _AGAINST[direction] if back else direction, edge_types)
-    if back:  # a way leads from the new node over this edge to the old one, and on
-        way = F.concat(F.array(F.struct((1 - F.col("dir")).alias("dir"), "edge_pos", F.col("at").alias("id"), F.col("edge_id").alias("via"))), "way")
+    """The next level (end, id, and way if the frontier has it) in a written table: its nodes' first discoveries, each with its smallest way."""
+    rows = moves(frontier.withColumnRenamed("id", "at"), edges, _AGAINST[direction] if back else direction, edge_types)
+    if "way" not in frontier.columns:
+        best = rows.select("end", F.col("next").alias("id")).distinct()
     else:
-        way = F.concat("way", F.array(F.struct("dir", "edge_pos", F.col("next").alias("id"), F.col("edge_id").alias("via"))))
-    best = rows.select("end", F.col("next").alias("id"), way.alias("way")).groupBy("end", "id").agg(F.min("way").alias("way"))
-    return best.join(seen.select("end", "id"), ["end", "id"], "left_anti")
+        if back:  # a way leads from the new node over this edge to the old one, and on
+            way = F.concat(F.array(F.struct((1 - F.col("dir")).alias("dir"), "edge_pos", F.col("at").alias("id"), F.col("edge_id").alias("via"))), "way")
+        else:
+            way = F.concat("way", F.array(F.struct("dir", "edge_pos", F.col("next").alias("id"), F.col("edge_id").alias("via"))))
+        best = rows.select("end", F.col("next").alias("id"), way.alias("way")).groupBy("end", "id").agg(F.min("way").alias("way"))
+    return only_concepts(best.join(seen.select("end", "id"), ["end", "id"], "left_anti"), nodes, edges)
 
 
 def _cost(frontier: DataFrame, edges: DataFrame | Adjacency, direction: str) -> int:
@@ -45,49 +48,67 @@ def _cost(frontier: DataFrame, edges: DataFrame | Adjacency, direction: str) ->
     return frontier.join(edges.degrees, F.col("id") == F.col("at")).agg(F.sum(n)).first()[0] or 0
 
 
-def find_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, max_hops: int = 4, direction: str = "outgoing", edge_types: Sequence[str] | None = None) -> DataFrame:
-    """Shortest paths of the pairs (root, target): (root, target, hop_count, node_ids, edge_ids).
-
-    Of equally short paths the one a queue finds first. A pair of one id is a
-    path of no hop; pairs without a path within ``max_hops``, or with a null
-    end, have null results; repeated pairs count once. Ways have at most
-    ``max_hops`` steps. ``edges`` may be an :class:`Adjacency`.
-    """
+def _meetings(pairs: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, max_hops: int, direction: str, edge_types: Sequence[str] | None, way: Sequence[Column]) -> tuple[DataFrame, list[DataFrame]]:
+    """The pairs (root, target) asked for, each once, and written tables of those that meet: (root, target, hops, and way if an empty ``way`` to begin with is given)."""
     check("path_hops", max_hops)
-    pos = (edges.edges if isinstance(edges, Adjacency) else edges).schema["pos"].dataType.simpleString()
-    none = F.array().cast(STEPS.format(pos=pos))
+    edges = served(edges, edge_types)
     wanted = pairs.select("root", "target").distinct()
     targets = nodes.filter("kind = 'Concept'").select(F.col("id").alias("target"))
-    asked = materialized(wanted.filter(F.col("root") != F.col("target")).join(targets, "target", "left_semi").select("root", "target"))
-    start = lambda c: asked.select(F.col(c).alias("end")).distinct().select("end", F.col("end").alias("id"), none.alias("way"))
+    asked = materialized(wanted.filter(F.col("root") != F.col("target")))
+    targets = of_ids(targets.withColumnRenamed("target", "id"), asked.select(F.col("target").alias("id"))).withColumnRenamed("id", "target")
+    asked = materialized(asked.join(targets, "target", "left_semi").select("root", "target"))
+    start = lambda c: asked.select(F.col(c).alias("end")).distinct().select("end", F.col("end").alias("id"), *way)
     level = {"root": start("root"), "target": start("target")}
     seen, cost, found, tables = dict(level), {"root": 0}, [], [asked]
     open_, n_open = asked, asked.count()
     for done in range(1, max_hops + 1 if n_open else 1):
         side = min(cost, key=cost.get)
-        alive = open_.select(F.col(side).alias("end")).distinct()
-        new = materialized(_grown(level[side].join(alive, "end", "left_semi"), seen[side], nodes, edges, direction, edge_types, side == "target"))
+        new = _grown(level[side], seen[side], nodes, edges, direction, edge_types, side == "target")
         tables.append(new)
         level[side], seen[side] = new, seen[side].unionByName(new)
-        ahead = level["root"].select(F.col("end").alias("root"), "id", F.col("way").alias("there"))
-        behind = level["target"].select(F.col("end").alias("target"), "id", F.col("way").alias("rest"))
-        met = open_.join(ahead, "root").join(behind, ["target", "id"]).groupBy("root", "target").agg(F.min(F.concat("there", "rest")).alias("way"))
-        found.append(materialized(met))
+        ahead = level["root"].withColumnsRenamed({"end": "root", "way": "there"})
+        behind = level["target"].withColumnsRenamed({"end": "target", "way": "rest"})
+        both = open_.join(ahead, "root").join(behind, ["target", "id"]).groupBy("root", "target")
+        met = both.agg(F.min(F.concat("there", "rest")).alias("way")) if way else both.agg(F.count(F.lit(1)).alias("n")).drop("n")
+        found.append(materialized(met.withColumn("hops", F.lit(done))))
         n_open -= found[-1].count()
         if done == max_hops or not n_open:
             break
-        open_ = asked.join(reduce(DataFrame.unionByName, found), ["root", "target"], "left_anti")
+        open_ = materialized(asked.join(reduce(DataFrame.unionByName, found), ["root", "target"], "left_anti"))
+        tables.append(open_)
         for end in ("root", "target"):
-            if end == side or end not in cost:
-                cost[end] = _cost(level[end], edges, _AGAINST[direction] if end == "target" else direction)
+            level[end] = level[end].join(open_.select(F.col(end).alias("end")).distinct(), "end", "left_semi")
+            cost[end] = _cost(level[end], edges, _AGAINST[direction] if end == "target" else direction)
         if not min(cost.values()):
             break
-    ways = wanted.filter(F.col("root") == F.col("target")).select("root", "target", none.alias("way"))
-    for met in found:
-        ways = ways.unionByName(met)
-    ways = materialized(ways)
+    whole = found and materialized(reduce(DataFrame.unionByName, found))
     for table in tables + found:
         dematerialized(table)
+    return wanted, [whole] if found else []
+
+
+def find_hops(pairs: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, max_hops: int = 4, direction: str = "outgoing", edge_types: Sequence[str] | None = None) -> DataFrame:
+    """(root, target, hop_count) of :func:`find_paths`: the frontiers carry no ways, so a row is a root and a node only."""
+    wanted, found = _meetings(pairs, nodes, edges, max_hops, direction, edge_types, ())
+    none = wanted.filter(F.col("root") == F.col("target")).select("root", "target", F.lit(0).alias("hops"))
+    hops = reduce(DataFrame.unionByName, found, none).withColumnsRenamed({"root": "_root", "target": "_target"})
+    return wanted.join(hops, (F.col("_root") == F.col("root")) & (F.col("_target") == F.col("target")), "left").select("root", "target", F.col("hops").alias("hop_count"))
+
+
+def find_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, max_hops: int = 4, direction: str = "outgoing", edge_types: Sequence[str] | None = None) -> DataFrame:
+    """Shortest paths of the pairs (root, target): (root, target, hop_count, node_ids, edge_ids).
+
+    Of equally short paths the one a queue finds first. A pair of one id is a
+    path of no hop; pairs without a path within ``max_hops``, or with a null
+    end, have null results; repeated pairs count once. Ways have at most
+    ``max_hops`` steps. ``edges`` may be an :class:`Adjacency`.
+    """
+    pos = (edges.edges if isinstance(edges, Adjacency) else edges).schema["pos"].dataType.simpleString()
+    none = F.array().cast(STEPS.format(pos=pos)).alias("way")
+    wanted, found = _meetings(pairs, nodes, edges, max_hops, direction, edge_types, (none,))
+    ways = wanted.filter(F.col("root") == F.col("target")).select("root", "target", none)
+    for met in found:
+        ways = ways.unionByName(met.drop("hops"))
     known = wanted.select(F.col("root").alias("_root"), F.col("target").alias("_target")).join(ways, (F.col("_root") == F.col("root")) & (F.col("_target") == F.col("target")), "left")
     there = F.col("way").isNotNull()
     return known.select(
