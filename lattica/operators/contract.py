@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.text import is_iso_datetime, utf16_length
+from lattica.operators.graph import of_ids
 from lattica.schema import EDGE_KINDS, HASH_PATTERN, ID_PATTERN, KINDS, LENGTHS, LIST_LIMITS, MAX_EDGES, MAX_NODES, MAX_SAFE_INTEGER, SHA_PATTERN, STATUSES
+from lattica.sources.shared import MOST_SENT, materialized
 
 
 class ContractError(ValueError):
@@ -68,15 +70,33 @@ def unpopulated(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(edge_id, missing) of edge ends that no node has."""
-    ends = edges.select(F.col("id").alias("edge_id"), F.col("from").alias("missing")).unionByName(edges.select(F.col("id").alias("edge_id"), F.col("to").alias("missing")))
+    ends = edges.select(F.col("id").alias("edge_id"), F.explode(F.array("from", "to")).alias("missing"))  # one reading of the edges
     return ends.join(nodes.select(F.col("id").alias("missing")), "missing", "left_anti").select("edge_id", "missing")
 
 
 def kind_mismatches(nodes: DataFrame, edges: DataFrame, matrix: dict[str, tuple[str, str]] = EDGE_KINDS) -> DataFrame:
-    """Edges whose type and end kinds are not a row of the matrix."""
+    """Edges whose type and end kinds are not a row of the matrix.
+
+    An edge can only be one if its type is not in the matrix or one of its ends
+    is of another kind than the type's. Where such nodes are few they are sent to
+    all tasks and only the edges at them are joined with the kinds of both ends.
+    """
     spark = edges.sparkSession
     allowed = F.broadcast(spark.createDataFrame([(t, *k) for t, k in matrix.items()], "type string, from_kind string, to_kind string"))  # a few fixed rows
     kind = nodes.select("id", "kind")
+    per_kind = {r["kind"]: r["count"] for r in kind.groupBy("kind").count().collect()}
+    common = max(per_kind, key=lambda k: per_kind[k], default=None)
+    rare = kind.filter(~F.col("kind").eqNullSafe(F.lit(common))).select("id").distinct()
+    if sum(n for k, n in per_kind.items() if k != common) <= MOST_SENT:
+        # an edge between two nodes of the common kind is one by its type alone
+        usual = [t for t, kinds in matrix.items() if kinds == (common, common)]
+        sent = F.broadcast(rare.withColumnRenamed("id", "_rare"))
+        at = lambda end: edges.join(sent, F.col(end) == F.col("_rare"), "left_semi")
+        other = ~F.coalesce(F.col("type").isin(usual), F.lit(False))
+        edges = edges.filter(other).unionByName(at("from").filter(~other)).unionByName(at("to").join(sent, F.col("from") == F.col("_rare"), "left_anti").filter(~other))
+        edges = materialized(edges.select("id", "type", "from", "to"))
+        ends = edges.select(F.explode(F.array("from", "to")).alias("id"))
+        kind = of_ids(kind, ends)
     placed = edges.select(F.col("id").alias("edge_id"), "type", "from", "to").join(kind.toDF("from", "from_kind"), "from").join(kind.toDF("to", "to_kind"), "to")
     return placed.join(allowed, ["type", "from_kind", "to_kind"], "left_anti").select("edge_id", "type", "from_kind", "to_kind")
 

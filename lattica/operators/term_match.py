@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lattica.functions.text import normalize_query
 from lattica.operators.graph import BOUNDS, WEIGHTS, concepts
 from lattica.operators.ordinals import numbered
+from lattica.sources.shared import materialized
 
 #: Distinct terms of one automaton, of at most 200 characters each; more take further passes.
 MOST_TERMS = 1 << 16
@@ -108,6 +109,13 @@ def resolve_batch(nodes: DataFrame, asked: DataFrame, nfkc: bool = True) -> Data
     counts; a term that is given twice counts twice. A question without a match
     has no row.
     """
+    hits, wanted = _matched(nodes, asked, nfkc)
+    info = concepts(nodes).select("id", "pos", "title")
+    return _scored(hits, wanted, "id").join(info, "id").select("question_id", "id", "pos", "title", "score", "n_matched", "matched_terms", "matched_fields")
+
+
+def _matched(nodes: DataFrame, asked: DataFrame, nfkc: bool) -> tuple[DataFrame, DataFrame]:
+    """The hits of all terms, and (question_id, nth, term, term_id) of the lists, which lie within the bounds."""
     low, high = BOUNDS["terms"]
     short, long = BOUNDS["term_length"]
     lists = asked.select("question_id", "terms")
@@ -116,13 +124,15 @@ def resolve_batch(nodes: DataFrame, asked: DataFrame, nfkc: bool = True) -> Data
     if bad := wrong.limit(1).collect():
         raise ValueError(f"terms of question {bad[0][0]}: {low} to {high} of {short} to {long} characters")
     terms = numbered(each.select("norm").distinct(), [F.col("norm")], "term_id")
-    hits = term_hits(nodes, terms, nfkc)
+    return term_hits(nodes, terms, nfkc), each.join(terms, "norm").select("question_id", "nth", "term", "term_id")
+
+
+def _scored(hits: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """(question_id, key, score, n_matched, matched_terms, matched_fields) of what has ``hits`` (key, term_id, rule)."""
     weight = F.get(F.array(*[F.lit(w) for w, _ in RULES]), F.col("rule"))
     field = F.get(F.array(*[F.lit(f) for _, f in RULES]), F.col("rule"))
-    wanted = each.join(terms, "norm").select("question_id", "nth", "term", "term_id")
-    met = hits.join(wanted, "term_id").groupBy("question_id", "id").agg(F.sum(weight).cast("int").alias("score"), F.count(F.lit(1)).cast("int").alias("n_matched"), F.array_sort(F.collect_list(F.struct("nth", "term"))).alias("terms"), F.array_sort(F.collect_set(field)).alias("matched_fields"))
-    info = concepts(nodes).select("id", "pos", "title")
-    return met.join(info, "id").select("question_id", "id", "pos", "title", "score", "n_matched", F.transform("terms", lambda t: t.term).alias("matched_terms"), "matched_fields")
+    met = hits.join(wanted, "term_id").groupBy("question_id", key).agg(F.sum(weight).cast("int").alias("score"), F.count(F.lit(1)).cast("int").alias("n_matched"), F.array_sort(F.collect_list(F.struct("nth", "term"))).alias("terms"), F.array_sort(F.collect_set(field)).alias("matched_fields"))
+    return met.select("question_id", key, "score", "n_matched", F.transform("terms", lambda t: t.term).alias("matched_terms"), "matched_fields")
 
 
 def best_matches(matches: DataFrame, limit: int, collation: str | None = None) -> DataFrame:
@@ -130,3 +140,23 @@ def best_matches(matches: DataFrame, limit: int, collation: str | None = None) -
     title = F.collate("title", collation) if collation else F.col("title")
     order = Window.partitionBy("question_id").orderBy(F.col("n_matched").desc(), F.col("score").desc(), title, "pos")
     return matches.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+
+def best_batch(nodes: DataFrame, asked: DataFrame, limit: int, collation: str | None = None, nfkc: bool = True) -> DataFrame:
+    """:func:`best_matches` of :func:`resolve_batch`, without a row for every match of every question.
+
+    Concepts with the same hits (terms and their rules) are a class: in every
+    question they have the same terms and score, so only a class's first
+    ``limit`` by title and pos can be among the best. Questions are matched with
+    classes, and a class that ``limit`` others are better than is left out.
+    """
+    hits, wanted = _matched(nodes, asked, nfkc)
+    title = F.collate("title", collation) if collation else F.col("title")
+    info = concepts(nodes).select("id", "pos", "title")
+    classes = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term_id", "rule"))).alias("class")).join(info, "id")
+    first = F.row_number().over(Window.partitionBy("class").orderBy(title, "pos"))
+    members = materialized(classes.withColumn("_nth", first).filter(F.col("_nth") <= limit).drop("_nth"))
+    of_class = members.select("class").distinct().select("class", F.inline("class"))
+    better = F.rank().over(Window.partitionBy("question_id").orderBy(F.col("n_matched").desc(), F.col("score").desc()))
+    some = _scored(of_class, wanted, "class").withColumn("_rank", better).filter(F.col("_rank") <= limit).drop("_rank")
+    return best_matches(some.join(members, "class").select("question_id", "id", "pos", "title", "score", "n_matched", "matched_terms", "matched_fields"), limit, collation)

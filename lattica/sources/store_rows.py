@@ -1,9 +1,10 @@
 """Rows of a graph store's answer, decoded within bounds.
 
 A row is one JSON object of scalar fields, each either plain or wrapped as
-``{gqlType, value}``. A table says what every field must be; it becomes one
-expression over the row's VARIANT, so rows are decoded in one pass and each
-carries the names of its wrong fields instead of stopping the scan.
+``{gqlType, value}``. A table says what every field must be; it becomes
+expressions over the row's VARIANT, so rows are decoded in one pass and each
+carries the names of its wrong fields instead of stopping the scan. The row, its
+fields and their lists are parsed once each.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ from pyspark.sql import functions as F
 
 from lattica.functions.text import trimmed, utf16_length
 from lattica.operators.contract import ContractError, within_limit
+from lattica.operators.graph import once
 from lattica.schema import EDGE, KINDS, LIST_LIMITS, MAX_SAFE_INTEGER, NODE
 
 #: Rows of one scan; as many may have been cut off by the store.
 NODE_LIMIT, EDGE_LIMIT = 10_000, 50_000
 MOST_COUNTS = 100
 
-Decoder = Callable[[Column], tuple[Column, Column]]  # the value of a field, and whether it is wrong
+#: The value of a field and whether it is wrong, from the field's VARIANT and the items of the JSON array that it holds as text.
+Decoder = Callable[[Column, Column], tuple[Column, Column]]
 
 
 def _holds(c: Column) -> Column:
@@ -44,19 +47,19 @@ def unwrapped(row: Column, field: str) -> Column:
     return F.when(wrapper, F.try_variant_get(value, "$.value", "variant")).otherwise(value)
 
 
-def required(value: Column) -> tuple[Column, Column]:
+def required(value: Column, items: Column | None = None) -> tuple[Column, Column]:
     """A text that is not blank."""
     text = _text(value)
     return text, ~_holds(trimmed(text) != "")
 
 
-def optional(value: Column) -> tuple[Column, Column]:
+def optional(value: Column, items: Column | None = None) -> tuple[Column, Column]:
     """A text; an empty one, a JSON null or no field at all is none."""
     return F.nullif(_text(value), F.lit("")), value.isNotNull() & ~_is(value, "STRING") & ~_is(value, "VOID")
 
 
 def one_of(*names: str) -> Decoder:
-    def decode(value: Column) -> tuple[Column, Column]:
+    def decode(value: Column, items: Column | None = None) -> tuple[Column, Column]:
         text, wrong = required(value)
         return text, wrong | ~_holds(text.isin(*names))
 
@@ -66,21 +69,17 @@ def one_of(*names: str) -> Decoder:
 def listed(most: int, longest: int) -> Decoder:
     """A JSON array of at most ``most`` texts of 1 to ``longest`` UTF-16 units, as text; none is the empty list."""
 
-    def decode(value: Column) -> tuple[Column, Column]:
+    def decode(value: Column, items: Column) -> tuple[Column, Column]:
         encoded, wrong = optional(value)
-        parsed = F.try_parse_json(encoded)
-        items = F.when(_is(parsed, "ARRAY"), F.try_variant_get(parsed, "$", "array<variant>"))
         good = _holds((F.size(items) <= most) & F.forall(items, lambda x: _holds(utf16_length(_text(x)).between(1, longest))))
         return F.when(encoded.isNotNull() & good, F.transform(items, _text)).otherwise(F.array().cast("array<string>")), wrong | (encoded.isNotNull() & ~good)
 
     return decode
 
 
-def counts(value: Column) -> tuple[Column, Column]:
+def counts(value: Column, items: Column) -> tuple[Column, Column]:
     """A JSON array of at most ``MOST_COUNTS`` whole numbers from 0, as text; none is the empty list."""
     encoded, wrong = optional(value)
-    parsed = F.try_parse_json(encoded)
-    items = F.when(_is(parsed, "ARRAY"), F.try_variant_get(parsed, "$", "array<variant>"))
     number = lambda x: F.when(F.schema_of_variant(x).rlike("INT$|^(DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(x, "$", "double"))
     good = _holds((F.size(items) <= MOST_COUNTS) & F.forall(items, lambda x: _holds((number(x) == F.floor(number(x))) & number(x).between(0, MAX_SAFE_INTEGER))))
     return F.when(encoded.isNotNull() & good, F.transform(items, lambda x: number(x).cast("bigint"))).otherwise(F.array().cast("array<bigint>")), wrong | (encoded.isNotNull() & ~good)
@@ -128,12 +127,18 @@ EDGE_FIELDS: tuple[tuple[str, str, Decoder, tuple[str, ...]], ...] = (
 
 
 def _decoded(rows: DataFrame, fields: tuple, columns: list[str]) -> DataFrame:
-    row = F.try_parse_json("value")
-    parsed = rows.withColumn("_row", F.when(_is(row, "OBJECT"), row))
-    kind = _text(unwrapped(F.col("_row"), "kind"))
+    names = list(dict.fromkeys(field for _, field, _, _ in fields) | {"kind": None})
+    lists = [n for n in names if n.endswith("Json")]
+    parsed = once(rows, _any=F.try_parse_json("value"))
+    parsed = once(parsed, _row=F.when(_is(F.col("_any"), "OBJECT"), F.col("_any")))
+    parsed = once(parsed, **{f"_{n}": unwrapped(F.col("_row"), n) for n in names})
+    if lists:
+        parsed = once(parsed, **{f"_parsed_{n}": F.try_parse_json(optional(F.col(f"_{n}"))[0]) for n in lists})
+        parsed = once(parsed, **{f"_items_{n}": F.when(_is(F.col(f"_parsed_{n}"), "ARRAY"), F.try_variant_get(F.col(f"_parsed_{n}"), "$", "array<variant>")) for n in lists})
+    kind = _text(F.col("_kind"))
     values, wrong = {}, [F.when(F.col("_row").isNull(), F.lit("row"))]
     for column, field, decode, kinds in fields:
-        value, bad = decode(unwrapped(F.col("_row"), field))
+        value, bad = decode(F.col(f"_{field}"), F.col(f"_items_{field}") if field in lists else None)
         here = _holds(kind.isin(*kinds)) if kinds else F.lit(True)
         values[column] = F.coalesce(values[column], F.when(here, value)) if column in values else F.when(here, value)
         wrong.append(F.when(F.col("_row").isNotNull() & here & bad, F.lit(field)))
