@@ -30,8 +30,8 @@ BUCKET_BITS = 17
 REST_BITS = 56
 #: Rarest tokens by which a set finds the lists' earliest sets.
 HEADS = 2
-#: Sets that a list may keep open before it gets several leads, how many, and how often it gets others.
-LONG, LEADS, ROUNDS = 128, 32, 2
+#: Sets that a list may keep open before it gets several leads, at least and as a part of all sets, how many, and how often it gets others.
+LONG, SHARE, LEADS, ROUNDS = 128, 3000, 32, 2
 #: Parts of the keys that are joined one after another, which bounds the disk that the index takes.
 PARTS = 2
 #: Rows up to which a side of a few numbers a row is sent to all executors.
@@ -163,15 +163,16 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, salts: int = 8) -> DataF
     every_gone = lambda: reduce(DataFrame.unionByName, gone)
     # long lists of sets that are left: several leads each, the earliest of each part of the list
     listed = lambda sets: sets.select(F.explode("prefix").alias("key"), here.alias("late_place"), "sid", "n", "odd", "even")
+    most = max(LONG, firsts.count() // SHARE)  # a list grows with the table unless a group of near copies is in it
     for seed in range(ROUNDS):
         left = firsts.join(_sent(every_gone()), F.col("sid") == F.col("late"), "left_anti")
-        long = written(left.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > LONG).select("key"), "line-keys")
+        long = written(left.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > most).select("key"), "line-keys")
         more = None
         if long.limit(1).count():
             keys = _sent(long)
             part = F.pmod(F.xxhash64("sid", F.lit(seed)), F.lit(LEADS))
             leads = listed(firsts).join(keys, "key", "left_semi").groupBy("key", part.alias("part")).agg(F.min(me).alias("f")).select("key", "f")
-            more = led(listed(left).join(keys, "key", "left_semi"), leads, LONG)
+            more = led(listed(left).join(keys, "key", "left_semi"), leads, most)
         removed(spark, long)
         if more is None:
             break
