@@ -36,7 +36,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
     """Trained on a bounded sample of the labelled rows whose fold is not held out."""
     labels = _read(spark, sf_dir, "labels").filter(_fold(3) != 1)
-    return toxicity.fit(*toxicity.sample(docs.filter(_fold(3) != 1), labels))
+    return toxicity.learned(toxicity.sample(docs.filter(_fold(3) != 1), labels))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

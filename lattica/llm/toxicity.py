@@ -10,6 +10,7 @@ windows of toxic texts that show why, and the network learns from those.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -328,8 +329,8 @@ def keep(docs: DataFrame, model: Model, below: float = 0.7) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows_each: int = 800, others: int = 3, longest: int = 1 << 16) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled texts: about ``rows_each`` toxic ones and ``others`` times as many others, by a hash of doc_id.
+def sample(docs: DataFrame, labels: DataFrame, rows_each: int = 800, others: int = 3, longest: int = 1 << 16) -> DataFrame:
+    """A bounded sample of labelled texts, (doc_id, toxic, text): about ``rows_each`` toxic ones and ``others`` times as many others, by a hash of doc_id.
 
     ``labels`` holds (doc_id, toxic); rows with a null in either are left out,
     a doc_id with several labels counts as toxic if one of them says so. Of rows
@@ -342,6 +343,16 @@ def sample(docs: DataFrame, labels: DataFrame, rows_each: int = 800, others: int
     share = F.when(F.col("toxic") > 0, F.lit(min(1.0, rows_each / max(1, counts.get(True, 0))))).otherwise(F.lit(min(1.0, others * rows_each / max(1, counts.get(False, 0)))))
     chosen = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 24)) < share * (1 << 24))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.octet_length("text") <= longest)
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return [r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows]
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def learned(rows: DataFrame) -> Model:
+    """:func:`fit` on the texts of :func:`sample`, in one task: the driver gets the weights alone, neither texts nor what training needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(((d, x or "", t) for b in batches for d, t, x in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[:2])
+        model = fit([r[1] for r in found], [int(r[2] > 0) for r in found])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = rows.select("doc_id", "toxic", "text").repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else fit([], [])  # no row, no task
