@@ -4,8 +4,8 @@ A line's tokens are its distinct words, ordered by rarity (counts over all
 texts, by hash bucket; the order only has to be the same for all). Lines with
 equal sets collapse to the first of them before anything is compared. A prefix
 of each set is indexed: two sets that reach the threshold share a prefix token.
-Candidates pass a length filter, a positional filter and a bound from 128
-parity marks of each set; what is left is verified by its exact Jaccard. A line
+Candidates pass a length filter, a positional filter (that of the first token
+that a pair shares) and a bound from 128 parity marks of each set; what is left is verified by its exact Jaccard. A line
 goes if an earlier line, by (doc_id, line number), is that similar.
 
 Rounds keep large groups of near copies linear: first each set is checked
@@ -16,7 +16,6 @@ what is left looks for all earlier members of its lists.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,9 +24,9 @@ from pyspark.sql import functions as F
 from lattica.llm.common import removed, written
 
 #: The hash's upper bits that choose a word's bucket; eight buckets share one number of the table of ranks.
-BUCKET_BITS = 17
-#: The hash's lower bits that follow the rank in a token.
-REST_BITS = 56
+BUCKET_BITS = 16
+#: The rank's bits in a token; the hash's upper bits follow.
+RANK = 127 << 56
 #: Rarest tokens by which a set finds the lists' earliest sets.
 HEADS = 2
 #: Sets that a list may keep open before it gets several leads, at least and as a part of all sets, how many, and how often it gets others.
@@ -38,8 +37,6 @@ PARTS = 2
 SMALL = 1 << 19
 #: Order key of a null doc_id: after all others.
 LAST = 2**63 - 1
-#: White space within a line.
-BLANKS = " \t\x0b\x0c\r"
 
 
 def _text() -> Column:
@@ -52,7 +49,14 @@ def _doc_id() -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line_no, line) of every line that is not empty."""
-    return docs.select(_doc_id().alias("doc_id"), F.xxhash64(_text()).alias("text_hash"), F.posexplode(F.split(_text(), "\n")).alias("line_no", "line")).filter("line <> ''")
+    texts = docs.select(_doc_id().alias("doc_id"), F.xxhash64(_text()).alias("text_hash"), _text().alias("text"))  # below the generator: one hash a text, not a line
+    return texts.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter("line <> ''")
+
+
+def _words(text: Column) -> Column:
+    """Lower-case words of a text, and empty strings between them: a split at one character needs no regular expression."""
+    blank = F.when(text.rlike(r"[\x09-\x0D]"), F.regexp_replace(text, r"[\x09-\x0D]", " ")).otherwise(text)
+    return F.split(F.lower(blank), " ")
 
 
 def rarity(docs: DataFrame) -> Column:
@@ -61,37 +65,40 @@ def rarity(docs: DataFrame) -> Column:
     A rank is a quarter of an octave of the count, so 7 bits hold any count.
     """
     # explode() would add a filter on the array, and with it a second evaluation of it
-    words = docs.select(F.explode_outer(F.split(F.lower(_text()), r"[\x20\x09-\x0D]+")).alias("w")).filter("w <> ''")
+    words = docs.select(F.explode_outer(_words(F.replace(_text(), F.lit("\n"), F.lit(" ")))).alias("w")).filter("w <> ''")
     counted = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.least(F.floor(4 * F.log2("n")), F.lit(127))
+    eight = counted.groupBy(F.shiftright("b", 3).alias("k")).agg(F.bit_or(F.call_function("shiftleft", rank, (8 * (7 - F.col("b").bitwiseAND(F.lit(7)))).cast("int"))).alias("v"))
     packed = [0] * (1 << BUCKET_BITS - 3)
-    for b, n in counted.toArrow().to_pandas().itertuples(index=False):  # of at most 2**17 buckets
-        packed[b >> 3] |= min(127, int(4 * math.log2(n))) << 8 * (b & 7)
+    for k, v in zip(*eight.toArrow().to_pydict().values(), strict=True):  # at most 2**13 rows
+        packed[k] = v
     return F.split(F.lit(",".join(map(str, packed))), ",").cast("array<bigint>")
 
 
 def _token(ranks: Column, h: Column) -> Column:
-    """The rank of a word's bucket above 56 bits of its hash."""
-    eight = F.get(ranks, F.shiftrightunsigned(h, 67 - BUCKET_BITS).cast("int"))
+    """The rank of a word's bucket above the upper 56 bits of its hash."""
     nth = F.shiftrightunsigned(h, 61 - BUCKET_BITS).bitwiseAND(F.lit(56)).cast("int")
-    rank = F.call_function("shiftright", eight, nth).bitwiseAND(F.lit(127))
-    return F.shiftleft(rank, REST_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << REST_BITS) - 1)))
+    rank = F.call_function("shiftleft", ranks[F.shiftrightunsigned(h, 67 - BUCKET_BITS)], nth).bitwiseAND(F.lit(RANK))
+    return rank.bitwiseOR(F.shiftrightunsigned(h, 8))
+
 
+def _sets(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``hashes`` in place of the line: those of its distinct words, none for a line without words.
 
-def _sets(lines: DataFrame, ranks: Column) -> DataFrame:
-    """``lines`` with ``keys`` in place of the line: its distinct tokens in rarity order."""
-    lines = lines.withColumn("line", F.btrim(F.lower("line"), F.lit(BLANKS))).filter("line <> ''")
-    hashed = lines.withColumn("hashes", F.array_distinct(F.transform(F.split("line", r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w)))).drop("line")
-    return hashed.withColumn("keys", F.sort_array(F.transform("hashes", lambda h: _token(ranks, h)))).drop("hashes")
+    A filter on them here would be pushed below and evaluate them a second time.
+    """
+    hashes = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return lines.withColumn("hashes", hashes).drop("line")
 
 
 def _least(n: Column, percent: int) -> Column:
     return F.ceil(n * (percent / 100) - 1e-6)
 
 
-def _parity(half: int) -> Column:
-    """64 marks of a set's tokens of one half, by a bit of the hash: the parity of the tokens at each place."""
-    mark = lambda k: F.call_function("shiftleft", F.shiftright(k, 6).bitwiseXOR(F.lit(half)).bitwiseAND(F.lit(1)), k.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(mark(k)))
+def _parity(half: bool) -> Column:
+    """64 marks of a set's tokens, or of those of one half, by bits of the hash: the parity of the tokens at each place."""
+    one = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)) if half else F.lit(1).cast("long")
+    return F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", one(k), k.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _differ(marks: list[tuple[Column, Column]]) -> Column:
@@ -99,11 +106,14 @@ def _differ(marks: list[tuple[Column, Column]]) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(x.bitwiseXOR(y)) for x, y in marks])
 
 
+def _may_share(shared: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether so many shared tokens are enough for sets of n and m tokens, in whole numbers."""
+    return (100 + percent) * shared >= percent * (n + m)
+
+
 def _may_match(n: Column, m: Column, marks: list[tuple[Column, Column]], percent: int) -> Column:
-    """Length filter and parity bound for sets of n and m tokens: |x & y| <= (n + m - popcount(xor)) / 2."""
-    fits = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    need = F.ceil((n + m) * (percent / (100 + percent)) - 1e-6)
-    return fits & (n + m - _differ(marks) >= 2 * need)
+    """Length filter and parity bound for sets of n and m tokens: 2 |x & y| <= n + m - popcount(xor)."""
+    return _may_share(F.least(n, m), n, m, percent) & ((100 + percent) * _differ(marks) <= (100 - percent) * (n + m))
 
 
 def _sent(table: DataFrame) -> DataFrame:
@@ -116,13 +126,17 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, salts: int = 8) -> DataF
     spark = docs.sparkSession
     ranks = rarity(docs)
     n = F.size("keys")
-    marked = _sets(_lines(docs).withColumn("line_hash", F.xxhash64("line")), ranks).select(
-        "doc_id", "text_hash", "line_no", "line_hash", F.xxhash64("keys").alias("sid"), n.alias("n"), _parity(0).alias("odd"), _parity(1).alias("even"), F.slice("keys", F.lit(1), (n - _least(n, percent) + 1).cast("int")).alias("prefix")
+    hashed = _sets(_lines(docs).withColumn("line_hash", F.xxhash64("line")))
+    keyed = hashed.withColumn("keys", F.sort_array(F.transform("hashes", lambda h: _token(ranks, h)))).withColumn("odd", _parity(True)).withColumn("all", _parity(False))
+    marked = keyed.select(
+        "doc_id", "text_hash", "line_no", "line_hash", F.xxhash64("keys").alias("sid"), n.alias("n"), "odd", F.col("odd").bitwiseXOR(F.col("all")).alias("even"), F.slice("keys", F.lit(1), (n - _least(n, percent) + 1).cast("int")).alias("prefix")
     )
     marks = written(marked, "line-marks")
     place = ["doc_id", "line_no", "text_hash"]
-    one = marks.groupBy("sid").agg(F.min(F.struct(*place, "line_hash", "n", "odd", "even", "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
+    one = marks.filter("n > 0").groupBy("sid").agg(F.min(F.struct(*place, "line_hash", "n", "odd", "even", "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
     firsts = written(one.select("sid", "copies", "f.*"), "line-firsts")
+    # of different sets of n and n + 1 tokens or more at most n of n + 1 are shared
+    may = firsts.filter(100 * F.col("n") >= percent * (F.col("n") + 1))
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Of the pairs (late, early) of set ids with the sets' first places the late ones of those that reach the threshold."""
@@ -132,12 +146,12 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, salts: int = 8) -> DataF
         sent = F.broadcast if few else (lambda df: df)  # rows of 40 bytes; beyond SMALL of them the lines are shuffled to them
         texts = sent(wanted.select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")).distinct())
         source = _lines(docs.join(texts, (_doc_id() == F.col("w_id")) & (F.xxhash64(_text()) == F.col("w_hash")), "left_semi"))
-        rows = source.withColumn("line_hash", F.xxhash64("line")).join(sent(wanted.drop("sid")), [*place, "line_hash"], "left_semi")
-        sets = written(_sets(rows, ranks).select(F.xxhash64("keys").alias("sid"), "keys").dropDuplicates(["sid"]), "line-sets")
-        side = lambda name: sets.select(F.col("sid").alias(name), F.col("keys").alias(f"{name}_keys"))
+        rows = source.withColumn("line_hash", F.xxhash64("line")).join(sent(wanted), [*place, "line_hash"])
+        sets = written(_sets(rows).select("sid", "hashes").dropDuplicates(["sid"]), "line-sets")
+        side = lambda name: sets.select(F.col("sid").alias(name), F.col("hashes").alias(f"{name}_hashes"))
         both = pairs.select("late", "early").join(side("late"), "late").join(side("early"), "early")
-        shared = F.size(F.array_intersect("late_keys", "early_keys"))
-        counted = both.select("late", shared.alias("c"), (F.size("late_keys") + F.size("early_keys")).alias("s"))
+        shared = F.size(F.array_intersect("late_hashes", "early_hashes"))
+        counted = both.select("late", shared.alias("c"), (F.size("late_hashes") + F.size("early_hashes")).alias("s"))
         out = written(counted.filter(100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).select("late").distinct(), "line-gone")
         for done in (wanted, sets):
             removed(spark, done)
@@ -145,7 +159,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, salts: int = 8) -> DataF
 
     # round 1: the earliest set of the lists of a set's rarest tokens
     here = F.struct(*place, "line_hash")
-    heads = firsts.select(F.explode(F.slice("prefix", 1, HEADS)).alias("key"), here.alias("late_place"), "sid", "n", "odd", "even")
+    heads = may.select(F.explode(F.slice("prefix", 1, HEADS)).alias("key"), here.alias("late_place"), "sid", "n", "odd", "even")
     me = F.struct(F.col("late_place").alias("place"), "sid", "n", "odd", "even")
     pairs_of = [(F.col(b), F.col(f"f.{b}")) for b in ("odd", "even")]
 
@@ -165,13 +179,13 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, salts: int = 8) -> DataF
     listed = lambda sets: sets.select(F.explode("prefix").alias("key"), here.alias("late_place"), "sid", "n", "odd", "even")
     most = max(LONG, firsts.count() // SHARE)  # a list grows with the table unless a group of near copies is in it
     for seed in range(ROUNDS):
-        left = firsts.join(_sent(every_gone()), F.col("sid") == F.col("late"), "left_anti")
+        left = may.join(_sent(every_gone()), F.col("sid") == F.col("late"), "left_anti")
         long = written(left.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > most).select("key"), "line-keys")
         more = None
         if long.limit(1).count():
             keys = _sent(long)
             part = F.pmod(F.xxhash64("sid", F.lit(seed)), F.lit(LEADS))
-            leads = listed(firsts).join(keys, "key", "left_semi").groupBy("key", part.alias("part")).agg(F.min(me).alias("f")).select("key", "f")
+            leads = listed(may).join(keys, "key", "left_semi").groupBy("key", part.alias("part")).agg(F.min(me).alias("f")).select("key", "f")
             more = led(listed(left).join(keys, "key", "left_semi"), leads, most)
         removed(spark, long)
         if more is None:
@@ -179,32 +193,28 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, salts: int = 8) -> DataF
         gone.append(more)
 
     # round 2: all sets of the lists of those that are left; n, position and whether a set is left share one number
-    left = firsts.join(_sent(every_gone()), firsts.sid == F.col("late"), "left").select("sid", "n", "odd", "even", "prefix", F.col("late").isNull().cast("long").alias("open"))
-    entries = left.select(F.posexplode("prefix").alias("pos", "key"), "sid", "odd", "even", "n", "open")
+    left = may.join(_sent(every_gone()), may.sid == F.col("late"), "left").select("sid", "doc_id", "n", "odd", "even", "prefix", F.col("late").isNull().cast("long").alias("open"))
+    entries = left.select(F.posexplode("prefix").alias("pos", "key"), "sid", "doc_id", "odd", "even", "n", "open")
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.col("open"))
     size = {s: F.shiftright(f"{s}_at", 32) for s in ("late", "early")}
     pos = {s: F.shiftright(F.col(f"{s}_at").bitwiseAND(F.lit((1 << 32) - 1)), 1) for s in ("late", "early")}
     room = F.least(*[size[s] - pos[s] for s in pos])
-    need = lambda x, y: F.ceil((x + y) * (percent / (100 + percent)) - 1e-6)
-    # of a pair that reaches the threshold at most as many tokens are shared before this one as the lesser position says
+    # all that a pair shares stands at the first shared token or after it, so a row of that token is enough
     near = (
         (F.col("late_key") == F.col("early_key"))
         & (F.col("late") != F.col("early"))
         # written so that it stays in the join: both sides then share one exchange
         & ((F.col("late_at").bitwiseAND(F.lit(1)) == 1) | (F.col("late") == F.col("early")))
-        & (room + F.least(pos["late"], pos["early"]) >= need(size["late"], size["early"]))
+        & (F.col("early_doc") <= F.col("late_doc"))
+        & _may_share(room, size["late"], size["early"], percent)
         & _may_match(size["late"], size["early"], [(F.col(f"late_{b}"), F.col(f"early_{b}")) for b in ("odd", "even")], percent)
     )
     counts = []
     for part in range(PARTS):
         some = entries.filter(F.pmod(F.col("key"), F.lit(PARTS)) == part)
-        late, early = (some.select(F.col("key").alias(f"{s}_key"), F.col("sid").alias(s), packed.alias(f"{s}_at"), F.col("odd").alias(f"{s}_odd"), F.col("even").alias(f"{s}_even")) for s in ("late", "early"))
-        rows = late.join(early, near).select("late", "early", size["late"].alias("n"), size["early"].alias("m"), (room >= need(size["late"], size["early"])).cast("int").alias("ok"))
-        counts.append(written(rows.groupBy("late", "early", "n", "m").agg(F.count(F.lit(1)).alias("c"), F.max("ok").alias("ok")), "line-counts"))
-    counted = reduce(DataFrame.unionByName, counts).groupBy("late", "early", "n", "m").agg(F.sum("c").alias("c"), F.max("ok").alias("ok"))
-    # the shared prefix tokens and all others of the larger rest bound the intersection
-    rest = F.greatest(_least(F.col("n"), percent), _least(F.col("m"), percent)) - 1
-    found = written(counted.filter((F.col("ok") > 0) & (F.col("c") + rest >= need(F.col("n"), F.col("m")))).select("late", "early"), "line-pairs")
+        late, early = (some.select(F.col("key").alias(f"{s}_key"), F.col("sid").alias(s), F.col("doc_id").alias(f"{s}_doc"), packed.alias(f"{s}_at"), F.col("odd").alias(f"{s}_odd"), F.col("even").alias(f"{s}_even")) for s in ("late", "early"))
+        counts.append(written(late.join(early, near).select("late", "early").distinct(), "line-counts"))
+    found = written(reduce(DataFrame.unionByName, counts).distinct(), "line-pairs")
     ids = written(found.select(F.col("late").alias("sid")).unionByName(found.select(F.col("early").alias("sid"))).distinct(), "line-ids")
     spots = written(firsts.join(_sent(ids), "sid", "left_semi").select("sid", here.alias("spot")), "line-places")
     at = lambda s: spots.select(F.col("sid").alias(s), F.col("spot").alias(f"{s}_place"))
